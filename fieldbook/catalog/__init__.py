@@ -6,7 +6,7 @@ import importlib
 
 from fieldbook.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["places"]
+MODULES = ["places", "inputs"]
 
 
 def load_all():
