@@ -6,7 +6,7 @@ import importlib
 
 from fieldbook.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["places", "inputs"]
+MODULES = ["places", "inputs", "values"]
 
 
 def load_all():
