@@ -6,7 +6,7 @@ import importlib
 
 from fieldbook.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["places", "inputs", "values"]
+MODULES = ["places", "inputs", "values", "totals"]
 
 
 def load_all():
