@@ -316,7 +316,7 @@ WITH f AS (SELECT user_id % 40 AS g, CASE event_id % 3 WHEN 0 THEN 'The Riverkee
  'Riverkeepers, Inc. ' END || (user_id % 40) AS who, CASE WHEN event_id % 997 = 0 THEN 'withdrawal' WHEN event_id % 50 = 0
  THEN 'motion' ELSE 'late motion' END AS kind, ts::DATE AS filed FROM events),
 n AS (SELECT g, who, count(*) AS n, min(filed) AS f FROM f GROUP BY 1, 2)
-SELECT 'riverkeeper ' || g AS key, (SELECT arg_max(who, (n, -epoch(f))) FROM n WHERE n.g = f.g) AS name,
+SELECT 'riverkeeper ' || g AS key, (SELECT arg_min(who, (-n, f, who)) FROM n WHERE n.g = f.g) AS name,
  count(DISTINCT who) AS variants, min(filed) AS first, max(filed) AS last, count(*) AS filings, CASE WHEN
  bool_or(kind = 'withdrawal') THEN 'withdrew' WHEN bool_or(kind = 'motion') THEN 'motion' ELSE 'late motion' END AS status
 FROM f GROUP BY g""")

@@ -320,13 +320,13 @@ def collapse_plants(facs: DataFrame, ident: str, registry: str, last_year: str,
 
 
 def filer_groups(filings: DataFrame, filer: str, kind: str, filed: str, key: Column) -> DataFrame:
-    """Spelling variants grouped by a folded key: commonest spelling (ties: earliest filed), dates, status.
+    """Spelling variants grouped by a folded key: commonest spelling (ties: earliest filed, then by name), dates, status.
 
     withdrawal beats motion beats late motion.
     """
     d = filings.withColumn("__k", key)
     sp = d.groupBy("__k", filer).agg(F.count(F.lit(1)).alias("__n"), F.min(filed).alias("__f"))
-    name = sp.groupBy("__k").agg(F.max_by(filer, F.struct(F.col("__n"), -F.col("__f").cast("double"))).alias("name"),
+    name = sp.groupBy("__k").agg(F.min_by(filer, F.struct(-F.col("__n"), "__f", filer)).alias("name"),
                                  F.count(F.lit(1)).alias("variants"))
     rank = F.when(F.col(kind) == "withdrawal", 2).when(F.col(kind) == "motion", 1).otherwise(0)
     g = d.groupBy("__k").agg(F.min(filed).alias("first"), F.max(filed).alias("last"),
