@@ -6,7 +6,7 @@ import importlib
 
 from fieldbook.catalog.registry import ORACLES, QUERIES
 
-MODULES = ["places", "inputs", "values", "totals", "time", "links", "papers"]
+MODULES = ["places", "inputs", "values", "totals", "time", "links", "papers", "signals"]
 
 
 def load_all():
