@@ -86,7 +86,7 @@ def s4(spark, d):
     spill = (k % 7).isin(3, 4) & (k > 3)
     sheet = o.select(k.alias("pos"), F.when(spill, "rest of the text").otherwise(k.cast("string")).alias("seq"),
                      F.col("o_orderpriority").alias("txt"))
-    fixed = records.repair_spills(sheet, "seq", "pos", F.floor(F.col("pos") / 1000), ["txt"])
+    fixed = records.repair_spills(sheet, "seq", "pos", ["txt"])
     return records.join_fragments(fixed, "pos", ["txt"])
 
 

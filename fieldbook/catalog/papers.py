@@ -399,5 +399,5 @@ WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDE
 SELECT conv_id, turn FROM p WHERE pv IS NULL OR pv <> text""")
 def w11_b(spark, d):
     from fieldbook.operators import temporal
-    return temporal.drop_repeats(table(spark, d, "conversations"), ["conv_id"], ["turn"], F.floor(F.col("turn") / 1000), "text").select(
+    return temporal.drop_repeats(table(spark, d, "conversations"), ["conv_id"], ["turn"], "text").select(
         "conv_id", "turn")

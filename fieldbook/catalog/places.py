@@ -11,7 +11,7 @@ from fieldbook.operators import graph, rollups, spatial
 from fieldbook.sources import table
 
 CENTER = (31.0, -91.0)
-RADIUS = 60.0
+RADIUS = 150.0
 _SUP = f"sup AS (SELECT *, {sql_coordinates('s_suppkey')} FROM supplier)"
 _CUS = f"cus AS (SELECT *, {sql_coordinates('c_custkey')} FROM customer)"
 
@@ -27,7 +27,7 @@ def customers(spark, d):
 _NEAR = f"""near AS (SELECT *, {sql_haversine(CENTER[0], CENTER[1], 'lat', 'lon')} AS dist FROM sup)"""
 _RELEASES = """facts AS (SELECT l.*, n.s_name, n.dist, l_quantity AS onsite,
   CASE WHEN l_returnflag = 'A' THEN l_quantity * 0.5 ELSE 0 END AS air
-  FROM lineitem l JOIN near n ON l.l_suppkey = n.s_suppkey WHERE n.dist <= 60.0)"""
+  FROM lineitem l JOIN near n ON l.l_suppkey = n.s_suppkey WHERE n.dist <= 150.0)"""
 
 
 def releases(spark, d):
@@ -52,7 +52,7 @@ SELECT l_suppkey AS facility, any_value(s_name) AS name, round(any_value(dist),
   count(DISTINCT l_partkey) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'O') AS chemicals
 FROM facts GROUP BY l_suppkey""")
 def a2_facility(spark, d):
-    """Flagship: everything released within 60 miles of a point, per facility, pounds and grams apart."""
+    """Flagship: everything released within 150 miles of a point, per facility, pounds and grams apart."""
     return rollups.radius_rollup(releases(spark, d), suppliers(spark, d), CENTER, RADIUS, "facility", "s_suppkey",
                                  "s_name", "chemical", by="facility")
 

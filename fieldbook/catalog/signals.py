@@ -269,12 +269,9 @@ o AS (SELECT *, coalesce(lag(st) OVER (PARTITION BY user_id ORDER BY p), 0) AS p
 @query("x5_trigger_sessions", f"""WITH {_TRIG}, n AS (SELECT *, sum(CASE WHEN st = 1 AND pst = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS ss FROM o)
 SELECT user_id, ss::BIGINT AS session, min(p) AS start, max(p) AS "end", round(max(ratio), 6) AS peak, count(*) AS rows FROM n WHERE st = 1 GROUP BY 1, 2""")
 def x5(spark, d):
-    from fieldbook.plans.ordered import position
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
-    day = F.to_date("ts")
-    r = series.trigger_ratio(e, ["user_id"], ["ts", "event_id"], day, "value", 3, 12)
-    r = position(r, ["user_id"], ["ts", "event_id"], day, "pos")
-    s = temporal.trigger_sessions(r, ["user_id"], "pos", F.floor(F.col("pos") / 1000), "ratio", 1.6, 0.9)
+    r = series.trigger_ratio(e, ["user_id"], ["ts", "event_id"], "value", 3, 12)
+    s = temporal.trigger_sessions(r, ["user_id"], "pos", "ratio", 1.6, 0.9)
     return s.select("user_id", "session", "start", "end", F.round("peak", 6).alias("peak"), "rows")
 
 

@@ -98,7 +98,7 @@ def w6(spark, d):
     k = F.col("k")
     e = events(spark, d).select("user_id", "ts", "event_id", F.when(k % 3 == 0, 0.0).when(k % 7 == 0, 0.5)
                                 .otherwise(1.0).alias("op"))
-    return temporal.transitions(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "op").select(
+    return temporal.transitions(e, ["user_id"], ["ts", "event_id"], "op").select(
         "user_id", "event_id", "event", "partial")
 
 
@@ -159,7 +159,7 @@ def w10(spark, d):
 SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p
  FROM events) WHERE p IS NULL OR p <> event_type""")
 def w11(spark, d):
-    return temporal.drop_repeats(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.to_date("ts"),
+    return temporal.drop_repeats(table(spark, d, "events"), ["user_id"], ["ts", "event_id"],
                                  "event_type").select("user_id", "event_id", "event_type")
 
 
@@ -202,7 +202,7 @@ SELECT user_id, event_id, round(CASE WHEN v IS NOT NULL THEN v ELSE coalesce(lv,
  * (p - coalesce(lp, 0)) / (coalesce(hp, n + 1) - coalesce(lp, 0)) END, 6) AS filled FROM a""")
 def w14(spark, d):
     e = events(spark, d).select("user_id", "event_id", "ts", F.when(F.col("k") % 3 == 0, F.col("value")).alias("v"))
-    return temporal.fill_between(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "v").select(
+    return temporal.fill_between(e, ["user_id"], ["ts", "event_id"], "v").select(
         "user_id", "event_id", F.round("filled", 6).alias("filled"))
 
 
@@ -245,7 +245,7 @@ WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORD
  (PARTITION BY user_id) AS n FROM events), j AS (SELECT unnest(range(7)) AS j)
 SELECT DISTINCT user_id, event_id FROM p, j WHERE n <= 7 OR i = floor(j * (n / 7.0))""")
 def w17(spark, d):
-    return ranking.spread_sample(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], F.to_date("ts"), 7).select(
+    return ranking.spread_sample(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 7).select(
         "user_id", "event_id")
 
 
@@ -266,7 +266,7 @@ SELECT user_id, event_id, CASE WHEN pe IS NULL THEN '' ELSE concat_ws(',', CASE
 def w19(spark, d):
     e = events(spark, d).select("user_id", "event_id", "ts", F.col("event_type").alias("sensor"),
                                 (F.col("k") % 2).alias("rate"))
-    return temporal.change_flags(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), ["sensor", "rate"]).select(
+    return temporal.change_flags(e, ["user_id"], ["ts", "event_id"], ["sensor", "rate"]).select(
         "user_id", "event_id", "changed")
 
 
@@ -345,7 +345,7 @@ def j17(spark, d):
     s = lambda p: o.select("o_custkey", F.col("o_orderkey").alias(f"{p}k"), F.col("day").alias(f"{p}a"), F.when(
         F.col("o_orderkey") % 11 == 0, None).otherwise(F.date_add("day", (F.col("o_orderkey") % 60 + 1).cast("int")))
         .alias(f"{p}b"))
-    j = temporal.overlap_join(s("x"), s("y"), ["o_custkey"], ("xa", "xb"), ("ya", "yb"), 180, "2003-01-01")
+    j = temporal.overlap_join(s("x"), s("y"), ["o_custkey"], ("xa", "xb"), ("ya", "yb"), ["xk"])
     return j.where("xk < yk").select("o_custkey", F.col("xk").alias("one"), F.col("yk").alias("two"))
 
 
@@ -468,13 +468,13 @@ def a21(spark, d):
 
 _RISK = """k AS (SELECT *, CASE WHEN item = '5-LOW' THEN NULL WHEN item = '3-MEDIUM' THEN 3e-6 * (integral + 0.25 * (adaf_integral -
  integral)) / 70 ELSE 3e-6 * integral / 70 END AS risk, CASE WHEN item = '4-NOT SPECIFIED' OR exposed_years = 0 THEN NULL ELSE integral /
- exposed_years / 40.0 END AS hq FROM e)"""
+ exposed_years / 37.0 END AS hq FROM e)"""
 
 
 def risks(spark, d):
     e = exposure_results(spark, d)
     ure = F.when(F.col("item") != "5-LOW", 3e-6)
-    rfc = F.when(F.col("item") != "4-NOT SPECIFIED", 40.0)
+    rfc = F.when(F.col("item") != "4-NOT SPECIFIED", 37.0)
     return e.select("member", "item", units.cancer_risk("integral", "adaf_integral", ure, F.col("item") == "3-MEDIUM",
                                                         0.25).alias("risk"),
                     units.hazard_quotient("exposed_average", rfc).alias("hq"))

@@ -406,23 +406,45 @@ def case_keys(body: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(body))
 
 
-def track_cases(items: DataFrame, item_id: str, body: str, cases: DataFrame, case_id: str, title: str) -> DataFrame:
-    """Items that contain a key of a case. Keys meet items on the key's first word, then the whole key is checked."""
-    k = cases.select(case_id, F.explode(F.transform(case_keys(F.col(title)), lambda x: F.lower(x))).alias("__key"))
-    k = k.withColumn("__w", F.regexp_extract("__key", r"([a-z0-9]+)", 1)).where(F.col("__w") != "")
+def track_cases(items: DataFrame, item_id: str, body: str, cases: DataFrame, case_id: str, title: str,
+                scan_up_to: int = 2000) -> DataFrame:
+    """Items that contain a key of a case, with the number of keys found.
+
+    A watch list of at most ``scan_up_to`` keys (counted, not assumed) rides along as one array and the items are
+    scanned once without a shuffle. A longer list meets the items on each key's rarest three letters, so common words
+    never pair everything with everything; then the whole key is checked.
+    """
+    k = cases.select(case_id, F.explode(F.transform(case_keys(F.col(title)), lambda x: F.lower(x))).alias("__key")).where(
+        F.col("__key") != "").distinct()
+    t = items.select(item_id, F.lower(body).alias("__t"))
+    if len(k.limit(scan_up_to + 1).collect()) <= scan_up_to:
+        arr = k.agg(F.collect_list(F.struct(case_id, "__key")).alias("a")).select("a").scalar()
+        hit = t.withColumn("__a", arr).select(item_id, F.explode(F.filter("__a", lambda x: F.col("__t").contains(x["__key"])))
+                                              .alias("h")).select(item_id, f"h.{case_id}")
+        return hit.groupBy(item_id, case_id).agg(F.count(F.lit(1)).alias("keys"))
+    return _track_by_grams(t, k, item_id, case_id)
+
+
+def _track_by_grams(t: DataFrame, k: DataFrame, item_id: str, case_id: str) -> DataFrame:
     from fieldbook.plans.skew import salted_join
-    w = items.select(item_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit("([a-z0-9]+)"),
-                                                                             F.lit(1)))).alias("__w"))
-    pairs = salted_join(w, k, ["__w"], [item_id]).select(item_id, case_id, "__key").distinct()
-    j = pairs.join(items.select(item_id, F.lower(body).alias("__t")), item_id)
-    return j.where(F.col("__t").contains(F.col("__key"))).groupBy(item_id, case_id).agg(
-        F.count(F.lit(1)).alias("keys"))
+
+    def grams(c):
+        n = F.length(c)
+        return F.array_distinct(F.when(n <= 3, F.array(F.col(c))).otherwise(F.transform(
+            F.sequence(F.lit(1), n - 2), lambda i: F.col(c).substr(i, F.lit(3)))))
+    g = t.select(item_id, F.explode(grams("__t")).alias("__g"))
+    freq = g.groupBy("__g").agg(F.count(F.lit(1)).alias("__f"))
+    kg = k.where(F.length("__key") >= 3).withColumn("__g", F.explode(grams("__key"))).join(freq, "__g", "left")
+    rare = kg.groupBy(case_id, "__key").agg(F.min_by("__g", F.struct(F.coalesce("__f", F.lit(0)), "__g")).alias("__g"))
+    pairs = salted_join(g, rare, ["__g"], [item_id])
+    j = pairs.join(t, item_id).where(F.col("__t").contains(F.col("__key")))
+    return j.groupBy(item_id, case_id).agg(F.count(F.lit(1)).alias("keys"))
 
 
 def passages(lines: DataFrame, keys: Sequence[str], pattern: str, gap: int = 2, around: int = 1) -> DataFrame:
     """Runs of matching lines (gap up to ``gap``) as one passage with a line of context each side."""
     hit = lines.where(F.col("line").rlike(pattern)).select(*keys, "line_no")
-    d = islands(hit, keys, ["line_no"], F.floor(F.col("line_no") / 1000),
+    d = islands(hit, keys, ["line_no"],
                 F.col("line_no") - F.col("prev.line_no") > gap, ["line_no"], "passage")
     g = d.groupBy(*keys, "passage").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
                                         F.count(F.lit(1)).alias("hits"))

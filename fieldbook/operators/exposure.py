@@ -102,19 +102,23 @@ def combine_sources(series: DataFrame, keys: Sequence[str], conc: str) -> DataFr
 def hazard_totals(rows: DataFrame, organs: DataFrame, member: str, item: str, risk: str, hq: str) -> DataFrame:
     """Per member: risks add; quotients add only within a target organ; what has no number is counted apart.
 
-    ``organs`` is (item, organ), one row per pair.
+    ``organs`` is (item, organ), one row per pair; an item has a handful of organs. The rows are read once.
     """
-    base = rows.groupBy(member).agg(
-        F.sum(risk).alias("cancer_risk"), F.count(risk).alias("cancer_items"),
-        F.count_if(F.col(risk).isNull()).alias("unquantified_cancer"),
-        F.count_if(F.col(hq).isNull()).alias("unquantified_noncancer"))
-    o = rows.where(F.col(hq).isNotNull()).join(organs, item)
-    hi = (o.groupBy(member, "organ").agg(F.sum(hq).alias("hazard_index"))
-          .groupBy(member).agg(F.max_by("organ", F.struct("hazard_index", "organ")).alias("worst_organ"),
-                               F.max("hazard_index").alias("worst_index"), F.count(F.lit(1)).alias("organs")))
-    un = (rows.where(F.col(hq).isNotNull()).join(organs, item, "left_anti").groupBy(member)
-          .agg(F.count(F.lit(1)).alias("unassigned")))
-    return base.join(hi, member, "left").join(un, member, "left").na.fill(0, ["unassigned"])
+    lists = organs.groupBy(item).agg(F.collect_list("organ").alias("__o"))
+    j = rows.join(lists, item, "left").select(member, risk, hq, F.col("__o").isNotNull().alias("__known"),
+                                              F.posexplode_outer("__o").alias("__i", "organ"))
+    once = F.coalesce("__i", F.lit(0)) == 0
+    part = j.groupBy(member, "organ").agg(
+        F.sum(F.when(once, F.col(risk))).alias("risk"), F.count(F.when(once, F.col(risk))).alias("n_risk"),
+        F.count_if(once & F.col(risk).isNull()).alias("no_risk"), F.count_if(once & F.col(hq).isNull()).alias("no_hq"),
+        F.sum(hq).alias("hi"), F.count_if(~F.col("__known") & F.col(hq).isNotNull()).alias("un"))
+    with_index = F.col("organ").isNotNull() & F.col("hi").isNotNull()
+    return part.groupBy(member).agg(
+        F.sum("risk").alias("cancer_risk"), F.sum("n_risk").alias("cancer_items"),
+        F.sum("no_risk").alias("unquantified_cancer"), F.sum("no_hq").alias("unquantified_noncancer"),
+        F.max_by("organ", F.when(with_index, F.struct("hi", "organ"))).alias("worst_organ"),
+        F.max(F.when(with_index, F.col("hi"))).alias("worst_index"), F.count_if(with_index).alias("organs"),
+        F.sum("un").alias("unassigned"))
 
 
 def series_status(modeled: DataFrame, filed: DataFrame, keys: Sequence[str], years: DataFrame, conc: str,

@@ -111,11 +111,11 @@ def at_most_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def spread_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, n: int) -> DataFrame:
+def spread_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """``n`` rows spread evenly over each key's order (all rows when there are no more than ``n``)."""
-    d = position(df, keys, order, chunk, "__pos")
+    d = position(df, keys, order, None, "__pos")
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    d = d.join(total, list(keys)) if keys else d.withColumn("__n", F.lit(df.count()))
+    d = d.join(total, list(keys)) if keys else d.withColumn("__n", total.select("__n").scalar())
     i = F.col("__pos") - 1
     # row i is taken when some j < n has floor(j * N / n) = i
     j = F.ceil(i * n / F.col("__n"))

@@ -186,14 +186,14 @@ def compare_spectra(before: DataFrame, after: DataFrame, freqs: str, levels: str
         (F.col("persistence") >= 0.5).alias("persistent"), F.lit(not same_instrument).alias("instrument_changed"))
 
 
-def trigger_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str, short: int,
+def trigger_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, short: int,
                   long: int) -> DataFrame:
-    """Short-term over long-term average of the last rows; null until the long window is full.
+    """Short-term over long-term average of the last rows; null until the long window is full. ``pos`` numbers the rows.
 
     Running sums are met with the sums ``short`` and ``long`` rows back by position, so no window spans a whole key.
     """
     d = df.withColumn("__one", F.lit(1).cast("long"))
-    d = running(d, keys, order, chunk, {"__p": ("sum", "__one"), "__s": ("sum", value)}).drop("__one")
+    d = running(d, keys, order, None, {"__p": ("sum", "__one"), "__s": ("sum", value)}).drop("__one")
     back = d.select(*keys, F.col("__p").alias("__q"), F.col("__s").alias("__b"))
 
     def lagged(base, rows, name):
@@ -203,7 +203,7 @@ def trigger_ratio(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     sta = (F.col("__s") - F.coalesce("__bs", F.lit(0.0))) / short
     lta = (F.col("__s") - F.coalesce("__bl", F.lit(0.0))) / long
     ratio = F.when(F.col("__p") >= long, F.try_divide(sta, F.nullif(lta, F.lit(0.0))))
-    return d.withColumn("ratio", ratio).drop("__p", "__s", "__bs", "__bl")
+    return d.withColumn("ratio", ratio).withColumnRenamed("__p", "pos").drop("__s", "__bs", "__bl")
 
 
 def one_sided_hours(cells: DataFrame, keys: Sequence[str], hour: str, km: str, bearing: str, radius_km: float,

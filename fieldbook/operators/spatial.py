@@ -159,7 +159,7 @@ def line_segments(lines: DataFrame, line_id: str, coords: str) -> DataFrame:
         F.element_at(coords, i + 1)[0].alias("x2"), F.element_at(coords, i + 1)[1].alias("y2")))
     d = lines.where(n > 1).select(line_id, F.explode(seg).alias("s")).select(line_id, "s.*")
     d = d.withColumn("length", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-    d = running(d, [line_id], ["seg"], F.floor(F.col("seg") / 1000), {"m_end": ("sum", "length")})
+    d = running(d, [line_id], ["seg"], None, {"m_end": ("sum", "length")})
     return d.withColumn("m_start", F.col("m_end") - F.col("length"))
 
 

@@ -7,20 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.plans.ordered import running, with_previous
+from fieldbook.plans.ordered import add_chunks, running, with_previous
+from fieldbook.plans.skew import salted_join
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, touching: bool = True,
-                    chunk: Column | None = None) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, touching: bool = True) -> DataFrame:
     """Half-open intervals merged per key; touching ones join when ``touching``. Null end means open.
 
-    The running greatest end is carried chunk by chunk (a year of starts by default), so a key with a third of all
-    intervals is many tasks.
+    The running greatest end is carried chunk by chunk, so a key with a third of all intervals is many tasks.
     """
     far = F.lit("9999-12-31").cast("date")
     d = df.select(*keys, start, F.coalesce(F.col(end), far).alias("__e")).groupBy(*keys, start).agg(
         F.max("__e").alias("__e"))
-    ch = chunk if chunk is not None else F.year(start)
+    d, ch = add_chunks(d, keys, start), F.col("__ck")
     d = running(d, keys, [start], ch, {"__reach": ("max", "__e")}, inclusive=False)
     gap = (F.col(start) > F.col("__reach")) if touching else (F.col(start) >= F.col("__reach"))
     d = d.withColumn("__new", F.when(F.col("__reach").isNull() | gap, 1).otherwise(0).cast("long"))
@@ -47,7 +46,7 @@ def _covering(windows, merged, keys, win):
                           F.lit(None).cast("struct<__s:date,__e:date>").alias("__span"),
                           F.col(win[0]).alias("__w0"), F.col(win[1]).alias("__w1")).distinct()
     u = marks.unionByName(asks)
-    u = running(u, keys, ["__t", "__kind", "__w1"], F.year("__t"), {"__last": ("last", "__span")})
+    u = running(u, keys, ["__t", "__kind", "__w1"], None, {"__last": ("last", "__span")})
     got = u.where("__kind = 1").select(
         *keys, F.col("__w0").alias(win[0]), F.col("__w1").alias(win[1]),
         F.coalesce(F.col("__last.__e") > F.col("__w1"), F.lit(False)).alias("covered"))
@@ -70,26 +69,26 @@ def value_drift(df: DataFrame, keys: Sequence[str], value: str, year: str) -> Da
     return year_runs(df.select(*keys, value, year), [*keys, value], year, sep=",")
 
 
-def drop_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, content: str) -> DataFrame:
+def drop_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], content: str) -> DataFrame:
     """Keep a version only when its content differs from the version right before it."""
     d = df.withColumn("__digest", F.sha2(F.coalesce(F.col(content), F.lit("")), 256))
-    d = with_previous(d, keys, order, ["__digest"], chunk, "__p")
+    d = with_previous(d, keys, order, ["__digest"], None, "__p")
     return d.where(F.col("__p").isNull() | (F.col("__p.__digest") != F.col("__digest"))).drop("__p", "__digest")
 
 
-def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, amount: str) -> DataFrame:
+def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str) -> DataFrame:
     """On/off transitions and partial hours: ``event`` is START-UP, SHUTDOWN or null, ``partial`` 0 < amount < 1."""
     d = df.withColumn("on", F.coalesce(F.col(amount), F.lit(0.0)) > 0)
-    d = with_previous(d, keys, order, ["on"], chunk, "__p")
+    d = with_previous(d, keys, order, ["on"], None, "__p")
     changed = F.col("__p").isNotNull() & (F.col("__p.on") != F.col("on"))
     return d.withColumn("event", F.when(changed & F.col("on"), "START-UP").when(changed, "SHUTDOWN")).withColumn(
         "partial", F.col("on") & (F.col(amount) < 1)).drop("__p")
 
 
-def change_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def change_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  fields: Sequence[str]) -> DataFrame:
     """Which fields differ from the epoch before (``changed`` lists them; empty text for none)."""
-    d = with_previous(df, keys, order, fields, chunk, "__p")
+    d = with_previous(df, keys, order, fields, None, "__p")
     parts = [F.when(F.col("__p").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"__p.{c}")), F.lit(c)) for c in fields]
     return d.withColumn("changed", F.concat_ws(",", *parts)).drop("__p")
 
@@ -124,23 +123,23 @@ def _buckets(start: Column, end: Column, days: int) -> Column:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l_span: tuple[str, str],
-                 r_span: tuple[str, str], days: int = 180, horizon: str = "2100-01-01") -> DataFrame:
+                 r_span: tuple[str, str], salt_by: Sequence[str], days: int = 180) -> DataFrame:
     """Pairs of half-open intervals of one key that overlap; null end is open.
 
     Both sides are cut into day buckets and met by an equi join on (key, bucket), so no key's rows are all compared
-    with each other. A pair is kept only in the first bucket both touch. Open ends reach to ``horizon``, which must lie
-    beyond every start.
+    with each other, and a hot (key, bucket) is split. A pair is kept only in the first bucket both touch. An open end
+    reaches to the last start on the other side, beyond which it can meet nothing.
     """
-    top = F.lit(horizon).cast("date")
-    le = F.coalesce(F.least(F.col(l_span[1]), top), top)
-    re_ = F.coalesce(F.least(F.col(r_span[1]), top), top)
-    l = left.withColumn("__b", F.explode(_buckets(F.col(l_span[0]), F.date_sub(le, 1), days)))
-    r = right.withColumn("__b", F.explode(_buckets(F.col(r_span[0]), F.date_sub(re_, 1), days)))
-    first = F.floor(F.datediff(F.greatest(F.col(l_span[0]), F.col(r_span[0])), F.lit("1970-01-01").cast("date")) / days)
-    return (l.join(r, [*keys, "__b"])
-            .where((F.col(l_span[0]) < F.coalesce(F.col(r_span[1]), F.lit("9999-12-31").cast("date")))
-                   & (F.col(r_span[0]) < F.coalesce(F.col(l_span[1]), F.lit("9999-12-31").cast("date")))
-                   & (F.col("__b") == first)).drop("__b"))
+    far, epoch = F.lit("9999-12-31").cast("date"), F.lit("1970-01-01").cast("date")
+
+    def cut(df, span, other, other_span):
+        last = other.agg(F.date_add(F.max(other_span[0]), 1).alias("m")).select("m").scalar()
+        end = F.date_sub(F.greatest(F.least(F.coalesce(F.col(span[1]), far), last), F.date_add(span[0], 1)), 1)
+        return df.withColumn("__b", F.explode(_buckets(F.col(span[0]), end, days)))
+    j = salted_join(cut(left, l_span, right, r_span), cut(right, r_span, left, l_span), [*keys, "__b"], salt_by)
+    first = F.floor(F.datediff(F.greatest(F.col(l_span[0]), F.col(r_span[0])), epoch) / days)
+    return j.where((F.col(l_span[0]) < F.coalesce(F.col(r_span[1]), far))
+                   & (F.col(r_span[0]) < F.coalesce(F.col(l_span[1]), far)) & (F.col("__b") == first)).drop("__b")
 
 
 def within_days(left: DataFrame, right: DataFrame, keys: Sequence[str], l_date: str, r_date: str, before: int,
@@ -151,7 +150,7 @@ def within_days(left: DataFrame, right: DataFrame, keys: Sequence[str], l_date:
     b = lambda c: F.floor(F.datediff(c, epoch) / width)
     r = right.withColumn("__b", b(F.col(r_date)))
     l = left.withColumn("__b", F.explode(F.sequence(b(F.date_sub(l_date, before)), b(F.date_add(l_date, after)))))
-    return l.join(r, [*keys, "__b"]).where(
+    return salted_join(r, l, [*keys, "__b"], [r_date, *keys]).where(
         F.col(r_date).between(F.date_sub(l_date, before), F.date_add(l_date, after))).drop("__b")
 
 
@@ -193,7 +192,7 @@ def documents_between(found: DataFrame, docs: DataFrame, keys: Sequence[str], sa
             *keys, F.to_date(col).alias("__t"), F.lit(kind).alias("__kind"),
             F.col(sample_id).cast("string").alias("__id"), *nulls)
         asks = a if asks is None else asks.unionByName(a)
-    u = running(marks.unionByName(asks), keys, ["__t", "__kind", "__id"], F.year("__t"), cums)
+    u = running(marks.unionByName(asks), keys, ["__t", "__kind", "__id"], None, cums)
     got = u.where("__kind > 0").groupBy("__id").agg(*[
         (F.max(F.when(F.col("__kind") == 2, F.col(f"__c_{i}"))) - F.max(F.when(F.col("__kind") == 1, F.col(f"__c_{i}"))))
         .alias(f"n_{c}") for i, c in enumerate(classes)])
@@ -211,10 +210,11 @@ def explained_by_event(visits: DataFrame, events: DataFrame, keys: Sequence[str]
         "class", F.when(F.col("events") > 0, "EXPLAINED").otherwise("UNEXPLAINED"))
 
 
-def fill_between(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, value: str,
+def fill_between(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                  out: str = "filled") -> DataFrame:
     """Missing values between two known ones by even spacing; at the ends they run up to one unit outward."""
-    d = df.withColumn("__one", F.lit(1).cast("long"))
+    chunk = F.col("__ck")
+    d = add_chunks(df, keys, order[0]).withColumn("__one", F.lit(1).cast("long"))
     d = running(d, keys, order, chunk, {"__pos": ("sum", "__one")}).drop("__one")
     d = d.withColumn("__known", F.when(F.col(value).isNotNull(), F.struct(
         F.col("__pos").alias("p"), F.col(value).cast("double").alias("v"))))
@@ -229,21 +229,21 @@ def fill_between(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
     hi_p, hi_v = F.coalesce(hi["p"], F.col("__n") + 1), F.coalesce(hi["v"], lo["v"] + 1.0)
     est = lo_v + (hi_v - lo_v) * (p - lo_p) / (hi_p - lo_p)
     return d.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value).cast("double")).otherwise(est)).drop(
-        "__pos", "__known", "__lo", "__hi", "__n")
+        "__pos", "__known", "__lo", "__hi", "__n", "__ck")
 
 
 def level_interpolation(heights: DataFrame, levels: DataFrame, keys: Sequence[str], z: str, level_z: str,
                         fields: Sequence[str], max_gap: float) -> DataFrame:
     """Values at a height from the bracketing levels, refused (null) when they are too far apart.
 
-    One as-of pass down and one up over the union of levels and wanted heights; a profile is chunked by kilometre.
+    One as-of pass down and one up over the union of levels and wanted heights; hot profiles are cut into chunks.
     """
     item = F.struct(F.col(level_z).alias("z"), *fields)
     lv = levels.select(*keys, F.col(level_z).alias("__z"), F.lit(0).alias("__kind"), item.alias("__lv"))
     ask = heights.select(*keys, F.col(z).alias("__z"), F.lit(1).alias("__kind")).distinct().withColumn(
         "__lv", F.lit(None).cast(lv.schema["__lv"].dataType))
     u = lv.withColumn("__k2", F.lit(0)).unionByName(ask.withColumn("__k2", F.lit(1)))
-    ch = F.floor(F.col("__z") / 1000)
+    u, ch = add_chunks(u, keys, "__z"), F.col("__ck")
     u = running(u, keys, ["__z", "__k2"], ch, {"__b": ("last", "__lv")})
     u = running(u, keys, [F.col("__z"), -F.col("__k2")], ch, {"__a": ("first_next", "__lv")})
     g = u.where("__kind = 1")
@@ -255,14 +255,14 @@ def level_interpolation(heights: DataFrame, levels: DataFrame, keys: Sequence[st
     return g.select(*keys, F.col("__z").alias(z), *[F.when(ok, b[c] + f * (a[c] - b[c])).alias(c) for c in fields])
 
 
-def trigger_sessions(df: DataFrame, keys: Sequence[str], order: str, chunk: Column, ratio: str, on: float,
-                     off: float) -> DataFrame:
+def trigger_sessions(df: DataFrame, keys: Sequence[str], order: str, ratio: str, on: float, off: float) -> DataFrame:
     """Sessions that open when the ratio reaches ``on`` and close when it falls below ``off``.
 
     Between the two thresholds the state is whatever it was, so it is a forward fill of the last decisive row.
     """
     r = F.col(ratio)
-    d = df.withColumn("__mark", F.when(r >= on, 1).when(r < off, 0).cast("long"))
+    chunk = F.col("__ck")
+    d = add_chunks(df, keys, order).withColumn("__mark", F.when(r >= on, 1).when(r < off, 0).cast("long"))
     d = running(d, keys, [order], chunk, {"__state": ("last", "__mark")})
     d = d.withColumn("__state", F.coalesce("__state", F.lit(0)))
     d = with_previous(d, keys, [order], ["__state"], chunk, "__p")

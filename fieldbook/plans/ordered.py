@@ -1,11 +1,12 @@
 """Ordered work over keys that may hold a third of all rows.
 
-A window partitioned by such a key would put that third in one task. These helpers split every key into
-ordered chunks (a day, a year, a block of line numbers), run the window inside (key, chunk), reduce each
-chunk to one carry row, run a second window over the carry rows only, and join the carry back. Results
-equal the plain window; the largest task holds one chunk, or one row per chunk of a key.
+A window partitioned by such a key would put that third in one task. These helpers cut the rows of a hot key into
+ordered chunks, run the window inside (key, chunk), reduce each chunk to one carry row, run a second window over the
+carry rows only, and join the carry back. Results equal the plain window.
 
-``chunk`` must be non-decreasing in ``order``, and ``order`` must be total within a key.
+The cut is chosen from the data: a key with more than ``ROWS_PER_CHUNK`` rows is split by equal steps of its order
+column so that a chunk holds about that many rows; every other key is one chunk. Counts, minima and maxima decide it,
+so a retried task cuts in the same place. ``order`` must be total within a key and start with a number, date or time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "__chunk"
+ROWS_PER_CHUNK = 1_000_000
+
+
+def _number(c: Column, kind: str) -> Column:
+    if kind.startswith("timestamp"):
+        return F.unix_micros(c).cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
+def add_chunks(df: DataFrame, keys: Sequence[str], order, out: str = "__ck", rows: int | None = None) -> DataFrame:
+    """Add ``out``: 0 for ordinary keys, an ordered chunk number for hot ones."""
+    rows = rows or ROWS_PER_CHUNK
+    first = F.col(order) if isinstance(order, str) else order
+    kind = df.select(first.alias("__o")).dtypes[0][1]
+    d = df.withColumn("__x", _number(first, kind))
+    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    step = F.greatest((F.col("__hi") - F.col("__lo")) * rows / F.col("__n"), F.lit(1e-9))
+    hot = stats.where(F.col("__n") > rows).select(*keys, "__lo", step.alias("__step"))
+    if keys:
+        j = d.alias("l").join(hot.alias("r"), _null_safe(keys), "left").select("l.*", "r.__lo", "r.__step")
+        cut = F.floor((F.col("__x") - F.col("__lo")) / F.col("__step"))
+        return j.withColumn(out, F.coalesce(cut, F.lit(0))).drop("__x", "__lo", "__step")
+    one = hot.agg(F.max(F.struct("__lo", "__step")).alias("s")).select("s").scalar()
+    j = d.withColumn("__s", one)
+    cut = F.floor((F.col("__x") - F.col("__s.__lo")) / F.col("__s.__step"))
+    return j.withColumn(out, F.coalesce(cut, F.lit(0))).drop("__x", "__s")
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None) -> DataFrame:
+    return add_chunks(df, keys, order[0], _CHUNK) if chunk is None else df.withColumn(_CHUNK, chunk)
 
 
 def _null_safe(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
@@ -33,7 +66,7 @@ def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str], cols: Sequence
 
 def _neighbour(df, keys, order, cols, chunk, out, forward):
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    d = df.withColumn(_CHUNK, chunk)
+    d = _chunked(df, keys, order, chunk)
     item = F.struct(*cols)
     w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     inside = (F.lead if forward else F.lag)(item).over(w)
@@ -45,19 +78,19 @@ def _neighbour(df, keys, order, cols, chunk, out, forward):
     return got.withColumn(out, F.coalesce(out, "__edge")).drop("__edge", _CHUNK)
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str], chunk: Column,
-                  out: str = "prev") -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
+                  chunk: Column | None = None, out: str = "prev") -> DataFrame:
     """Add struct ``out`` with ``cols`` of the row before (null on a key's first row)."""
     return _neighbour(df, keys, order, cols, chunk, out, False)
 
 
-def with_next(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str], chunk: Column,
-              out: str = "next") -> DataFrame:
+def with_next(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str],
+              chunk: Column | None = None, out: str = "next") -> DataFrame:
     """Add struct ``out`` with ``cols`` of the row after (null on a key's last row)."""
     return _neighbour(df, keys, order, cols, chunk, out, True)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
+def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None,
             spec: Mapping[str, tuple[str, str]], inclusive: bool = True) -> DataFrame:
     """Running aggregates. ``spec`` maps an output name to (kind, column), kind in sum | max | last | first_next.
 
@@ -66,7 +99,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     key = F.struct(*order)
-    d = df.withColumn(_CHUNK, chunk)
+    d = _chunked(df, keys, order, chunk)
     w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     wk = Window.partitionBy(*keys).orderBy(F.col(_CHUNK))
     low, high = Window.unboundedPreceding, Window.unboundedFollowing
@@ -109,15 +142,17 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column,
     return got.withColumns(final).drop(*carried, _CHUNK)
 
 
-def position(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, out: str = "pos") -> DataFrame:
+def position(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None = None,
+             out: str = "pos") -> DataFrame:
     """1-based row number per key, chunk by chunk."""
     d = df.withColumn("__one", F.lit(1).cast("long"))
     return running(d, keys, order, chunk, {out: ("sum", "__one")}).drop("__one")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column, starts: Column,
-            prev_cols: Sequence[str], out: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence, starts: Column, prev_cols: Sequence[str],
+            out: str = "island") -> DataFrame:
     """Number runs of rows. ``starts`` is a Column over the row and ``prev`` (struct of ``prev_cols``)."""
-    d = with_previous(df, keys, order, prev_cols, chunk, "prev")
+    ck = F.col("__ck")
+    d = with_previous(add_chunks(df, keys, order[0]), keys, order, prev_cols, ck, "prev")
     d = d.withColumn("__start", F.when(F.col("prev").isNull() | starts, 1).otherwise(0).cast("long"))
-    return running(d, keys, order, chunk, {out: ("sum", "__start")}).drop("__start")
+    return running(d, keys, order, ck, {out: ("sum", "__start")}).drop("__start", "__ck")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldbook.plans.ordered import running
 
 
-def repair_spills(sheet: DataFrame, key: str, order: str, chunk: Column, sheet_cols: Sequence[str]) -> DataFrame:
+def repair_spills(sheet: DataFrame, key: str, order: str, sheet_cols: Sequence[str]) -> DataFrame:
     """Give rows with a non-numeric key to the record before them.
 
     A line break in a free-text cell pushes the rest of a record onto the next row. Adds ``record`` (the numeric
@@ -19,7 +19,7 @@ def repair_spills(sheet: DataFrame, key: str, order: str, chunk: Column, sheet_c
     """
     d = sheet.where(F.col(key).isNotNull() & (F.col(key) != ""))
     d = d.withColumn("__num", F.col(key).try_cast("long"))
-    d = running(d, [], [order], chunk, {"record": ("last", "__num")})
+    d = running(d, [], [order], None, {"record": ("last", "__num")})
     return d.withColumn("spilled", F.col("__num").isNull()).drop("__num").select(
         "record", "spilled", order, key, *sheet_cols).where(F.col("record").isNotNull())
 
