@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.catalog.places import nation_shapes, squares
 from fieldbook.catalog.registry import query
-from fieldbook.sources import delimited, markup, records, sinks, table
+from fieldbook.sources import delimited, markup, records, sinks, table, text_table
 
 
 @query("s1_decorated_header_csv", """
@@ -165,7 +165,7 @@ def s8(spark, d):
 @query("s9_visible_page_lines")
 def s9(spark, d):
     """Visible text lines of every page (rows only: DuckDB has no HTML parser)."""
-    return markup.page_lines(table(spark, d, "pages"), ["page_id", "url"], "html")
+    return markup.page_lines(text_table(spark, d, "pages", "page_id"), ["page_id", "url"], "html")
 
 
 @query("s11_csv_and_json_sinks", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldbook.catalog.registry import query
 from fieldbook.functions import keys
 from fieldbook.operators import joins, lookup
-from fieldbook.sources import markup, table
+from fieldbook.sources import markup, table, text_table
 
 
 @query("j1_dimension_breakdown", """
@@ -371,7 +371,7 @@ SELECT g, count(*) AS lines, sum(greatest(y - x, 0))::BIGINT AS added, sum(great
 def o6(spark, d):
     """Document pairs (2k, 2k+1) as two versions of a page; every changed line, then summed per pair."""
     k = F.col("doc_id")
-    l = markup.text_lines(table(spark, d, "documents"), ["doc_id"], "text").withColumn("g", F.floor(k / 2))
+    l = markup.text_lines(text_table(spark, d, "documents", "doc_id"), ["doc_id"], "text").withColumn("g", F.floor(k / 2))
     c = joins.changed_lines(l.where(k % 2 == 0), l.where(k % 2 == 1), ["g"], "line")
     return c.groupBy("g").agg(F.count(F.lit(1)).alias("lines"), F.sum("added").alias("added"), F.sum("removed").alias(
         "removed"))
@@ -380,7 +380,7 @@ def o6(spark, d):
 @query("o6_unified_diff")
 def o6_b(spark, d):
     """Ordered diff with context of page pairs (rows only)."""
-    p = table(spark, d, "pages").select("page_id", markup.visible_text("html").alias("t"))
+    p = text_table(spark, d, "pages", "page_id").select("page_id", markup.visible_text("html").alias("t"))
     a = p.where("page_id % 2 = 0").select(F.floor(F.col("page_id") / 2).alias("g"), F.col("t").alias("old"))
     b = p.where("page_id % 2 = 1").select(F.floor(F.col("page_id") / 2).alias("g"), F.col("t").alias("new"))
     return joins.unified_diff(a.join(b, "g"), ["g"], "old", "new", 1)

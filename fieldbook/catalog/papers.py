@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldbook.catalog.registry import query
 from fieldbook.operators import documents as docs
 from fieldbook.operators import ranking
-from fieldbook.sources import markup, table
+from fieldbook.sources import markup, table, text_table
 
 _UN = "lb/hr|lbs/hr|lb/hour|tons/year|tons/yr|ton/yr|tpy|lb/mmbtu|lbs/mmbtu|mmbtu/hour|mmbtu/hr|%|feet|ft|deg f|degf|acfm|scfm|dscfm|gpm"
 
@@ -37,7 +37,7 @@ def bodies(spark, d):
         F.lit(" % efficiency, stack height "), k % 700, F.lit(" ft\nPermit No. "), permit, F.lit(" AI No. "), k % 2 + 41475,
         F.lit(" issued 01/"), F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("/2020\nPermit expires March "), k % 28 + 1,
         F.lit(", "), k % 5 + 2018, F.lit("\nRange 70%-99% rate 1.30E-0"), k % 9 + 1, F.lit(" lb/hr"))
-    return table(spark, d, "documents").select("doc_id", "lang", "source", body.alias("body"))
+    return text_table(spark, d, "documents", "doc_id").select("doc_id", "lang", "source", body.alias("body"))
 
 
 def lines(spark, d):
@@ -191,7 +191,7 @@ t AS (SELECT arg_min(reading, (-hits, distance, reading)) AS top FROM r)
 SELECT reading, distance, hits, documents, reading = (SELECT top FROM t) AS majority, (SELECT bool_and(b) FROM (SELECT bool_or(reading = (SELECT top FROM t)) AS b
  FROM p GROUP BY doc_id)) AS minority_confined FROM r""")
 def t12(spark, d):
-    return docs.value_tally(table(spark, d, "documents"), "doc_id", "text", "anthe")
+    return docs.value_tally(text_table(spark, d, "documents", "doc_id"), "doc_id", "text", "anthe")
 
 
 _BOX = """b AS (SELECT l_orderkey // 4 AS page, l_linenumber AS r, (l_suppkey % 10) * 100 + (l_partkey % 2) * 3.0::DOUBLE AS x0, CASE WHEN l_quantity > 40 THEN 500 ELSE 80
@@ -235,7 +235,7 @@ def t13_b(spark, d):
 @query("t14_reader_votes")
 def t14(spark, d):
     """Two noisy readers against the printed lines of every page of every document (rows only)."""
-    ls = markup.text_lines(table(spark, d, "documents"), ["doc_id"], "text").withColumn(
+    ls = markup.text_lines(text_table(spark, d, "documents", "doc_id"), ["doc_id"], "text").withColumn(
         "page", F.floor((F.col("line_no") - 1) / 20))
     n = F.col("line_no")
     one = ls.where(n % 7 != 0).select("doc_id", "page", F.lit("one").alias("reader"), n.alias("unit_no"), F.when(
@@ -251,14 +251,14 @@ def t15(spark, d):
     k = F.col("doc_id")
     body = F.when(k % 4 == 0, F.concat("text", F.repeat(F.lit(" <!-- 12 rows omitted -->"), (k % 3 + 1).cast("int")))).otherwise(
         F.concat("text", F.lit(" <!-- page 3 -->")))
-    return docs.elision_marks(table(spark, d, "documents").select("doc_id", body.alias("b")), ["doc_id"], "b")
+    return docs.elision_marks(text_table(spark, d, "documents", "doc_id").select("doc_id", body.alias("b")), ["doc_id"], "b")
 
 
 @query("t16_category_tags", """
 WITH c AS (SELECT * FROM (VALUES ('air', '(?i)(?:theand)|(?:inger)'), ('water', '(?i)(?:eaux)'), ('land', '(?i)(?: der )|(?: die )')) x(category, p))
 SELECT doc_id, category, regexp_extract(text, p) AS match FROM documents, c WHERE regexp_matches(text, p)""")
 def t16(spark, d):
-    return docs.tag_items(table(spark, d, "documents"), ["doc_id"], "text", {
+    return docs.tag_items(text_table(spark, d, "documents", "doc_id"), ["doc_id"], "text", {
         "air": ["theand", "inger"], "water": ["eaux"], "land": [" der ", " die "]})
 
 
@@ -320,7 +320,7 @@ WITH v AS (SELECT source, doc_id, len(regexp_extract_all(text, '(?i)the')) AS n
 SELECT source, count(*) AS versions, count(*) FILTER (n > 0) AS with_phrase, min(doc_id) FILTER (n > 0) AS first_seen, max(doc_id) FILTER (n > 0) AS last_seen,
  sum(n)::BIGINT AS matches FROM v GROUP BY 1""")
 def t23(spark, d):
-    return docs.phrase_history(table(spark, d, "documents"), ["source"], "doc_id", "text", "the")
+    return docs.phrase_history(text_table(spark, d, "documents", "doc_id"), ["source"], "doc_id", "text", "the")
 
 
 @query("t24_term_search_by_page", """
@@ -329,7 +329,7 @@ WITH p AS (SELECT doc_id, length(trim(text, chr(32))) < 200 AS short, unnest(str
 SELECT doc_id, CASE WHEN short THEN 'needs OCR' ELSE 'searched' END AS status, page::BIGINT AS page, CASE WHEN NOT short THEN len(regexp_extract_all(t, '(?i)tion|eaux'))
  END::BIGINT AS hits FROM p WHERE short OR len(regexp_extract_all(t, '(?i)tion|eaux')) > 0""")
 def t24(spark, d):
-    dd = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "\n", "\f").alias("t"))
+    dd = text_table(spark, d, "documents", "doc_id").select("doc_id", F.regexp_replace("text", "\n", "\f").alias("t"))
     return docs.term_search(dd, "doc_id", "t", ["tion", "eaux"])
 
 
@@ -355,7 +355,7 @@ g AS (SELECT doc_id, p, min(n) AS a, max(n) AS b, count(*) AS hits FROM i GROUP
 SELECT doc_id, p::BIGINT AS passage, a AS first_line, b AS last_line, hits, (SELECT string_agg(trim(line, chr(32)), ' ' ORDER BY n) FROM l WHERE l.doc_id = g.doc_id AND
  n BETWEEN a - 1 AND b + 1 AND trim(line, chr(32)) <> '') AS context FROM g""")
 def w23(spark, d):
-    ls = markup.text_lines(table(spark, d, "documents"), ["doc_id"], "text")
+    ls = markup.text_lines(text_table(spark, d, "documents", "doc_id"), ["doc_id"], "text")
     return docs.passages(ls, ["doc_id"], r"\b[Tt]he\b")
 
 

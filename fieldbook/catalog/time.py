@@ -296,7 +296,7 @@ SELECT docket, arg_min(decided, doc_id) FILTER (decided IS NOT NULL) AS date, ar
  END, doc_id)) AS caption, count(*) AS records, count(DISTINCT doc_id) AS documents FROM r GROUP BY 1""")
 def w21(spark, d):
     k = F.col("doc_id")
-    r = table(spark, d, "documents").select(
+    r = text_table(spark, d, "documents", "doc_id").select(
         (k % 300).alias("docket"), F.when(k % 4 == 0, None).otherwise(k % 30 + 1990).alias("decided"),
         F.concat("lang", (k % 7).cast("string")).alias("caption"), "source", "doc_id")
     return lookup.docket_groups(r, "docket", ["doc_id"], "decided", "caption", "source", "src3", "doc_id")

@@ -353,7 +353,7 @@ r AS (SELECT doc_id, w, r, CASE r WHEN 'a' THEN length(w) > 1 ELSE doc_id % 5 =
 SELECT doc_id, r AS reader, count(*) AS lines, count(*) FILTER (absent) AS absent, round(count(*) FILTER (absent) / count(*), 6)
  AS absent_rate FROM r GROUP BY 1, 2 HAVING count(*) >= 50 AND count(*) FILTER (absent) / count(*) >= 0.9""")
 def a28(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    w = text_table(spark, d, "documents", "doc_id").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
     w = w.withColumn("reader", F.explode(F.array(F.lit("a"), F.lit("b"))))
     absent = F.when(F.col("reader") == "a", F.length("w") > 1).otherwise((F.col("doc_id") % 5 == 0)
                                                                        | (F.length("w") > 3))
@@ -505,4 +505,4 @@ def a38(spark, d):
 @query("a39_hits_per_docket", """
 SELECT v AS value, count(*) AS hits FROM (SELECT DISTINCT doc_id, unnest([source, lang, source]) AS v FROM documents) GROUP BY 1""")
 def a39(spark, d):
-    return rollups.tally(table(spark, d, "documents").select(F.array("source", "lang", "source").alias("l")), "l")
+    return rollups.tally(text_table(spark, d, "documents", "doc_id").select(F.array("source", "lang", "source").alias("l")), "l")

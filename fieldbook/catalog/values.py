@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldbook.catalog.registry import query
 from fieldbook.functions import dates, keys, text, units, values
 from fieldbook.operators import lookup
-from fieldbook.sources import table
+from fieldbook.sources import table, text_table
 
 
 def sql_fold(c):
@@ -68,7 +68,7 @@ SELECT doc_id, list_has_all({sql_words('text')}, ['the', 'and', 'of']) AS has_al
  list_has_all({sql_words('text')}, ['the', 'for']) OR list_has_all({sql_words('text')}, ['der']) AS has_alias
 FROM documents""")
 def p5(spark, d):
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents", "doc_id").select(
         "doc_id", keys.has_words(F.lit("The AND of"), "text").alias("has_all"),
         keys.has_any_alias("the for|der", "text").alias("has_alias"))
 
@@ -195,7 +195,7 @@ def p17(spark, d):
     files = F.array(name(F.concat(F.lit("report_"), "lang", F.lit(".pdf"))),
                     name(F.concat(F.when(F.col("doc_id") % 3 == 0, "CONFIDENTIAL_").otherwise("public_"),
                                   F.col("doc_id").cast("string"), F.lit(".pdf"))), name(F.lit("Exhibit_sealed.pdf")))
-    x = table(spark, d, "documents").select("doc_id", "source", F.explode(F.filter(
+    x = text_table(spark, d, "documents", "doc_id").select("doc_id", "source", F.explode(F.filter(
         files, lambda f: ~f["name"].rlike("(?i)confidential|sealed"))).alias("f"))
     return x.where(F.concat_ws(" ", "source", "f.name").rlike("(?i)src1")).select(
         "doc_id", F.col("f.name").alias("file_name"))
@@ -293,7 +293,7 @@ SELECT doc_id, len(regexp_extract_all(text, '\bth[a-z]+\b'))::BIGINT AS hits,
   generate_subscripts(string_split(text, chr(10)), 1) AS i) WHERE regexp_matches(p, '(?i)\bthe\b')), '') AS pages FROM documents""")
 def f11(spark, d):
     t = F.regexp_replace("text", "\n", "\f")
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents", "doc_id").select(
         "doc_id", F.size(text.all_matches("text", r"\bth[a-z]+\b")).alias("hits"),
         F.size(F.split("text", r"\. ")).alias("pieces"),
         F.array_join(F.transform(text.pages_matching(t, r"\bthe\b"), lambda v: v.cast("string")), ",").alias("pages"))
@@ -304,7 +304,7 @@ SELECT doc_id, replace(substr(text, greatest(1, p - 20), p + 8 + 20 - greatest(1
 FROM (SELECT doc_id, text, strpos(text, 'shhation') AS p FROM (SELECT doc_id, text || ' end shhation.' AS text FROM documents))""")
 def f11_b(spark, d):
     t = F.concat("text", F.lit(" end shhation."))
-    return table(spark, d, "documents").select("doc_id", text.snippet(t, "shhation", 20).alias("snippet"))
+    return text_table(spark, d, "documents", "doc_id").select("doc_id", text.snippet(t, "shhation", 20).alias("snippet"))
 
 
 @query("f12_docket_parser", """
@@ -334,7 +334,7 @@ WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text,
 SELECT doc_id, len(t)::BIGINT AS tokens, levenshtein(lower(t[1]), 'the')::BIGINT AS distance,
  (CASE WHEN doc_id % 2 = 0 THEN 89 ELSE 100 END)::BIGINT AS cap FROM t WHERE len(t) > 0 AND regexp_matches(t[1], '^[A-Za-z]+$')""")
 def f13(spark, d):
-    t = table(spark, d, "documents").withColumn("t", text.trimmed_tokens("text")).where(F.size("t") > 0)
+    t = text_table(spark, d, "documents", "doc_id").withColumn("t", text.trimmed_tokens("text")).where(F.size("t") > 0)
     cap = text.digit_run_cap(F.lit("7777-00936-00"), F.when(F.col("doc_id") % 2 == 0, "777-00936-00").otherwise(
         "7777-00936-00"))
     return t.where(F.col("t")[0].rlike("^[A-Za-z]+$")).select(
@@ -345,21 +345,21 @@ def f13(spark, d):
 @query("f14_normal_text")
 def f14(spark, d):
     """Unicode compatibility form and case folding of whole documents (rows only: no DuckDB equivalent)."""
-    return table(spark, d, "documents").select("doc_id", text.normal_text("text").alias("normal"))
+    return text_table(spark, d, "documents", "doc_id").select("doc_id", text.normal_text("text").alias("normal"))
 
 
 @query("f15_speakable_text")
 def f15(spark, d):
     """Ordered substitutions, accent fallback and whitespace clean-up (rows only)."""
     run = text.speakable([(r"\[(\d+)\]", "reference $1"), (r"\{([^}]*)\}", "$1")], {"§": "section ", "–": ", "})
-    return table(spark, d, "documents").select("doc_id", run("text").alias("spoken"))
+    return text_table(spark, d, "documents", "doc_id").select("doc_id", run("text").alias("spoken"))
 
 
 @query("f15_non_ascii_audit", """
 SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'), '')) AS ch
  FROM documents) WHERE ch <> '' GROUP BY 1""")
 def f15_b(spark, d):
-    return text.non_ascii_audit(table(spark, d, "documents"), "text").select("ch", "n")
+    return text.non_ascii_audit(text_table(spark, d, "documents", "doc_id"), "text").select("ch", "n")
 
 
 @query("f16_decode_and_nested_default", """

@@ -145,8 +145,9 @@ def value_tally(docs: DataFrame, doc: str, body: str, value: str, distance: int
     """Readings of a value over all documents within a few edits, with counts and whether the minority readings occur
     only in documents that also hold the majority reading."""
     n = len(value)
-    tok = docs.select(doc, F.explode(F.filter(text.trimmed_tokens(body), lambda t: F.length(t).between(
-        n - distance, n + distance))).alias("reading"))
+    tok = docs.select(doc, F.explode(F.split(body, r"\s+")).alias("reading"))
+    tok = tok.withColumn("reading", F.btrim("reading", F.lit(",;:()[]\"'."))).where(
+        F.length("reading").between(max(1, n - distance), n + distance))
     tok = tok.withColumn("distance", F.levenshtein("reading", F.lit(value))).where(F.col("distance") <= distance)
     per = tok.groupBy("reading", "distance", doc).agg(F.count(F.lit(1)).alias("__n"))
     r = per.groupBy("reading", "distance").agg(F.sum("__n").alias("hits"), F.count(F.lit(1)).alias("documents"))
@@ -163,30 +164,41 @@ def cell_number(col: str) -> Column:
                             ",", "").try_cast("double")
 
 
-def header_map(cells: DataFrame, table: Sequence[str], keywords: Mapping[str, str]) -> DataFrame:
-    """(table, header_row, unit, col): the row with most keyword hits names the columns; the last match wins."""
+def _header(cells: DataFrame, table: Sequence[str], keywords: Mapping[str, str]) -> DataFrame:
+    """(table, header_row, heads): the row with most keyword hits and its (col, units) entries."""
     low = F.lower(F.coalesce("text", F.lit("")))
     hits = F.filter(F.array(*[F.when(low.contains(k), F.lit(u)) for k, u in keywords.items()]), lambda x: x.isNotNull())
     d = cells.select(*table, "row", "col", hits.alias("__h")).where(F.size("__h") > 0)
-    rows = d.groupBy(*table, "row").agg(F.sum(F.size("__h")).alias("__n"))
-    best = rows.groupBy(*table).agg(F.min_by("row", F.struct(-F.col("__n"), "row")).alias("header_row"))
-    j = d.join(best, list(table)).where(F.col("row") == F.col("header_row"))
-    return j.select(*table, "header_row", "col", F.explode("__h").alias("unit")).groupBy(
+    rows = d.groupBy(*table, "row").agg(F.sum(F.size("__h")).alias("__n"), F.collect_list(F.struct("col", "__h")).alias("heads"))
+    return rows.groupBy(*table).agg(F.min_by(F.struct("row", "heads"), F.struct(-F.col("__n"), "row")).alias("__b")).select(
+        *table, F.col("__b.row").alias("header_row"), F.col("__b.heads").alias("heads"))
+
+
+def header_map(cells: DataFrame, table: Sequence[str], keywords: Mapping[str, str]) -> DataFrame:
+    """(table, header_row, unit, col): the row with most keyword hits names the columns; the last match wins."""
+    h = _header(cells, table, keywords).select(*table, "header_row", F.explode("heads").alias("e"))
+    return h.select(*table, "header_row", "e.col", F.explode("e.__h").alias("unit")).groupBy(
         *table, "header_row", "unit").agg(F.max("col").alias("col"))
 
 
 def table_rows(cells: DataFrame, table: Sequence[str], keywords: Mapping[str, str]) -> DataFrame:
-    """One row per data row: label (column 0) and a number per unit, with ``<unit>_seen`` for blank cells."""
-    hm = header_map(cells, table, keywords)
+    """One row per data row: label (column 0) and a number per unit, with ``<unit>_seen`` for blank cells.
+
+    The header travels to its table's cells in one join; rows are then built where the table's cells already are.
+    """
     units = sorted(set(keywords.values()))
-    heads = hm.select(*table, "header_row").distinct()
-    d = cells.join(heads, list(table)).where(F.col("row") != F.col("header_row")).drop("header_row")
-    j = d.join(hm.select(*table, "col", "unit"), [*table, "col"], "left")
-    j = j.withColumn("__v", cell_number("text"))
-    return j.groupBy(*table, "row").agg(
+    at = {u: F.array_max(F.transform(F.filter("heads", _holds(u)), lambda e: e["col"])) for u in units}
+    h = _header(cells, table, keywords).select(*table, "header_row", *[c.alias(f"__c_{u}") for u, c in at.items()])
+    d = cells.join(h, list(table)).where(F.col("row") != F.col("header_row"))
+    is_unit = {u: F.col("col") == F.col(f"__c_{u}") for u in units}
+    return d.groupBy(*table, "row").agg(
         F.max(F.when(F.col("col") == 0, F.col("text"))).alias("label"),
-        *[F.max(F.when(F.col("unit") == u, F.col("__v"))).alias(u) for u in units],
-        *[F.max(F.when(F.col("unit") == u, F.trim(F.coalesce("text", F.lit(""))))).alias(f"{u}_seen") for u in units])
+        *[F.max(F.when(c, cell_number("text"))).alias(u) for u, c in is_unit.items()],
+        *[F.max(F.when(c, F.trim(F.coalesce("text", F.lit(""))))).alias(f"{u}_seen") for u, c in is_unit.items()])
+
+
+def _holds(unit: str):
+    return lambda e: F.array_contains(e["__h"], unit)
 
 
 def check_rate_against_year(rows: DataFrame) -> DataFrame:

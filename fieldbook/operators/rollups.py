@@ -22,28 +22,24 @@ def radius_rollup(facts: DataFrame, places: DataFrame, center: tuple[float, floa
     near = (places.where(F.col("lat").between(s, n) & F.col("lon").between(w, e))
             .withColumn("__d", geo.haversine(center[0], center[1], "lat", "lon")).where(F.col("__d") <= radius_mi)
             .select(F.col(place_key).alias(fact_key), F.col(name).alias("name"), "__d"))
-    j = facts.join(near, fact_key)
+    # only keys and numbers pass the aggregation, so it stays hash based; names come back at the end
+    j = facts.join(near.select(fact_key), fact_key)
     lb = ~F.col("short_form") & ~F.col("grams")
     g = ~F.col("short_form") & F.col("grams")
-    zero = lambda cond, col: F.round(F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0.0)), 2)
-    if by == "facility":
-        # distinct items first, so that one facility's filings are combined before the count
-        part = j.groupBy(fact_key, item).agg(
-            F.first("name").alias("name"), F.first("__d").alias("__d"),
-            F.sum(F.when(lb, F.col("onsite"))).alias("lb"), F.sum(F.when(lb, F.col("air"))).alias("air"),
-            F.sum(F.when(lb & F.col("flagged"), F.col("onsite"))).alias("fl"),
-            F.sum(F.when(g, F.col("onsite"))).alias("g"), F.count_if(F.col("short_form")).alias("sf"),
-            F.count_if(lb).alias("n_lb"))
-        z = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2)
-        return part.groupBy(fact_key).agg(
-            F.first("name").alias("name"), F.round(F.first("__d"), 6).alias("distance_mi"), z("lb").alias("onsite_lb"),
-            z("air").alias("air_lb"), z("fl").alias("flagged_lb"), z("g").alias("onsite_g"),
-            F.sum("sf").alias("short_forms"), F.count_if(F.col("n_lb") > 0).alias("chemicals"))
-    part = j.groupBy(item, fact_key).agg(
+    # facility x item first: one hot facility is combined before its items are counted
+    part = j.groupBy(fact_key, item).agg(
         F.sum(F.when(lb, F.col("onsite"))).alias("lb"), F.sum(F.when(lb, F.col("air"))).alias("air"),
-        F.sum(F.when(g, F.col("onsite"))).alias("g"), F.count_if(F.col("short_form")).alias("sf"),
-        F.count_if(lb).alias("n_lb"), F.count_if(~F.col("grams")).alias("n_not_g"))
+        F.sum(F.when(lb & F.col("flagged"), F.col("onsite"))).alias("fl"), F.sum(F.when(g, F.col("onsite"))).alias("g"),
+        F.count_if(F.col("short_form")).alias("sf"), F.count_if(lb).alias("n_lb"),
+        F.count_if(~F.col("grams")).alias("n_not_g"))
     z = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2)
+    if by == "facility":
+        sums = part.groupBy(fact_key).agg(
+            z("lb").alias("onsite_lb"), z("air").alias("air_lb"), z("fl").alias("flagged_lb"), z("g").alias("onsite_g"),
+            F.sum("sf").alias("short_forms"), F.count_if(F.col("n_lb") > 0).alias("chemicals"))
+        return sums.join(near, fact_key).select(
+            fact_key, "name", F.round("__d", 6).alias("distance_mi"), "onsite_lb", "air_lb", "flagged_lb", "onsite_g",
+            "short_forms", "chemicals")
     return (part.groupBy(item).agg(
         z("lb").alias("onsite_lb"), z("air").alias("air_lb"), z("g").alias("onsite_g"),
         F.count_if(F.col("n_lb") > 0).alias("facilities"), F.count_if(F.col("sf") > 0).alias("short_form_facilities"),

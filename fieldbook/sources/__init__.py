@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from fieldbook.sources.tables import table
+from fieldbook.sources.tables import table, text_table
 
-__all__ = ["table"]
+__all__ = ["table", "text_table"]
