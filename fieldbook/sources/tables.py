@@ -21,5 +21,5 @@ def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFra
     ``SMALL_INPUT`` (by the plan's own size estimate) is spread by key once; larger inputs have splits enough and are
     read as they are."""
     df = table(spark, folder, name)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism, key) if size < SMALL_INPUT else df
