@@ -81,7 +81,7 @@ def j5(spark, d):
     q = q.select("l_orderkey", k, F.when(k % 5 == 0, "").when(k % 5 == 1, "9999999").otherwise(
         F.concat(F.lit("00-"), k.cast("string"))).alias("cid"), F.when(k % 10 == 0, "nox total").otherwise(
             F.upper("nm0")).alias("nm"))
-    # the reference's least key is numeric: carry it so that min() picks by number
+    # the least key is meant by number, so the numeric key is carried
     ref = part.select(F.col("p_partkey").alias("ref_no"), "p_name")
     near = part.where("p_partkey % 3 = 0").select("p_partkey")
     r = lookup.match_cascade(q, ref, "cid", "nm", "ref_no", "p_name", [], F.col("nm").rlike(r"(?i)\bnox\b"), near)

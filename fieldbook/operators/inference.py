@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions import geo
 from fieldbook.functions.values import let
 
-# The reference reports that the arrival-time location failed its own validation; results say so.
+# The published arrival-time location failed its own validation; results say so.
 LOCATION_VALIDATED = False
 
 
@@ -76,7 +76,7 @@ def permutation_p(hours: DataFrame, keys: Sequence[str], y: str, speed: str, dir
                   permutations: int, seed: int = 0) -> DataFrame:
     """Night-block permutation p-value. Nights trade winds as whole blocks, paired hour by hour.
 
-    The shuffles come from hashes of (night, permutation, seed): repeatable under retries, not the reference's stream.
+    The shuffles come from hashes of (night, permutation, seed): repeatable under retries, not a generator's stream.
     """
     wn = Window.partitionBy(*keys, night).orderBy(hour)
     h = hours.withColumn("__pos", F.row_number().over(wn))

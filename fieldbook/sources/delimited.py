@@ -57,12 +57,14 @@ def read_grid_microdata(spark: SparkSession, path: str, year: int | None = None)
 
 
 def store_grid(df: DataFrame, path: str) -> None:
-    """Rewrite for pruning: partition by year, rows sorted by cell within files.
+    """Rewrite for pruning: partition by year, rows of a tile of cells together and sorted by cell.
 
-    The sort range is (year, x, y), so a year of any size is spread over many files.
+    The rows are read once (a range sort would sample, that is decompress, them twice); a tile that is too big for one
+    file is split by the adaptive rebalance.
     """
-    (df.repartitionByRange("year", "x", "y").sortWithinPartitions("year", "x", "y")
-     .write.mode("overwrite").partitionBy("year").parquet(path))
+    tile = F.struct(F.floor(F.col("x") / 64), F.floor(F.col("y") / 64))
+    (df.withColumn("__tile", tile).hint("rebalance", F.col("year"), F.col("__tile")).drop("__tile")
+     .sortWithinPartitions("year", "x", "y").write.mode("overwrite").partitionBy("year").parquet(path))
 
 
 def coverage(present: DataFrame, years: Sequence[int] | DataFrame, parts: DataFrame, year: str, part: str) -> DataFrame:
