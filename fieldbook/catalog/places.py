@@ -346,8 +346,8 @@ def j15(spark, d):
     k = F.col("n_nationkey")
     # the route itself is one small object: its vertices are gathered in order (25 of them)
     line = table(spark, d, "nation").select(F.struct(k.alias("i"), F.array(
-        k * 10.0, (k * 7 % 11) * 3.0).alias("p")).alias("v")).agg(F.sort_array(F.collect_list("v")).alias("vs")).select(
-        F.lit("river").alias("line"), F.transform("vs", lambda v: v.p).alias("coords"))
+        k * 10.0, (k * 7 % 11) * 3.0).alias("p")).alias("v"), "n_name").agg(
+        F.sort_array(F.collect_list("v")).alias("vs"), F.min("n_name").alias("line")).select("line", F.transform("vs", lambda v: v.p).alias("coords"))
     segs = spatial.line_segments(line, "line", "coords")
     loc = spatial.locate_on_line(planar_customers(spark, d), segs, "c_custkey", "px", "py", "line", 6.0)
     start = line.select("line", F.lit(100.0).alias("outfall_m"))
