@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Settings that change results, or that the operators rely on for skew handling.
@@ -26,7 +30,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for k, v in REQUIRED.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -34,4 +40,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship(spark)
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package once per context, wherever the job was started from.
+
+    The archive is built beside the driver and handed to Spark, which copies it to every executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_fieldbook_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="fieldbook-package-")) / "fieldbook"
+    sc.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
+    sc._fieldbook_shipped = True
