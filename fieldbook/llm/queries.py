@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import jaccard
+from fieldbook.llm import jaccard, quality, suffix_dedup
 from fieldbook.llm.common import table
 from fieldbook.session import prepare
 
@@ -28,6 +28,23 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every document that no 400-byte string occurring elsewhere covers."""
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"), with_text=False).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document by subword embeddings that learn from four fifths of the labelled ids."""
+    docs = table(spark, sf, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = quality.fit(docs, table(spark, sf, "labels").where(fold != 0), label_col="quality")
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents whose five-word shingle sets overlap by 75 of 100."""

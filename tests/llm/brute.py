@@ -45,3 +45,39 @@ def jaccard_components(rows, percent=75):
         for x in s:
             lists[x].append(i)
     return {i: (len(s), find(i)) for i, s in sets}
+
+
+def repeats(texts, length=400):
+    """For each text (bytes): maximal ranges covered by ``length``-byte strings that start elsewhere too."""
+    seen = Counter()
+    for t in texts:
+        seen.update(t[i:i + length] for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        spans = []
+        for i in range(len(t) - length + 1):
+            if seen[t[i:i + length]] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + length
+                else:
+                    spans.append([i, i + length])
+        out.append([tuple(s) for s in spans])
+    return out
+
+
+def area_under_curve(pairs):
+    """Of (score, label) rows: the share of pairs of a 1 and a 0 that the score orders rightly."""
+    pairs = sorted(pairs)
+    ones = sum(y for _, y in pairs)
+    zeros = len(pairs) - ones
+    below = won = i = 0
+    while i < len(pairs):
+        j = i
+        while j < len(pairs) and pairs[j][0] == pairs[i][0]:
+            j += 1
+        one = sum(y for _, y in pairs[i:j])
+        zero = j - i - one
+        won += one * (below + zero / 2)
+        below += zero
+        i = j
+    return won / (ones * zeros)
