@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import jaccard, quality, suffix_dedup
+from fieldbook.llm import chat, decontam, jaccard, kmeans_tree, licenses, mixing, pii, quality, sharding, suffix_dedup
 from fieldbook.llm.common import table
 from fieldbook.session import prepare
 
@@ -28,6 +28,52 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_balanced_label_propagation")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sixteen shards of equal counts, equal texts together as far as that allows."""
+    docs = sharding.text_facts(table(spark, sf, "documents")).select("doc_id", "size", "text_crc32", "text_link")
+    return sharding.place(docs, "text_link").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence paragraphs of every document, with family, probability and likeness to the template."""
+    docs = table(spark, sf, "documents")
+    return licenses.scan(docs, licenses.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_chat_round_trip", """
+with t as (
+  select conv_id, turn, role, text from conversations
+  union all values (cast(-7 as bigint), cast(0 as bigint), 'user', '\\### Assistant: </turn> ok'),
+                   (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from t),
+f as (select *,
+  length(role) + 2 * (length(role) - length(regexp_replace(role, '[\\\\#<:!\\n]', '', 'g'))) as role_chars,
+  case when contains(text, '###') or contains(text, '</turn>')
+       then 1 + length(text) + length(text) - length(regexp_replace(text, '[\\\\#<]', '', 'g')) else length(text) end as body
+  from r)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('### ') + length(role) + length(role) - length(regexp_replace(role, '[\\\\#<:!\\n]', '', 'g'))
+       + length(': ') + body + length('</turn>') + 1) as bigint) as formatted_chars
+from f group by conv_id
+""")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation rendered, read back, and measured on what was read back."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    back = chat.read_back(chat.render(turns.unionByName(extra)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query("op4_suffix_array_dedup")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of every document that no 400-byte string occurring elsewhere covers."""
@@ -35,6 +81,37 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query("op5_temperature_mixing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents repeated so that no source comes more than twice as often as another, by pass and block."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", F.col("__source_weight").alias("weight"),
+                                   F.col("__pass").alias("pass"), F.col("__block").alias("block"))
+
+
+@query("op6_kmeans_tree_search")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return kmeans_tree.search(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op7_spaced_seed_decontamination")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold benchmark items, substitutions allowed."""
+    return decontam.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of personal data in every whole text."""
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("pii", lambda m: m["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
+    base = F.filter("pii", lambda m: m["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"),
+                        pii.listed(F.col("pii")).alias("spans"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every document by subword embeddings that learn from four fifths of the labelled ids."""
