@@ -11,10 +11,14 @@ Every document becomes its set of distinct five-word shingles. Two documents lin
    the 2-subsets of that prefix, large ones enter the inverted lists of its single elements, sets near the boundary do
    both, so that a pair of a small and a large set meets in a list. The boundary is the one of least cost, counted
    over all classes: subsets made on one side, list partners met on the other.
-4. Each list or subset names its best covered member as centre; members are verified against centres only, exactly, and
-   the links make components. What still stands in different components but shares a list is then paired within it,
-   kept if the number of common prefix elements allows the overlap, and verified. No pair of different components that
-   could link goes unverified; pairs within a component need no verdict.
+4. Stars first: by a few of each set's keys, lists name a centre, the best covered member and then, round by round, one
+   by hash. Members of another component are verified against it, exactly, and links join components. A group of
+   thousands of near copies is so made one with a few pairs for each member. What still stands in different components
+   but shares a list is then paired within it, kept if parity sketches and the number of common prefix elements allow
+   the overlap, and verified. No pair of different components that could link goes unverified; pairs within one need no verdict.
+
+A parity sketch has a bit for each of 1,024 parts of the hash space: whether a set's number of shared shingles in it is
+odd. Where two sketches differ, so do the sets, so a count of the differing bits bounds their difference from below.
 
 Verification intersects the shared shingles only, which is exact since the others are in no intersection.
 """
@@ -35,6 +39,11 @@ from fieldbook.operators.graph import connected_components
 U = np.uint64
 PERCENT = 75
 WORDS = 5
+STAR_KEYS = 6
+SKETCH = 16  # longs of a parity sketch
+MEETING = 0.01  # cost of two members met in a list, against one row made
+STAR_SHARE = 16  # one key in so many besides
+STAR_ROUNDS = 6
 
 
 def _sets(texts: pa.Array, words: int):
@@ -94,15 +103,16 @@ def _survivors(rows: DataFrame, percent: int) -> DataFrame:
                 t = np.unique(np.frombuffer(b"".join(x.as_py() for x in items.values), dtype="<u8"))
                 slots = len(t) - _need(n, percent) + 1
                 if slots >= 1:
-                    out.append((i, n, len(t), slots, t.tobytes(), t[:slots + 1].view(np.int64).tolist()))
+                    part = np.bincount((bytescan.mix(t) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+                    sketch = np.packbits(part.astype(np.uint8)).view(np.int64)
+                    out.append((i, n, len(t), slots, t.tobytes(), t[:slots + 1].view(np.int64).tolist(), sketch.tolist()))
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                                                                      pa.binary(), pa.list_(pa.int64())))],
-                    names=["id", "n", "shared", "slots", "tokens", "first"])
+                kinds = (*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)],
+                                                 names=["id", "n", "shared", "slots", "tokens", "first", "sketch"])
 
     return rows.select("id", "n", "items").mapInArrow(
-        run, "id long, n long, shared long, slots long, tokens binary, first array<long>")
+        run, "id long, n long, shared long, slots long, tokens binary, first array<long>, sketch array<long>")
 
 
 def choose_boundary(classes: DataFrame) -> int:
@@ -115,7 +125,7 @@ def choose_boundary(classes: DataFrame) -> int:
     met = lists.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 1.0
     sizes = sorted({0, *[int(2 ** (i / 2)) for i in range(2, 49)]})
     m = F.col("slots").cast("double")
-    subsets, single = m * (m + 1) / 2, m * (1 + F.lit(float(met)))
+    subsets, single = m * (m + 1) / 2, m * (1 + F.lit(MEETING * float(met)))
     costs = classes.agg(*[F.sum(F.when(F.col("n") <= x, subsets).otherwise(0.0)
                                 + F.when(F.col("n") * 4 >= 3 * (x + 1), single).otherwise(0.0)).alias(f"c{x}") for x in sizes])
     row = costs.first()
@@ -123,13 +133,14 @@ def choose_boundary(classes: DataFrame) -> int:
 
 
 def signatures(classes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(key, kind, id, n, cover): kind 0 for inverted lists, 1 for 2-subsets."""
-    about = ["id", "n", (F.col("shared") / F.col("n")).alias("cover")]
+    """(pos, key, kind, id, n, cover): kind 0 for inverted lists, 1 for 2-subsets."""
+    about = [F.lit(0).alias("kind"), "id", "n", (F.col("shared") / F.col("n")).alias("cover")]
     lists = classes.where(F.col("n") * 100 >= percent * (boundary + 1)).select(
-        F.explode(F.slice("first", F.lit(1), F.col("slots").cast("int"))).alias("key"), F.lit(0).alias("kind"), *about)
+        F.posexplode(F.slice("first", F.lit(1), F.col("slots").cast("int"))).alias("pos", "key"), *about)
     pairs = F.flatten(F.transform("first", lambda x, i: F.transform(
         F.slice("first", i + 2, F.greatest(F.size("first") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-    subsets = classes.where(F.col("n") <= boundary).select(F.explode(pairs).alias("key"), F.lit(1).alias("kind"), *about)
+    about[0] = F.lit(1).alias("kind")
+    subsets = classes.where(F.col("n") <= boundary).select(F.posexplode(pairs).alias("pos", "key"), *about)
     return lists.unionByName(subsets)
 
 
@@ -137,9 +148,20 @@ def _alike(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _near(percent: int):
+    """Whether two sketched sets (the second's columns end in 2) can overlap enough: their difference is at least what
+    either holds alone and the differing bits."""
+    alone = F.col("n") - F.col("shared") + F.col("n2") - F.col("shared2")
+    for i in range(SKETCH):
+        alone = alone + F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i))))
+    return alone * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+
+
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of the (a, b) whose overlap is at least ``percent`` of their union. The fuller side travels once a pair."""
     side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+    look = lambda c, x: classes.select(F.col("id").alias(c), *[F.col(v).alias(v + x) for v in ("n", "shared", "sketch")])
+    pairs = pairs.select("a", "b").join(look("a", ""), "a").join(look("b", "2"), "b").where(_near(percent))
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ta", "tb")
 
     def run(batches):
@@ -153,8 +175,26 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _components(classes: DataFrame, links: DataFrame) -> DataFrame:
-    return connected_components(classes.select("id"), links, "id", "component")
+def _joined(ws: Workspace, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after ``links`` between ids: the components they touch are joined, the others stay."""
+    name = lambda c: comps.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    edges = ws.keep(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    new = connected_components(nodes, edges, "id", "new").withColumnRenamed("id", "component")
+    return ws.keep(comps.join(new, "component", "left").select("id", F.coalesce("new", "component").alias("component")))
+
+
+def _star(members: DataFrame, comps: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): the centre of a list and the members that are of other components, by the first keys of each set and a few
+    others, new ones each turn."""
+    some = (F.col("pos") < STAR_KEYS) | (F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(STAR_SHARE)) == 0)
+    at = members.where(some).join(comps, "id")
+    rank = F.col("cover") if turn == 0 else F.xxhash64("id", F.lit(turn)).cast("double")
+    centre = F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("minus"), "n", "component")).alias("c")
+    lists = (at.groupBy("key", "kind").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+             .select("key", "kind", (-F.col("c.minus")).alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca")))
+    other = (F.col("component") != F.col("ca")) & _alike("n", "na", percent)
+    return at.join(lists, ["key", "kind"]).where(other).select("a", F.col("id").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
@@ -179,30 +219,30 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     boundary = choose_boundary(classes)
     members = ws.keep(signatures(classes, boundary, percent))
 
-    centre = F.max(F.struct("cover", (-F.col("id")).alias("minus"), "n"))
-    centres = members.groupBy("key", "kind").agg(centre.alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select(
-        "key", "kind", (-F.col("c.minus")).alias("a"), F.col("c.n").alias("na"))
-    star = ws.keep(members.join(centres, ["key", "kind"]).where((F.col("id") != F.col("a")) & _alike("n", "na", percent))
-                   .select("a", F.col("id").alias("b")).distinct())
-    links = ws.keep(verified(star, classes, percent))
-    comps = ws.keep(_components(classes, links))
+    comps = ws.keep(classes.select("id", F.col("id").alias("component")))
+    for turn in range(STAR_ROUNDS):
+        links = ws.keep(verified(_star(members, comps, turn, percent), classes, percent))
+        if not links.limit(1).count():
+            break
+        comps = _joined(ws, comps, links)
 
     at = members.join(comps, "id")
     open_keys = (at.groupBy("key", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                  .where("lo < hi").select("key", "kind"))
-    at = ws.keep(at.join(open_keys, ["key", "kind"]).select("key", "kind", "id", "n", "component"))
-    other = at.select("key", "kind", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component")])
+    look = classes.select("id", "shared", "sketch")
+    at = ws.keep(at.join(open_keys, ["key", "kind"]).select("key", "kind", "id", "n", "component").join(look, "id"))
+    other = at.select("key", "kind", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "shared", "sketch")])
     need = lambda c: F.ceil(F.col(c) * percent / 100)
-    common = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0))
-    pairs = (at.join(other, ["key", "kind"]).where((F.col("component") < F.col("component2")) & _alike("n", "n2", percent))
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
+    pairs = (at.join(other, ["key", "kind"])
+             .where((F.col("component") < F.col("component2")) & _alike("n", "n2", percent) & _near(percent))
              .groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
-             .agg(common.alias("common"), F.max("kind").alias("kind"), F.max("n").alias("n"), F.max("n2").alias("n2")))
-    enough = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(need("n"), need("n2")) + 1
-    pairs = pairs.where((F.col("kind") == 1) | (F.col("common") >= enough)).select("a", "b")
-    known = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = ws.keep(verified(pairs.join(known, ["a", "b"], "left_anti"), classes, percent))
+             .agg(count(0).alias("c0"), count(1).alias("c1"), F.max("n").alias("n"), F.max("n2").alias("n2")))
+    enough = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(need("n"), need("n2")) + 1)
+    pairs = pairs.where((F.col("c0") >= enough) | (F.col("c1") >= enough * (enough + 1) / 2)).select("a", "b")
+    more = ws.keep(verified(pairs, classes, percent))
     if more.limit(1).count():
-        comps = ws.keep(_components(classes, links.unionByName(more)))
+        comps = _joined(ws, comps, more)
 
     named = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set1", "set2", "n", F.coalesce("component", "rep").alias("component_id"))
