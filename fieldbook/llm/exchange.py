@@ -4,7 +4,8 @@ A token per row would cost tens of bytes for each; here tokens travel in packed
 chunk and bucket, and a bucket is answered with one sort. Buckets follow the tokens' number, so that each holds about
 ``TOKENS_PER_BUCKET``. A token that half of all rows hold is met in its chunk already: two of its entries go to the
 bucket, where other chunks' entries must be told of it, and the rest are answered without going there. No bucket grows
-with a hot token by more than two entries a chunk.
+with a hot token by more than two entries a chunk. Answers go back in the same form, one row for each bucket and range of
+owners, and become one row for each owner there.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ U = np.uint64
 TOKENS_PER_BUCKET = 2_500_000
 LOW = U((1 << 40) - 1)
 POSTED = "bucket int, owners binary, counts binary, tokens binary, marks binary"
-ANSWERED = "owner long, n int, items binary"
+ANSWERED = "range int, owners binary, counts binary, items binary"
 
 
 def buckets(tokens: int) -> int:
@@ -61,7 +62,8 @@ def _joined(col: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 
 def answers(posted: DataFrame, parts: int) -> DataFrame:
-    """(owner, n, items): for an owner, in one or more rows, the packed marks or tokens that some other entry has too."""
+    """(owner, items): one row for each owner that has any, with the packed marks (32 bits) or tokens (64 bits) that some
+    other entry has too. A token may come twice."""
 
     def answer(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
@@ -84,14 +86,38 @@ def answers(posted: DataFrame, parts: int) -> DataFrame:
             shared[1:] |= same
             shared[:-1] |= same
             owner, mark = owner[shared], mark[shared]
+        return _by_range(owner, mark)
+
+    def _by_range(owner: np.ndarray, item: np.ndarray) -> pa.Table:
+        part = ((owner >> U(40)) % U(parts)).astype(np.int32)
+        by = np.lexsort((owner, part))
+        part, owner, item = part[by], owner[by], item[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = part[1:] != part[:-1]
+        rows = np.flatnonzero(new)
+        new[1:] |= owner[1:] != owner[:-1]
+        runs = np.flatnonzero(new)
+        counts = np.diff(np.append(runs, len(by))).astype("<u4")
+        first = np.searchsorted(runs, rows)
+        out = [part[rows], [], [], []]
+        for a, b, lo, hi in zip(first, np.append(first[1:], len(runs)), rows, np.append(rows[1:], len(by))):
+            out[1].append(owner[runs[a:b]].tobytes())
+            out[2].append(counts[a:b].tobytes())
+            out[3].append(item[lo:hi].tobytes())
+        return pa.table({"range": pa.array(out[0], pa.int32()), "owners": pa.array(out[1], pa.binary()),
+                         "counts": pa.array(out[2], pa.binary()), "items": pa.array(out[3], pa.binary())})
+
+    def gather(group: pa.Table) -> pa.Table:
+        owner = np.repeat(_joined(group.column("owners"), "<u8"), _joined(group.column("counts"), "<u4"))
+        raw = _joined(group.column("items"), np.uint8)
+        item = raw.view("<u8" if len(raw) == 8 * len(owner) else "<u4")
         by = np.argsort(owner, kind="stable")
-        owner, mark = owner[by], mark[by]
+        owner, item = owner[by], item[by]
         new = np.ones(len(by), dtype=bool)
         new[1:] = owner[1:] != owner[:-1]
         at = np.flatnonzero(new)
-        ends = np.append(at[1:], len(by))
         return pa.table({"owner": pa.array(owner[at].view(np.int64), pa.int64()),
-                         "n": pa.array((ends - at).astype(np.int32), pa.int32()),
-                         "items": pa.array([mark[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
+                         "items": pa.array([item[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(by)))], pa.binary())})
 
-    return posted.groupBy("bucket").applyInArrow(answer, ANSWERED)
+    told = posted.groupBy("bucket").applyInArrow(answer, ANSWERED)
+    return told.groupBy("range").applyInArrow(gather, "owner long, items binary")

@@ -100,7 +100,7 @@ def _survivors(rows: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             out = []
             for i, n, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                t = np.unique(np.frombuffer(b"".join(x.as_py() for x in items.values), dtype="<u8"))
+                t = np.unique(np.frombuffer(items.as_py(), dtype="<u8"))
                 slots = len(t) - _need(n, percent) + 1
                 if slots >= 1:
                     part = np.bincount((bytescan.mix(t) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
@@ -213,7 +213,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = exchange.buckets(total)
     shared = exchange.answers(_post_shingles(docs, text_col, words, parts), parts)
-    gathered = shared.groupBy(F.col("owner").alias("set1")).agg(F.collect_list("items").alias("items"))
+    gathered = shared.withColumnRenamed("owner", "set1")
     one = reps.groupBy("set1").agg(F.min(F.struct("rep", "n")).alias("r")).select("set1", "r.*")
     classes = ws.keep(_survivors(gathered.join(one, "set1").select(F.col("rep").alias("id"), "n", "items"), percent))
     boundary = choose_boundary(classes)
