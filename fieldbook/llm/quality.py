@@ -56,7 +56,7 @@ class Model:
         row, bucket = features(data, offs)
         count = np.bincount(row, minlength=n)
         logits = np.stack([np.bincount(row, self.table[bucket, k], n) for k in range(len(self.classes))], axis=1)
-        logits /= np.maximum(count, 1)[:, None]
+        logits = logits / np.maximum(count, 1)[:, None]
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         p = e / e.sum(axis=1, keepdims=True)
         p[count == 0] = self.prior
