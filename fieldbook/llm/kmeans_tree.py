@@ -23,10 +23,10 @@ from fieldbook.llm.common import Workspace
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, at most
 BRANCH = 8
-LEAF_ROWS = 500
+LEAF_ROWS = 2000
 MAX_LEAVES = 4096
 CALIBRATION = 64  # queries compared with all vectors
-RECALL = 0.97
+RECALL = 0.95
 BLOCK = 4096
 
 
@@ -194,7 +194,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
 
 def calibrate(ws: Workspace, spread: DataFrame, tree: Tree, queries: DataFrame, k: int, recall: float) -> int:
-    """The least number of visits, a power of two or all leaves, at which sample queries find ``recall`` of their true
+    """The number of visits, widened by a quarter at a time, at which sample queries find ``recall`` of their true
     neighbours. The truth comes from all vectors: each task compares its share with the few sample queries."""
     q = queries.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).collect()
     ids, v = np.array([r["id"] for r in q], dtype=np.int64), np.array([r["v"] for r in q], dtype=np.float64)
@@ -215,5 +215,5 @@ def calibrate(ws: Workspace, spread: DataFrame, tree: Tree, queries: DataFrame,
     wanted = need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]
     most = 1
     while most < wanted:
-        most *= 2
+        most = max(most + 1, most * 5 // 4)
     return min(most, tree.leaves)
