@@ -87,7 +87,7 @@ def yes_flags(flags: Column, prefix: str) -> Column:
     mine = F.map_filter(flags, lambda k, v: k.startswith(prefix))
     yes = F.map_filter(mine, lambda k, v: (v == "Yes") & ~k.rlike("(None|NoneRequired)$"))
     other = F.map_filter(mine, lambda k, v: k.contains("Other") & v.isNotNull() & ~v.isin("", "No", "Yes"))
-    names = F.transform(F.array_sort(F.map_keys(yes)), lambda k: F.substring(k, len(prefix) + 1, 200))
+    names = F.transform(F.array_sort(F.map_keys(yes)), lambda k: F.substring(k, len(prefix) + 1, F.length(k)))
     texts = F.transform(F.array_sort(F.map_values(other)), lambda v: F.concat(F.lit("other: "), v))
     return F.concat(names, texts)
 
