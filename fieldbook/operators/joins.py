@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldbook.plans.ordered import rank_all
+
 
 def breakdown(facts: DataFrame, dim: DataFrame, on: str, name: str, measure: str) -> DataFrame:
     """Sum a measure by a dimension's name, largest first in ``rank``; facts without a dimension row stay.
@@ -17,7 +19,7 @@ def breakdown(facts: DataFrame, dim: DataFrame, on: str, name: str, measure: str
     """
     part = facts.groupBy(on).agg(F.sum(measure).alias("__s"), F.count(F.lit(1)).alias("__n"))
     g = part.join(dim.select(on, name), on, "left").groupBy(name).agg(F.sum("__s").alias("total"), F.sum("__n").alias("rows"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.col("total").desc(), F.col(name))))
+    return rank_all(g, [F.col("total").desc(), F.col(name)])
 
 
 def owner_registry(registry: DataFrame, models: DataFrame, owner: str, fragment: str, code: str,

@@ -4,9 +4,10 @@ A window partitioned by such a key would put that third in one task. These helpe
 ordered chunks, run the window inside (key, chunk), reduce each chunk to one carry row, run a second window over the
 carry rows only, and join the carry back. Results equal the plain window.
 
-The cut is chosen from the data: a key with more than ``ROWS_PER_CHUNK`` rows is split by equal steps of its order
-column so that a chunk holds about that many rows; every other key is one chunk. Counts, minima and maxima decide it,
-so a retried task cuts in the same place. ``order`` must be total within a key and start with a number, date or time.
+The cut is chosen from the data: a key with more than ``ROWS_PER_CHUNK`` rows is split at quantiles of its order column,
+so that a chunk holds about that many rows wherever outliers and bursts lie; every other key is one chunk. The cuts are
+checkpointed, so a retried task cuts in the same place. Rows of one order value stay in one chunk. ``order`` must be total
+within a key and start with a number, date or time.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.plans.durable import durable
+
 _CHUNK = "__chunk"
 ROWS_PER_CHUNK = 1_000_000
+MOST_CHUNKS = 10_000  # of one key: its cuts travel as one array
+_STEP = 64  # cuts passed over by one coarse comparison
 
 
 def _number(c: Column, kind: str) -> Column:
@@ -29,22 +34,41 @@ def _number(c: Column, kind: str) -> Column:
 
 
 def add_chunks(df: DataFrame, keys: Sequence[str], order, out: str = "__ck", rows: int | None = None) -> DataFrame:
-    """Add ``out``: 0 for ordinary keys, an ordered chunk number for hot ones."""
+    """Add ``out``: 0 for ordinary keys, an ordered chunk number for hot ones.
+
+    The hot keys are counted when this is called; where there are none, no join is planned.
+    """
     rows = rows or ROWS_PER_CHUNK
     first = F.col(order) if isinstance(order, str) else order
     kind = df.select(first.alias("__o")).dtypes[0][1]
     d = df.withColumn("__x", _number(first, kind))
-    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    step = F.greatest((F.col("__hi") - F.col("__lo")) * rows / F.col("__n"), F.lit(1e-9))
-    hot = stats.where(F.col("__n") > rows).select(*keys, "__lo", step.alias("__step"))
+    hot = durable(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows))
+    most = hot.agg(F.max("__n")).first()[0]
+    if most is None:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    cuts = durable(_cuts(d, hot, keys, rows, min(MOST_CHUNKS, -(-most // rows))))
+    if keys:
+        d = d.alias("l").join(cuts.alias("r"), _null_safe(keys), "left").select("l.*", "r.__cuts", "r.__coarse")
+    else:
+        d = d.withColumns({c: cuts.select(c).scalar() for c in ("__cuts", "__coarse")})
+    below = lambda cs: F.size(F.filter(cs, lambda c: c < F.col("__x")))
+    d = d.withColumn("__at", F.coalesce(below("__coarse"), F.lit(0)) * _STEP)
+    fine = below(F.slice("__cuts", F.col("__at") + 1, F.lit(_STEP)))
+    chunk = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(F.col("__at") + fine)
+    return d.withColumn(out, chunk.cast("long")).drop("__x", "__cuts", "__coarse", "__at")
+
+
+def _cuts(d: DataFrame, hot: DataFrame, keys: Sequence[str], rows: int, most: int) -> DataFrame:
+    """(keys, __cuts, __coarse): ascending cuts of each hot key, as many as its rows ask for, and every 64th of them."""
     if keys:
-        j = d.alias("l").join(hot.alias("r"), _null_safe(keys), "left").select("l.*", "r.__lo", "r.__step")
-        cut = F.floor((F.col("__x") - F.col("__lo")) / F.col("__step"))
-        return j.withColumn(out, F.coalesce(cut, F.lit(0))).drop("__x", "__lo", "__step")
-    one = hot.agg(F.max(F.struct("__lo", "__step")).alias("s")).select("s").scalar()
-    j = d.withColumn("__s", one)
-    cut = F.floor((F.col("__x") - F.col("__s.__lo")) / F.col("__s.__step"))
-    return j.withColumn(out, F.coalesce(cut, F.lit(0))).drop("__x", "__s")
+        d = d.alias("l").join(hot.alias("r"), _null_safe(keys)).select("l.*", "r.__n")
+    else:
+        d = d.withColumn("__n", hot.select("__n").scalar())
+    shares = F.array(*[F.lit(i / most) for i in range(1, most)])
+    g = d.groupBy(*keys).agg(F.max("__n").alias("__n"), F.percentile_approx("__x", shares, F.lit(max(1000, 10 * most))).alias("__q"))
+    step = F.greatest(F.floor(F.lit(most * rows) / F.col("__n")), F.lit(1))
+    g = g.withColumn("__step", step).withColumn("__cuts", F.filter("__q", lambda c, i: (i + 1) % F.col("__step") == 0))
+    return g.select(*keys, "__cuts", F.filter("__cuts", lambda c, i: i % _STEP == _STEP - 1).alias("__coarse"))
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column | None) -> DataFrame:
@@ -149,6 +173,21 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence, chunk: Column
     return running(d, keys, order, chunk, {out: ("sum", "__one")}).drop("__one")
 
 
+def rank_all(df: DataFrame, order: Sequence, out: str = "rank") -> DataFrame:
+    """1-based place of every row in one order of the whole table, with no window over all rows.
+
+    A range sort numbers the rows inside its partitions and is checkpointed, so the numbers stand; the window runs over the
+    partitions' counts, one row for each partition.
+    """
+    d = durable(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id())).withColumn(
+        "__p", F.shiftright("__id", 33))
+    counts = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.join(starts, "__p").withColumn(out, F.col("__start") + inside + 1).drop("__p", "__id", "__start")
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence, starts: Column, prev_cols: Sequence[str],
             out: str = "island") -> DataFrame:
     """Number runs of rows. ``starts`` is a Column over the row and ``prev`` (struct of ``prev_cols``)."""

@@ -22,20 +22,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     floor(p*n) of the ascending values, which for 0.5 is the upper median.
     """
     keys = list(keys)
-    keyed = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    vals = (keyed.select(*keys, F.col(value).cast("double").alias("__v"))
-            .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    keyed = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
+        *keys, F.col(value).cast("double").alias("__v"))
+    vals = keyed.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     step = 2.0 / accuracy
     cuts = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-step, step)})
-    sketch = vals.groupBy(*keys).agg(
+    sketch = keyed.groupBy(*keys).agg(  # of the rows, not of distinct values: repeats weigh in the ranks
         F.percentile_approx("__v", F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("__cuts"))
-    cond = [vals[k].eqNullSafe(sketch[k]) for k in keys]
     if keys:
         j = vals.join(sketch.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cuts"),
                       on=_on(vals, keys), how="inner").drop(*[f"__k_{k}" for k in keys])
     else:
         j = vals.withColumn("__cuts", sketch.select("__cuts").scalar())
-    del cond
     d = j.withColumn("__cls", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
     wk = Window.partitionBy(*keys).orderBy("__cls")
     cnt = (d.groupBy(*keys, "__cls").agg(F.sum("__c").alias("__n"))

@@ -75,6 +75,31 @@ def test_hot_keys_are_cut_and_others_are_not(spark):
     assert min(by.values()) == 1 or min(by.values()) < by[0]
 
 
+def test_outliers_leave_chunks_even(spark):
+    r = random.Random(9)
+    value = lambda: r.choice([-2_208_988_800, 253_402_300_799]) if r.random() < 0.01 else 1_700_000_000 + r.randrange(10**6)
+    d = spark.createDataFrame([(0 if i % 3 == 0 else i, value(), i) for i in range(9000)], "k int, t long, id int")
+    for keys, hot in ((["k"], "k = 0"), ([], "true")):  # no single value has as many rows as a chunk
+        c = ordered.add_chunks(d, keys, "t", rows=100).where(hot).groupBy("__ck").agg(
+            F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("__ck").collect()
+        assert len(c) > 25 and max(x["n"] for x in c) < 200
+        assert all(a["hi"] < b["lo"] for a, b in zip(c, c[1:]))
+
+
+def test_rank_of_all_rows(spark):
+    d = rows(spark)
+    order = [F.col("v").desc_nulls_last(), F.col("id")]
+    same(ordered.rank_all(d, order).select("id", "rank"),
+         d.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank")))
+
+
+def test_quantile_brackets_with_heavy_repeats(spark):
+    data = [(float(i),) for i in range(2000)] + [(float(h),) for h in (10, 500, 900, 1500, 1990) for _ in range(3000)]
+    d = spark.createDataFrame(data, "x double").repartition(4)
+    got = exact_quantiles(d, [], "x", [0.1, 0.5, 0.9], ["a", "b", "c"]).first()
+    assert [got["a"], got["b"], got["c"]] == pytest.approx(np.quantile([x for x, in data], [0.1, 0.5, 0.9]).tolist())
+
+
 @pytest.mark.parametrize("p", [0.0, 0.1, 0.5, 0.9, 1.0])
 def test_exact_quantiles(spark, p):
     rng = np.random.default_rng(5)
