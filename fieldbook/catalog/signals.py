@@ -226,8 +226,8 @@ def g12_b(spark, d):
 
 @query("x1_monitor_new_keys", "SELECT DISTINCT user_id, event_type FROM events")
 def x1(spark, d):
-    s = runs.first_seen(runs.read_stream(spark, d, "events"), "ts", ["user_id", "event_type"], "40 days")
-    return spark.read.parquet(runs.drain(s.select("user_id", "event_type"), "append", "monitor")).select("user_id", "event_type")
+    s = runs.read_stream(spark, d, "events").select("user_id", "event_type")
+    return spark.read.parquet(runs.drain_first_seen(s, ["user_id", "event_type"], "monitor")).select("user_id", "event_type")
 
 
 @query("x2_tumbling_hours", """
@@ -288,7 +288,7 @@ SELECT o_custkey, o_orderpriority, count(*) OVER (PARTITION BY o_custkey) AS ope
 def x6(spark, d):
     o = runs.read_stream(spark, d, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("ts"))
     o = o.withColumns({"opens": F.to_date("ts"), "closes": F.date_add(F.to_date("ts"), 45)})
-    s = runs.first_seen(joins.open_periods(o, "opens", "closes", "1999-06-15"), "ts", ["o_custkey", "o_orderpriority"], "60 days")
-    got = spark.read.parquet(runs.drain(s.select("o_custkey", "o_orderpriority", "closing_soon"), "append", "notices"))
+    s = joins.open_periods(o, "opens", "closes", "1999-06-15").select("o_custkey", "o_orderpriority", "closing_soon")
+    got = spark.read.parquet(runs.drain_first_seen(s, ["o_custkey", "o_orderpriority"], "notices"))
     per = got.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("open_notices"))
     return got.select("o_custkey", "o_orderpriority").join(per, "o_custkey")

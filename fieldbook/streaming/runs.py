@@ -47,9 +47,30 @@ def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFram
     return g.select(*keys, *[F.col(f"__b.{c}").alias(c) for c in other])
 
 
-def first_seen(events: DataFrame, ts: str, key: Sequence[str], delay: str = "10 days") -> DataFrame:
-    """Each key once while its time is within the delay: a trailing re-scan adds nothing, a late row still counts."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+def drain_first_seen(events: DataFrame, key: Sequence[str], name: str, sink: str | None = None,
+                     checkpoint: str | None = None) -> str:
+    """Run to the end of the available input and write one row for each key never seen before, however old or late.
+
+    What earlier batches wrote is the set of seen keys; a batch meets it by an anti join and overwrites its own folder, so
+    a trailing re-scan and a replayed batch add nothing. Null keys are keys like others.
+    """
+    spark = events.sparkSession
+    out = sink or scratch(spark, name)
+    state = checkpoint or scratch(spark, f"{name}-state")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(list(key))
+        if batch_id:
+            seen = batch.sparkSession.read.parquet(out).where(F.col("batch") < batch_id)
+            seen = seen.select(*[F.col(c).alias(f"__seen_{c}") for c in key]).distinct()
+            met = F.lit(True)
+            for c in key:
+                met = met & new[c].eqNullSafe(seen[f"__seen_{c}"])
+            new = new.join(seen, met, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    (events.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", state)
+     .trigger(availableNow=True).start()).awaitTermination()
+    return out
 
 
 def tumbling(events: DataFrame, ts: str, keys: Sequence[str], width: str, aggs: Sequence, delay: str = "10 days",

@@ -53,6 +53,20 @@ def test_windows_over_batches_and_restart(spark, sf):
 
 def test_first_seen_over_batches(spark, sf):
     folder, e = _files(spark, sf)
-    s = runs.first_seen(runs.read_stream(spark, folder, "events-", 1), "ts", ["user_id", "event_type"], "40 days")
-    got = spark.read.parquet(runs.drain(s.select("user_id", "event_type"), "append", "m"))
+    s = runs.read_stream(spark, folder, "events-", 1).select("user_id", "event_type")
+    got = spark.read.parquet(runs.drain_first_seen(s, ["user_id", "event_type"], "m"))
     assert got.count() == e.select("user_id", "event_type").distinct().count()
+
+
+def test_a_key_60_days_apart_is_announced_once(spark):
+    import os
+    folder = tempfile.mkdtemp(prefix="fieldbook-stream-")
+    days = [("a", "2024-01-01"), (None, "2024-01-20"), ("b", "2024-02-10"), ("a", "2024-03-01"), (None, "2024-03-20")]
+    for i, row in enumerate(days):
+        d = spark.createDataFrame([row, ("c", row[1])], "k string, day string")
+        d.toPandas().to_parquet(f"{folder}/seen-{i}.parquet")
+        os.utime(f"{folder}/seen-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    s = runs.read_stream(spark, folder, "seen-", 1).select("k", "day")
+    got = spark.read.parquet(runs.drain_first_seen(s, ["k"], "seen")).select("k", "day").collect()
+    assert {(r["k"], r["day"]) for r in got} == {("a", days[0][1]), ("c", days[0][1]), (None, days[1][1]), ("b", days[2][1])}
+    assert len(got) == 4
