@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldbook.catalog.registry import query
 from fieldbook.functions import keys
 from fieldbook.operators import joins, lookup
+from fieldbook.plans.ordered import rank_all
 from fieldbook.sources import markup, table, text_table
 
 
@@ -169,11 +170,11 @@ WITH r AS (SELECT event_id + 100000 AS id, CASE WHEN event_id % 9 = 0 THEN (1000
 SELECT id, up AS update_of, up IN (SELECT id FROM r) AS on_file FROM r WHERE up IS NOT NULL""")
 def j23(spark, d):
     k = F.col("event_id")
-    txt = F.when(k % 9 == 0, F.concat(F.lit("Caller gave an UPDATE TO NRC REPORT # "), F.floor(k * 3 / 2) + 100000)).otherwise(
-        "first call")
+    lead = F.when(k % 2 == 0, "Caller gave an UPDATE TO NRC REPORT # ").otherwise("Caller gave an UPDATE  TO\nNRC REPORT #\n")
+    txt = F.when(k % 9 == 0, F.concat(lead, F.floor(k * 3 / 2) + 100000)).otherwise("first call")
     e = table(spark, d, "events").select((k + 100000).alias("id"), txt.alias("txt"))
-    return joins.reply_links(e, "id", "txt", r"(?i)(?:UPDATE|CORRECTION|FOLLOW[- ]?UP)S? (?:TO|FOR|OF) (?:THE )?(?:NRC )?"
-                             r"(?:INCIDENT )?(?:REPORT )?(?:NO\.?|NUMBER|#)? ?(\d{6,8})").select("id", "update_of", "on_file")
+    return joins.reply_links(e, "id", "txt", r"(?i)(?:UPDATE|CORRECTION|FOLLOW[-\s]?UP)S?\s+(?:TO|FOR|OF)\s+(?:THE\s+)?(?:NRC\s+)?"
+                             r"(?:INCIDENT\s+)?(?:REPORT\s+)?(?:NO\.?|NUMBER|#)?\s*(\d{6,8})").select("id", "update_of", "on_file")
 
 
 @query("j24_agenda_and_minutes", """
@@ -328,13 +329,11 @@ def j31_b(spark, d):
 
 @query("o1_flags_first_missing_last", """
 SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus <> 'F', CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice END NULLS LAST,
- o_orderkey) AS place FROM orders ORDER BY place LIMIT 500""")
+ o_orderkey) AS place FROM orders""")
 def o1(spark, d):
-    from pyspark.sql import Window
-    o = table(spark, d, "orders").withColumn("v", F.when(F.col("o_custkey") % 3 != 0, F.col("o_totalprice")))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 3 != 0, F.col("o_totalprice")).alias("v"))
     order = [F.col("o_orderstatus") != "F", F.col("v").asc_nulls_last(), F.col("o_orderkey")]
-    top = o.orderBy(*order).limit(500)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return rank_all(o, order, "place").select("o_orderkey", "place")
 
 
 @query("o2_top_k", """

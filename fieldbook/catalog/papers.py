@@ -335,7 +335,8 @@ def t24(spark, d):
 
 @query("t25_notice_fields", """
 SELECT o_orderkey, '$' || (o_orderkey % 90 + 1) || ',000,000' AS amount, 'on May ' || (o_orderkey % 28 + 1) || ', 2026 at 10 a.m.' AS hearing, CASE WHEN o_orderkey % 2 = 0 THEN
- 'River Delta Plant, LLC' END AS borrower, 'Port ' || o_orderkey % 50 AS location, CASE WHEN o_orderkey % 3 = 0 THEN
+ 'River Delta Plant, LLC' END AS borrower, 'Port ' || o_orderkey % 50 AS location, CASE WHEN o_orderkey % 9 = 0 THEN
+ 'Persons may submit their views in writing to Ms. Jane Doe at the Authority.' WHEN o_orderkey % 3 = 0 THEN
  'Persons may submit their views in writing to the Authority.' END AS written_comments FROM orders""")
 def t25(spark, d):
     k = F.col("o_orderkey")
@@ -343,7 +344,8 @@ def t25(spark, d):
         F.lit("The Authority will hold a public hearing on May "), k % 28 + 1, F.lit(", 2026 at 10 a.m.\n with respect to bonds not to exceed $"),
         k % 90 + 1, F.lit(",000,000 for a plant (the \"Project\") located at Port "), k % 50, F.lit("; and more. "), F.when(
             k % 2 == 0, "The proceeds are loaned by the Authority to River Delta  Plant, LLC (the \"Company\"). ").otherwise(""),
-        F.when(k % 3 == 0, "Persons may submit their views in writing to the Authority.").otherwise(""))
+        F.when(k % 9 == 0, "Persons may submit their views in writing to Ms. Jane Doe at the Authority. All are heard.").when(
+            k % 3 == 0, "Persons may submit their views in writing to the Authority.").otherwise(""))
     return docs.notice_fields(table(spark, d, "orders").select(k, body.alias("b")), ["o_orderkey"], "b")
 
 

@@ -13,13 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
-SMALL_INPUT = 1 << 30
-
 
 def text_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table of texts. A small file with one row group would be one task for costly per-text work, so an input below
-    ``SMALL_INPUT`` (by the plan's own size estimate) is spread by key once; larger inputs have splits enough and are
-    read as they are."""
-    df = table(spark, folder, name)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < SMALL_INPUT else df
+    """A table of texts for costly per-text work, spread by key: a file with few row groups would be as few tasks."""
+    return table(spark, folder, name).repartition(key)

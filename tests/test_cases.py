@@ -242,14 +242,27 @@ def test_vote_equals_the_unpruned_search():
         assert documents._vote(lines, unit)[0] == want
 
 
+def test_case_tracking_with_many_and_short_keys(spark):
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    keys = sorted({"".join(r.choices(letters, k=r.choice([1, 2, 2, 2, 3, 5]))) for _ in range(9000)})
+    assert len(keys) > 2000
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(0, 6))) for _ in range(4)) for _ in range(60)] + ["", "q7", "plan q7 now"]
+    items = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    cases = spark.createDataFrame(list(enumerate(keys)), "c int, title string")
+    got = documents.track_cases(items, "i", "t", cases, "c", "title").collect()
+    want = {(i, c) for i, t in enumerate(texts) for c, k in enumerate(keys) if k in t}
+    assert {(x["i"], x["c"]) for x in got} == want and len(got) == len(want)
+
+
 def test_case_tracking_both_ways(spark):
     items = spark.createDataFrame([(1, "Ordinance 2024-12-CUP for Delta Works"), (2, "delta workshop"), (3, "2024-1-CUP"), (4, "none")],
                                   "i int, t string")
     cases = spark.createDataFrame([(1, "rezoning 2024-12-CUP for Delta Works, LLC"), (2, "case 2024-1-CUP")], "c int, title string")
-    scan = documents.track_cases(items, "i", "t", cases, "c", "title").collect()
-    join = documents.track_cases(items, "i", "t", cases, "c", "title", scan_up_to=0).collect()
-    assert sorted(scan) == sorted(join)
-    assert {(x["i"], x["c"], x["keys"]) for x in scan} == {(1, 1, 2), (2, 1, 1), (3, 2, 1)}
+    got = documents.track_cases(items, "i", "t", cases, "c", "title").collect()
+    spread = documents.track_cases(items.repartition(5), "i", "t", cases.repartition(3), "c", "title").collect()
+    assert sorted(got) == sorted(spread)
+    assert {(x["i"], x["c"], x["keys"]) for x in got} == {(1, 1, 2), (2, 1, 1), (3, 2, 1)}
 
 
 def test_agenda_numbering():
