@@ -22,6 +22,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     floor(p*n) of the ascending values, which for 0.5 is the upper median.
     """
     keys = list(keys)
+    if not keys:
+        one = df.withColumn("__all", F.isnotnull(F.col(value)))
+        return exact_quantiles(one, ["__all"], value, probs, names, upper, accuracy).drop("__all")
     keyed = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *keys, F.col(value).cast("double").alias("__v"))
     vals = keyed.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
