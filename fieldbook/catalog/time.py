@@ -271,8 +271,8 @@ def w19(spark, d):
 
 
 @query("w20_height_interpolation", """
-WITH l AS (SELECT DISTINCT c_nationkey::BIGINT AS prof, (c_custkey * 37 % 5000)::DOUBLE AS z, c_custkey % 17 - 8.0 AS u FROM customer
- WHERE c_custkey < 1500), lv AS (SELECT prof, z, min(u)::DOUBLE AS u FROM l GROUP BY 1, 2),
+WITH l AS (SELECT DISTINCT c_nationkey::BIGINT AS prof, (c_custkey * 37 % 5000)::DOUBLE AS z, c_custkey % 17 - 8.0 AS u FROM customer),
+ lv AS (SELECT prof, z, min(u)::DOUBLE AS u FROM l GROUP BY 1, 2),
 w AS (SELECT DISTINCT c_nationkey::BIGINT AS prof, h::DOUBLE AS h FROM customer, unnest([250, 1000, 2222, 4800]) t(h)),
 b AS (SELECT w.prof, h, (SELECT max(z) FROM lv WHERE lv.prof = w.prof AND z <= h) AS z0, (SELECT min(z) FROM lv WHERE lv.prof = w.prof
  AND z >= h) AS z1 FROM w)
@@ -281,7 +281,7 @@ SELECT b.prof, h, CASE WHEN z0 IS NULL OR z1 IS NULL OR (z1 - z0 > 300 AND h NOT
  LEFT JOIN lv y ON y.prof = b.prof AND y.z = z1""")
 def w20(spark, d):
     c = table(spark, d, "customer")
-    lv = c.where("c_custkey < 1500").groupBy(F.col("c_nationkey").cast("long").alias("prof"), (
+    lv = c.groupBy(F.col("c_nationkey").cast("long").alias("prof"), (
         F.col("c_custkey") * 37 % 5000).cast("double").alias("z")).agg(
         F.min(F.col("c_custkey") % 17 - 8.0).alias("u"))
     ask = c.select(F.col("c_nationkey").cast("long").alias("prof")).distinct().withColumn("h", F.explode(F.array(
@@ -466,6 +466,18 @@ def a21(spark, d):
                     .alias("adaf_integral"), "unknown_years", F.round("evidence_fraction", 6).alias("evidence_fraction"))
 
 
+@query("a21_period_status", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 7 THEN 'start unknown' WHEN o_orderkey % 9 = 0 AND o_orderkey % 7 < 2 THEN 'ends before it starts'
+ ELSE 'counted' END AS status FROM orders""")
+def a21_status(spark, d):
+    """Periods of residence with whether they count, or why not."""
+    k = F.col("o_orderkey")
+    start = F.when(k % 50 != 7, F.to_date("o_orderdate"))
+    last = F.when(k % 9 == 0, F.date_add(F.to_date("o_orderdate"), (k % 7 - 2).cast("int")))
+    return table(spark, d, "orders").select(k, start.alias("s"), last.alias("e")).select(
+        "o_orderkey", exposure.period_status("s", "e", "2026-10-11").alias("status"))
+
+
 _RISK = """k AS (SELECT *, CASE WHEN item = '5-LOW' THEN NULL WHEN item = '3-MEDIUM' THEN 3e-6 * (integral + 0.25 * (adaf_integral -
  integral)) / 70 ELSE 3e-6 * integral / 70 END AS risk, CASE WHEN item = '4-NOT SPECIFIED' OR exposed_years = 0 THEN NULL ELSE integral /
  exposed_years / 37.0 END AS hq FROM e)"""

@@ -20,15 +20,22 @@ def _overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.datediff(F.least(a1, b1), F.greatest(a0, b0)), F.lit(0))
 
 
+def period_status(start: str, last: str, open_end: str) -> Column:
+    """What becomes of a residence period: ``counted``, or why it can't be. Nothing is counted silently as no time."""
+    s, e, now = F.col(start).cast("date"), F.col(last).cast("date"), F.lit(open_end).cast("date")
+    return (F.when(s.isNull(), "start unknown").when(e < s, "ends before it starts")
+            .when(e.isNull() & (s > now), "starts after the last day known").otherwise("counted"))
+
+
 def home_years(residence: DataFrame, member: str, start: str, last: str, open_end: str, birth_year: str | None = None,
                window: tuple[str, str | None] | None = None) -> DataFrame:
     """Per member and calendar year: days at home, days exposed, days weighted by age factor, days in the year.
 
     ``last`` is the last day lived there (inclusive); null means still there, closed by ``open_end``. Overlapping
-    periods count once. ``window`` (inclusive dates) is when the source runs; home time outside it is a known zero.
+    periods count once. Only periods that ``period_status`` calls counted add days. ``window`` (inclusive dates) is when the source runs; home time outside it is a known zero.
     """
     end = F.date_add(F.coalesce(F.col(last), F.lit(open_end).cast("date")), 1)
-    spans = residence.select(member, F.col(start).alias("__s"), end.alias("__e"))
+    spans = residence.where(period_status(start, last, open_end) == "counted").select(member, F.col(start).alias("__s"), end.alias("__e"))
     m = merge_intervals(spans, [member], "__s", "__e")
     if birth_year:
         born = residence.groupBy(member).agg(F.min(birth_year).alias(birth_year))

@@ -15,20 +15,33 @@ _GRID_INTS = {"grid_code", "x", "y", "release_no", "media"}
 _GRID_TEXT = {"chemical_no", "facility_no"}
 
 
+def _plain(header: str) -> str:
+    return header.lstrip("\ufeff").split(".")[0].strip()
+
+
 def read_decorated_csv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """CSV whose headers read ``65. ON-SITE TOTAL``: columns come back named by the number before the dot.
 
-    ``names`` are the full header cells in file order; all values stay text, short records are padded with null, and
-    no inference pass is run over the data. A byte-order mark before the first header is dropped.
+    Each file's own header says where a column stands, so files may differ in order and in the columns they have; a
+    column that a file lacks is null in its rows. Files of one layout are read together. All values stay text, short
+    records are padded with null, and no inference pass is run over the data. A byte-order mark before the first header
+    is dropped.
     """
-    clean = [n.lstrip("﻿").split(".")[0].strip() for n in names]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in clean])
-    return (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-            .option("mode", "PERMISSIVE").csv(path))
+    want = [_plain(n) for n in names]
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        layouts.setdefault(tuple(map(_plain, header_of(spark, file))), []).append(file)
+    out = spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in want]))
+    for layout, files in layouts.items():
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(layout))])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+        out = out.unionByName(rows.select(*[
+            (F.col(f"c{layout.index(n)}") if n in layout else F.lit(None).cast("string")).alias(n) for n in want]))
+    return out
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The header cells of a CSV, from a schema-only read."""
+    """The header cells of one CSV file, from its first line."""
     return spark.read.option("header", True).csv(path).columns
 
 

@@ -130,6 +130,38 @@ def test_dockets(spark):
                    (5, 2024, "CA", 123), None]
     hint = spark.createDataFrame([("2024-CA-0286",)], "x string").select(keys.docket_parts("x", 0)["circuit"]).first()[0]
     assert hint == 0
+    bare = spark.createDataFrame([("18-279", 3), ("No. 2023-0578", 1), ("18-279", None)], "x string, c int").select(
+        keys.docket_parts("x", F.col("c")).alias("p")).collect()
+    assert [r["p"] and (r["p"]["circuit"], r["p"]["year"], r["p"]["number"], r["p"]["key"]) for r in bare] == [
+        (3, 2018, 279, "appeal:3:2018::279"), (1, 2023, 578, "appeal:1:2023::578"), None]
+
+
+def test_headers_are_met_by_name(spark, tmp_path):
+    from fieldbook.sources import delimited
+    (tmp_path / "a.csv").write_text("\ufeff2. ID,37. LINE,65. TOTAL\n1,x,5\n2,y\n")
+    (tmp_path / "b.csv").write_text("65. TOTAL,2. ID,90. MORE\n7,3,z\n")
+    got = delimited.read_decorated_csv(spark, str(tmp_path), ["2. ID", "37. LINE", "65. TOTAL"]).orderBy("2").collect()
+    assert [tuple(r) for r in got] == [("1", "x", "5"), ("2", "y", None), ("3", None, "7")]
+
+
+def test_reversed_periods_are_named_and_add_nothing(spark):
+    import datetime as dt
+    day = dt.date
+    rows = [("m", day(2010, 1, 1), day(2010, 12, 31)), ("m", day(2012, 5, 1), day(2012, 4, 1)), ("m", None, day(2011, 1, 1)),
+            ("m", day(2030, 1, 1), None)]
+    res = spark.createDataFrame(rows, "m string, s date, e date")
+    said = [r[0] for r in res.select(exposure.period_status("s", "e", "2026-10-11")).collect()]
+    assert said == ["counted", "ends before it starts", "start unknown", "starts after the last day known"]
+    assert [(r["year"], r["home_days"]) for r in exposure.home_years(res, "m", "s", "e", "2026-10-11").collect()] == [(2010, 365)]
+
+
+def test_visible_text_of_odd_pages(spark):
+    from fieldbook.sources import markup
+    pages = {"<P title='a>b'>x &amp; y&nbsp;z</P><!-- <p>no --><b>w</b>v": "x & y z\nwv",
+             "<svg><style>a</style>b</svg>c<br/>d<script>if (a<b) {}</script >e": "c\nde",
+             "a < b and &lt;p&gt;<pre>k</pre>": "a < b and <p>\nk", "u<script>never closed": "u", "": "", None: None}
+    d = spark.createDataFrame([(k,) for k in pages], "x string")
+    assert {r["x"]: r["t"] for r in d.select("x", markup.visible_text("x").alias("t")).collect()} == pages
 
 
 def test_values(spark):
