@@ -1,10 +1,11 @@
 """Benchmark decontamination by spaced seeds: masks that ignore some token positions find overlaps that hold substitutions.
 
 Tokens are runs of letters and digits, lower-cased. A mask lays a pattern of cared-for positions over each window of
-tokens; the cared-for ones are hashed, for training texts and benchmark items alike, and equal hashes are hits. With two
-masks that differ, a substituted token seldom breaks every window. A hit places the item over the document, at one
-offset; the item's tokens are then compared at that offset, all of them, and an alignment counts if enough agree. So a
-chance hit on common words alone is dismissed. DataFrame functions only.
+tokens; the cared-for ones are hashed, for training texts and benchmark items alike, and equal hashes are hits. The masks
+are all those of three cared-for positions up to a span at which no alignment that counts can be without a hit (see
+``family``), wherever its substitutions lie. A hit places the item over the document, at one offset; the item's tokens are
+then compared at that offset, all of them, and an alignment counts if enough agree. So a chance hit on common words alone
+is dismissed. DataFrame functions only.
 
 Benchmark seeds are broadcast behind a count of them; beyond it the join is a shuffle. A seed that stands in very many
 items or texts multiplies neither side: items are met once for each distinct (document, item, offset).
@@ -12,12 +13,14 @@ items or texts multiplies neither side: items are met once for each distinct (do
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.llm.common import Workspace, small
 
-MASKS = ("11011011", "1110100110")
+WEIGHT = 3  # cared-for positions of a mask
 SHARE = 0.5
 MIN_TOKENS = 8
 SEED_ROWS = 500_000
@@ -28,41 +31,42 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def seeds(prints: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """Hashes of every mask and window over an array of token hashes: all of the first mask, then all of the next."""
-    every = []
-    for salt, mask in enumerate(masks):
-        every.append(_windows(prints, [i for i, c in enumerate(mask) if c == "1"], len(mask), salt))
-    return F.concat(*every)
-
+def family(share: float = SHARE, min_tokens: int = MIN_TOKENS) -> tuple[tuple[int, ...], ...]:
+    """The masks, as cared-for positions from 0, of which every alignment of at least ``share`` of an item's tokens, and
+    ``min_tokens`` of them, holds one at least.
 
-def _windows(prints: Column, care: list[int], span: int, salt: int) -> Column:
-    last = F.size(prints) - span
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda p: F.xxhash64(F.lit(salt), *[F.get(prints, p + i) for i in care]))
+    Of m agreeing positions among n tokens, m - 1 gaps sum to n - 1 at most. They make q disjoint runs of weight - 1 gaps;
+    the rest are 1 or more. So some run spans no more than the mean of what is left to them, and no gaps do worse.
+    """
+    most = max(min_tokens, 1)
+    run = min(WEIGHT, most) - 1
+    if not run:
+        return ((0,),)
+    # beyond so many agreeing tokens the bound stays at its limit, run / share
+    span = max((int(m / share) - m + (m - 1) // run * run) // ((m - 1) // run) for m in range(most, most + 1000))
+    return tuple((0, *inner, last) for last in range(run, span + 1) for inner in combinations(range(1, last), run - 1))
 
 
-def _exploded(rows: DataFrame, name: str, masks: tuple[str, ...]) -> DataFrame:
-    """(name, at, seed) for each row's array of token hashes ``w``."""
-    at, size = F.col("pos"), F.col("n")
-    out = rows.select(name, F.size("w").alias("n"), F.posexplode(seeds(F.col("w"), masks)).alias("pos", "seed"))
-    place, before = at, F.lit(0)
-    for mask in masks[:-1]:
-        before = before + F.greatest(size - len(mask) + 1, F.lit(0))
-        place = F.when(at >= before, at - before).otherwise(place)
-    return out.select(name, place.alias("at"), "seed")
+def _exploded(rows: DataFrame, name: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(name, at, seed) for each row's array of token hashes ``w``: every mask laid at every position."""
+    ahead = sorted({i for mask in masks for i in mask})
+    near = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in ahead])
+    out = rows.select(name, F.posexplode(near).alias("at", "t")).select(name, "at", *[F.col(f"t.w{i}").alias(f"w{i}") for i in ahead])
+    seed = [F.when(F.col(f"w{mask[-1]}").isNotNull(), F.xxhash64(F.lit(salt), *[F.col(f"w{i}") for i in mask])) for salt, mask in enumerate(masks)]
+    return out.select(name, "at", F.explode(F.array(*seed)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-             item_text_col: str = "text", masks: tuple[str, ...] = MASKS, share: float = SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
+             item_text_col: str = "text", share: float = SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, item_id, offset, matched, item_tokens): where at least ``share`` of an item's tokens, and ``min_tokens`` of
     them, stand in the same places of a document, counted from ``offset``.
 
-    An item cut off at either end of a document is counted against its whole. Items shorter than the shortest mask can't
-    be found. Null texts have no tokens; rows with a null id are left out. Rows that repeat an id are compared one by
+    None is missed, whichever tokens are substituted. An item cut off at either end of a document is counted against its
+    whole. Items of fewer than ``min_tokens`` can't be found. Null texts have no tokens; rows with a null id are left out. Rows that repeat an id are compared one by
     one, equal findings are returned once. Either table may be empty; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "decontamination")
+    masks = family(share, min_tokens)
     words = lambda c: F.transform(tokens(F.col(c)), lambda w: F.xxhash64(w))
     items = ws.keep(bench.select(F.col(item_col).alias("item_id"), words(item_text_col).alias("w")).where(F.size("w") > 0))
     index = ws.keep(_exploded(items, "item_id", masks).select("item_id", F.col("at").alias("item_at"), "seed").distinct())

@@ -135,6 +135,31 @@ def test_leaks_with_substitutions_and_clean_texts(spark):
     assert decontam.overlaps(_docs(spark, docs), bench.where("item_id < 0")).collect() == []
 
 
+def _aligned(doc, item):
+    """Offset and agreeing tokens of every alignment that counts, by comparing all."""
+    for o in range(1 - len(item), len(doc)):
+        m = sum(0 <= o + i < len(doc) and doc[o + i] == w for i, w in enumerate(item))
+        if m >= 8 and 2 * m >= len(item):
+            yield o, m
+
+
+def test_leaks_at_every_period_and_at_random_against_brute_force(spark):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    say = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = [say(n) for n in (8, 9, 12, 15, 16, 17, 20, 21, 38, 59)] + [[]]
+    docs = []
+    for item in items[:-1]:
+        for period in range(2, 8):
+            for phase in range(period):
+                docs.append(say(5) + [w if (j + phase) % period else "other" for j, w in enumerate(item)] + say(4))
+        docs += [say(7) + [w if rnd.random() > rate else "other" for w in item] + say(3) for rate in (0.1, 0.2, 0.3, 0.4, 0.5) for _ in range(6)]
+    want = {(d, k, o, m) for d, doc in enumerate(docs) for k, item in enumerate(items) for o, m in _aligned(doc, item)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontam.overlaps(_docs(spark, [(d, " ".join(w), "a") for d, w in enumerate(docs)]), bench).collect()
+    assert {(r["id"], r["item_id"], r["offset"], r["matched"]) for r in got} >= want
+
+
 # The contract's base patterns as they are stated.
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
         ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
