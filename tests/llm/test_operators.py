@@ -160,6 +160,23 @@ def test_leaks_at_every_period_and_at_random_against_brute_force(spark):
     assert {(r["id"], r["item_id"], r["offset"], r["matched"]) for r in got} >= want
 
 
+def test_leaks_of_passages_and_of_items_in_pieces(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(40000)]
+    say = lambda n: [rnd.choice(words) for _ in range(n)]
+    a, b, c = say(59), say(30), say(14) + ["don", "t"] + say(14)
+    passage = a[20:45]
+    changed = [w if j not in (4, 13, 20) else "other" for j, w in enumerate(passage)]
+    docs = {1: say(9) + passage + say(9), 2: say(9) + changed + say(9), 3: say(6) + b[:10] + ["so"] + b[10:20] + ["on"] + b[20:] + say(6),
+            4: say(5) + c[:14] + ["dont"] + c[16:] + say(5), 5: say(9) + a[20:28] + say(30), 6: say(9) + b[:12] + b[13:18] + say(9),
+            7: say(9) + b[:7] + say(40) + b[23:] + say(9), 8: say(7) + b + say(20) + b[:11] + ["so"] + b[11:]}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((a, b, c))], "item_id long, text string")
+    rows = [(d, " ".join(w), "a") for d, w in docs.items()]
+    got = {(r["id"], r["item_id"], r["offset"], r["matched"]) for r in decontam.overlaps(_docs(spark, rows + [rows[2]]), bench).collect()}
+    assert got >= {(1, 0, -11, 25), (2, 0, -11, 22), (3, 1, 6, 30), (8, 1, 7, 30)}
+    assert {(g[0], g[1]) for g in got} == {(1, 0), (2, 0), (3, 1), (4, 2), (6, 1), (8, 1)}
+
+
 # The contract's base patterns as they are stated.
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
         ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
