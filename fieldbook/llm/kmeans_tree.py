@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; its leaves are small enough for the whole table's vectors to be spread over, up
 to ``MAX_LEAVES``. Every vector goes down to one leaf. A query keeps a priority queue of nodes by the distance to their
 centre and opens the nearest, so leaves come out in the order of promise; it visits as many as calibration found to be
-needed: sample queries are compared with all vectors, and the visits are widened until their recall is reached.
+needed: sample queries are compared with all vectors, and the visits are widened until their recall is reached. A query
+whose leaves hold too few vectors goes on past them, by the leaves' counts.
 
 Queries and vectors of a leaf meet in blocks of both, so that no task holds a leaf, however hot; each block returns its
 best candidates of each query, and the blocks' lists are merged. Distances are exact, in double precision.
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import Workspace
+from fieldbook.llm.common import Workspace, small
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, at most
 BRANCH = 8
@@ -57,14 +58,16 @@ class Tree:
             todo += [(k, rows[near == i]) for i, k in enumerate(kids) if (near == i).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves in best-bin-first order."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, held: list[int] | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves in best-bin-first order, and further ones until they hold ``least`` vectors by the
+        counts ``held``."""
+        queue, out, rows = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or (held is not None and rows < least)):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(int(self.leaf[node]))
+                rows += held[out[-1]] if held is not None else 0
                 continue
             for d, k in zip(((self.centres[kids] - q) ** 2).sum(1), kids):
                 heapq.heappush(queue, (float(d), k))
@@ -162,8 +165,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     """(query_id, rank, vec_id, score): for each row that ``is_query`` holds of, its ``k`` nearest among all other rows.
 
     Ids that repeat are candidates each, but a query leaves out all rows of its own id. Queries with fewer than ``k``
-    candidates get all that were met. Empty tables and tables without queries give no rows. ``visits`` overrides the
-    calibrated number of leaves.
+    candidates get all there are; others get ``k``. Empty tables and tables without queries give no rows. ``visits`` overrides the
+    calibrated number of leaves, which is exceeded where these hold fewer than ``k`` candidates.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "kmeans-tree")
@@ -180,13 +183,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     spread = ws.keep(rows.withColumn("leaf", leaf_of("v")))
     named = rows.withColumnRenamed("id", id_col)
     queries = named.where(is_query).dropDuplicates([id_col]).withColumnRenamed(id_col, "id")
+    held = [0] * tree.leaves
+    for r in spread.groupBy("leaf").count().collect():
+        held[r["leaf"]] = r["count"]
+    own = spread.select("id").join(small(ws.keep(queries.select("id"))), "id").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
     def asked(q: DataFrame, most: int) -> DataFrame:
         @F.pandas_udf("array<int>")
-        def leaves(v: pd.Series) -> pd.Series:
-            return pd.Series([tree.visits(y, most) for y in v])
+        def leaves(v: pd.Series, own: pd.Series) -> pd.Series:
+            return pd.Series([tree.visits(y, most, held, k + int(n)) for y, n in zip(v, own)])
 
-        return ws.keep(q.withColumn("leaf", F.explode(leaves("v"))).select("id", "v", "leaf"))
+        return ws.keep(q.join(own, "id").withColumn("leaf", F.explode(leaves("v", "own"))).select("id", "v", "leaf"))
 
     if visits is None:
         visits = calibrate(ws, spread, tree, queries, k, recall)

@@ -119,6 +119,17 @@ def test_search_recall_ties_and_odd_vectors(spark):
     assert kmeans_tree.search(df.where("vec_id > 4000"), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_search_in_a_small_cluster_gives_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 100)
+    rnd = np.random.default_rng(3)
+    x = np.vstack([rnd.normal(size=(200, 4)) * 0.1 + 40 * np.eye(4)[i % 4] * (1 + i // 4) for i in range(8)] + [rnd.normal(size=(5, 4)) * 0.1 - 500])
+    rows = [(i, [float(v) for v in y]) for i, y in enumerate(x)] + [(1600, [float(v) for v in x[1600]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = kmeans_tree.search(df, F.col("vec_id").isin(5, 1600, 1604), visits=1).toPandas()
+    assert got.groupby("query_id")["rank"].apply(sorted).to_dict() == {q: list(range(1, 11)) for q in (5, 1600, 1604)}
+    assert set(got[(got["query_id"] == 1600) & (got["rank"] <= 4)]["vec_id"]) == {1601, 1602, 1603, 1604}
+
+
 def test_leaks_with_substitutions_and_clean_texts(spark):
     rnd = random.Random(6)
     words = [f"w{i}" for i in range(300)]
