@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import chat, decontam, jaccard, kmeans_tree, licenses, mixing, pii, quality, sharding, suffix_dedup
+from fieldbook.llm import (chat, decontam, hard_negatives, jaccard, kmeans_tree, licenses, mixing, phrases, pii, quality,
+                           secret_grammar, sharding, suffix_dedup)
 from fieldbook.llm.common import table
 from fieldbook.session import prepare
 
@@ -126,3 +127,74 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     """Components of documents whose five-word shingle sets overlap by 75 of 100."""
     return jaccard.link_components(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_bond_hard_negatives", """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+         cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
+p as (
+  select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over w as integer) as rank, s.id as negative_id, positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+window w as (partition by p.anchor_id, positive_id order by s.score desc, s.id)
+qualify row_number() over w <= 5
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    """For every hundredth vector, other-label rows that score just under each of its five best same-label rows."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_secret_grammar")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every whole text: the patterns' and those that automata of known credentials accept."""
+    found = secret_grammar.find(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda m: m["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in secret_grammar.BASE],
+                        F.sha2(secret_grammar.listed(F.col("base")), 256).alias("base_sha256"),
+                        secret_grammar.listed(F.col("spans")).alias("spans"))
+
+
+@query("op13_phrase_subtrees", r"""
+with d as (
+  select row_number() over () as i, coalesce(lang, 'und') as lang,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents where text is not null),
+pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+places as (select lang, w, unnest(range(1, len(w) + 1)) as k from words where len(w) > 0),
+f as (
+  select lang, 1 as size, w[k] as phrase, count(*) as a from places group by all
+  union all select lang, 2, w[k] || ' ' || w[k + 1], count(*) from places where k + 1 <= len(w) group by all having count(*) >= 10
+  union all select lang, 3, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2], count(*) from places where k + 2 <= len(w) group by all having count(*) >= 10),
+total as (select lang, cast(sum(a) as bigint) as n from f where size = 1 group by lang),
+c as (select lang, size, phrase, a, string_split(phrase, ' ') as w from f where size > 1),
+cuts as (
+  select c.lang, c.phrase, c.a, k, x.a as l, y.a as r,
+         cast((cast(1000000 as hugeint) * c.a * c.a) // (cast(x.a as hugeint) * y.a) as bigint) as score
+  from (select *, unnest(range(1, size)) as k from c) c
+  join f x on x.lang = c.lang and x.size = k and x.phrase = array_to_string(c.w[1:k], ' ')
+  join f y on y.lang = c.lang and y.size = c.size - k and y.phrase = array_to_string(c.w[k + 1:], ' ')),
+weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (
+  select lang, part, max(a) as longer from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as part from c where size = 3)
+  group by lang, part)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from weakest join total using (lang) left join longer on longer.lang = weakest.lang and part = phrase
+where longer is null or 100 * longer < 50 * a
+qualify rank <= 2000
+""")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    """The two thousand strongest phrases of two and three words of each language."""
+    return phrases.collocations(table(spark, sf, "documents").select("text", "lang"))

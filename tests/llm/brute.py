@@ -81,3 +81,55 @@ def area_under_curve(pairs):
         below += zero
         i = j
     return won / (ones * zeros)
+
+
+def hard_negatives(rows, anchors, low=80, positives=5, negatives=5):
+    """Sorted (anchor, positive, rank, negative, positive score, negative score) of (id, label, integer vector) rows."""
+    out = []
+    for a, la, va in rows:
+        if a not in anchors:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(va, v)), i, lb) for i, lb, v in rows if i != a)
+        for s, p, _ in [t for t in scored if t[2] == la][:positives]:
+            good = [t for t in scored if t[2] != la and low * -s <= 100 * -t[0] <= 100 * -s][:negatives]
+            out += [(a, p, k + 1, n, -s, -sn) for k, (sn, n, _) in enumerate(good)]
+    return sorted(out)
+
+
+PIECES = re.compile(r"[.,;:!?\x0A-\x0D]")
+
+
+def collocations(rows, least=10, top=2000):
+    """{lang: [(phrase, a, l, r, n, score)]} of (lang, text) rows."""
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in PIECES.split((text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                counts["und" if lang is None else lang].update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    out = {}
+    for lang, f in counts.items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        longer = Counter()
+        for p, c in f.items():
+            if len(p) == 3 and c >= least:
+                for part in (p[:2], p[1:]):
+                    longer[part] = max(longer[part], c)
+        found = []
+        for p, a in f.items():
+            if len(p) > 1 and a >= least and not (len(p) == 2 and longer[p] and 100 * longer[p] >= 50 * a):
+                score, _, l, r = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                found.append((" ".join(p), a, l, r, n, score))
+        out[lang] = sorted(found, key=lambda x: (-x[5], -x[1], x[0].encode()))[:top]
+    return {k: v for k, v in out.items() if v}
+
+
+SECRETS = (("assign", re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"
+                                 r"[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 12),
+           ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))
+
+
+def secrets(text):
+    found = [(m.start(), i, kind, m.end()) for i, (kind, p, g, least) in enumerate(SECRETS)
+             for m in p.finditer(text or "") if len(m.group(g)) >= least]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
