@@ -3,9 +3,10 @@
 A token per row would cost tens of bytes for each; here tokens travel in packed binary columns, one row for each task
 chunk and bucket, and a bucket is answered with one sort. Buckets follow the tokens' number, so that each holds about
 ``TOKENS_PER_BUCKET``. A token that half of all rows hold is met in its chunk already: two of its entries go to the
-bucket, where other chunks' entries must be told of it, and the rest are answered without going there. No bucket grows
-with a hot token by more than two entries a chunk. Answers go back in the same form, one row for each bucket and range of
-owners, and become one row for each owner there.
+bucket, where other chunks' entries must be told of it; the rest of the chunk's are known to be shared and go, in one row, to
+one of ``SPREAD`` places where nothing has to meet. No bucket grows with a hot token by more than two entries a chunk.
+Answers go back in the same form, one row for each bucket and range of owners, and become one row for each owner there.
+Tokens are compared in all their 64 bits.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fieldbook.llm import bytescan
+
 U = np.uint64
 TOKENS_PER_BUCKET = 2_500_000
-LOW = U((1 << 40) - 1)
+SPREAD = 1 << 20
 POSTED = "bucket int, owners binary, counts binary, tokens binary, marks binary"
 ANSWERED = "range int, owners binary, counts binary, items binary"
 
@@ -33,7 +36,7 @@ def post(owner: np.ndarray, token: np.ndarray, mark: np.ndarray | None, parts: i
     new[1:] = token[by[1:]] != token[by[:-1]]
     at = np.flatnonzero(new)
     rank = np.arange(len(by)) - at[np.cumsum(new) - 1]
-    bucket[by[rank >= 2]] += parts
+    bucket[by[rank >= 2]] = parts + int(bytescan.mix(owner[:1])[0] % U(SPREAD)) if len(owner) else 0
     by = np.lexsort((owner, bucket))
     bucket, owner, token = bucket[by], owner[by], token[by]
     mark = None if mark is None else mark[by].astype(np.uint32)
@@ -45,7 +48,7 @@ def post(owner: np.ndarray, token: np.ndarray, mark: np.ndarray | None, parts: i
     counts = np.diff(np.append(runs, len(by))).astype(np.uint32)
     row_of_run = np.searchsorted(runs, rows)
     run_ends, row_ends = np.append(row_of_run[1:], len(runs)), np.append(rows[1:], len(by))
-    packed = (token & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    packed = token.astype("<u8")
     owners = owner[runs]
     cols = [bucket[rows].astype(np.int32), [], [], [], []]
     for a, b, lo, hi in zip(row_of_run, run_ends, rows, row_ends):
@@ -68,10 +71,7 @@ def answers(posted: DataFrame, parts: int) -> DataFrame:
     def answer(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         owner = np.repeat(_joined(group.column("owners"), "<u8"), _joined(group.column("counts"), "<u4"))
-        raw = _joined(group.column("tokens"), np.uint8).reshape(-1, 5)
-        token = np.zeros((len(raw), 8), dtype=np.uint8)
-        token[:, :5] = raw
-        token = token.view("<u8").ravel() | (U(bucket % parts) << U(40))
+        token = _joined(group.column("tokens"), "<u8")
         mark = _joined(group.column("marks"), "<u4")
         marked = len(mark) > 0
         by = np.lexsort((mark, owner, token) if marked else (owner, token))

@@ -232,3 +232,33 @@ def test_quality_on_held_out_rows_and_empty_tables(spark):
     none = quality.fit(docs, labels.where("doc_id < 0"))
     assert {r["score"] for r in quality.scored(docs.limit(5), none).collect()} == {0.5}
     assert quality.scored(_docs(spark, []), none).collect() == []
+
+
+def test_exchange_tells_tokens_apart_in_all_their_bits(spark):
+    from fieldbook.llm import exchange
+
+    def posted(rows, parts, **_):
+        def run(batches):
+            for b in batches:
+                o, t = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+                yield exchange.post(o, t, None, parts)
+        return spark.createDataFrame(rows, "o long, t long").repartition(6).mapInArrow(run, exchange.POSTED)
+
+    hot = [(i, 77) for i in range(900)]
+    alike = [(1000 + i, 12345 + (i << 40)) for i in range(400)] + [(2000, 5), (2001, 5), (2002, 12345 + (3 << 40))]
+    for parts in (1, 7):
+        got = {r["owner"]: set(np.frombuffer(r["items"], "<u8").tolist()) for r in exchange.answers(posted(hot + alike, parts), parts).collect()}
+        want = {i: {77} for i in range(900)} | {2000: {5}, 2001: {5}, 2002: {12345 + (3 << 40)}, 1003: {12345 + (3 << 40)}}
+        assert got == want
+    groups = posted(hot, 4).groupBy("bucket").agg(F.sum(F.length("tokens") / 8).alias("n")).collect()
+    assert max(r["n"] for r in groups) < 300
+
+
+def test_licence_grams_of_a_long_line(spark):
+    import time
+    words = [f"w{i % 997}x" for i in range(20_000)]
+    df = spark.createDataFrame([(" ".join(words),)], "p string")
+    start = time.time()
+    got = df.select(licenses.grams(licenses.words(F.col("p"))).alias("g")).first()["g"]
+    assert time.time() - start < 30
+    assert set(got) == set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
