@@ -41,6 +41,7 @@ TEMPLATES = [
 ]
 NONE, UNKNOWN = "none", "unknown"
 SAMPLE = 2000  # ordinary paragraphs that the model is fitted on, at most
+LONGEST_EXAMPLE = 4000  # characters of one of them; paragraphs of any length are scanned
 VARIANTS = 12
 PRECISION = 0.99
 CONFIRM = 0.6
@@ -52,9 +53,13 @@ def words(text: Column) -> Column:
 
 
 def grams(w: Column) -> Column:
-    """Distinct words and pairs of neighbours."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
-    return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+    """Distinct words and pairs of neighbours. ``w`` is bound to a variable first, or it would be evaluated for every word."""
+
+    def both(w: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        return F.array_distinct(F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+
+    return F.element_at(F.transform(F.array(w), both), 1)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +97,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     templates = _templates(spark)
     key = F.xxhash64("paragraph")
     plain = paragraphs(docs, id_col, text_col).where(~F.lower("paragraph").rlike("licen[sc]e|copyright|all rights reserved"))
-    plain = plain.select("paragraph").orderBy(key, "paragraph").limit(sample).withColumn("family", F.lit(NONE))
+    plain = plain.where(F.length("paragraph") <= LONGEST_EXAMPLE).select("paragraph").orderBy(key, "paragraph").limit(sample).withColumn("family", F.lit(NONE))
     plain = spark.createDataFrame(plain.collect() or [], "paragraph string, family string")
     variants = templates.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS)))).withColumn("w", words(F.col("paragraph")))
     kept = F.filter("w", lambda x, i: (F.col("v") == 0) | (F.pmod(F.xxhash64(x, i, F.col("v"), F.col("t")), F.lit(8)) > 0))
