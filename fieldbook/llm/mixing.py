@@ -7,8 +7,8 @@ meets with one pass), a source has so many tokens to deliver, as passes, each in
 are dealt in blocks: a block is a range of the permutation's hash, and whole blocks are taken until the last one, of which
 the first rows are. Nothing is dropped to fit: a source's last pass ends with the row that meets its budget.
 
-Sources may be many and one may hold a third of all rows: the bisection asks Spark for a sum over the source table at
-each step, and blocks hold a bounded number of rows whatever the source.
+Sources may be many and one may hold a third of all rows: the bisection needs the largest and the smallest source, or, for an
+entropy, a sum over the source table at each step; blocks hold a bounded number of rows whatever the source.
 """
 
 from __future__ import annotations
@@ -31,30 +31,30 @@ def tokens(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+"))).cast("long")
 
 
-def _weighted(sources: DataFrame, exponent: float):
-    """(greatest, least) ratio of weight to share, and the entropy over its maximum, at an exponent."""
-    total = sources.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    share = F.col("n") / F.lit(float(total["n"]))
-    power = F.pow(share, F.lit(exponent))
-    r = sources.agg(F.sum(power).alias("z"), F.sum(power * F.log(power)).alias("e"),
-                    F.max(power / share).alias("hi"), F.min(power / share).alias("lo"), F.log(F.lit(float(total["k"]))).alias("top")).first()
-    entropy = math.log(r["z"]) - r["e"] / r["z"]
-    return r["hi"] / r["lo"], entropy / r["top"] if r["top"] > 0 else 1.0
+def _evenness(sources: DataFrame, total: float, count: int, exponent: float) -> float:
+    """The entropy of the weights at an exponent, over the greatest possible."""
+    power = F.pow(F.col("n") / F.lit(total), F.lit(exponent))
+    r = sources.agg(F.sum(power).alias("z"), F.sum(power * F.log(power)).alias("e")).first()
+    return (math.log(r["z"]) - r["e"] / r["z"]) / math.log(count) if count > 1 else 1.0
 
 
 def choose_exponent(sources: DataFrame, limit: float | None = LIMIT, entropy: float | None = None, steps: int = STEPS) -> float:
     """Bisect the exponent in 0..1: the least at which no source is repeated more than ``limit`` times as often as
-    another, or (with ``entropy``) the greatest whose entropy is at least that share of the greatest possible."""
-    good = (lambda x: _weighted(sources, x)[1] >= entropy) if entropy is not None else (lambda x: _weighted(sources, x)[0] <= limit)
+    another, or (with ``entropy``) the greatest whose entropy is at least that share of the greatest possible.
+
+    A source of share p comes p^(x - 1) times, so the limit is decided by the largest and the smallest source alone.
+    """
+    facts = sources.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    lo, hi = 0.0, 1.0
     if entropy is not None:
-        lo, hi = 0.0, 1.0
+        good = lambda x: _evenness(sources, float(facts["n"]), facts["k"], x) >= entropy
         if good(hi):
             return hi
         for _ in range(steps):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if good(mid) else (lo, mid)
         return lo
-    lo, hi = 0.0, 1.0
+    good = lambda x: (facts["hi"] / facts["lo"]) ** (1 - x) <= limit
     if good(lo):
         return lo
     for _ in range(steps):
