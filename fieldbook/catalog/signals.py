@@ -248,6 +248,19 @@ def x3(spark, d):
     return runs.latest_rows(spark, runs.drain(s, "update", "sensor"), ["start"]).withColumn("mean", F.round("mean", 6))
 
 
+@query("x3_event_lag_stream", """
+SELECT e.event_id, r.event_id AS reading_id, (epoch_us(r.ts) - epoch_us(e.ts)) / 1e6 AS lag_s, r.value FROM events e
+JOIN events r ON e.user_id % 10 = r.user_id % 10 AND r.ts >= e.ts AND r.ts <= e.ts + INTERVAL 90 MINUTE
+WHERE e.event_type = 'error' AND r.event_type = 'view'""")
+def x3_lag(spark, d):
+    site = (F.col("user_id") % 10).alias("site")
+    r = runs.read_stream(spark, d, "events").where("event_type = 'view'").select(
+        site, F.col("event_id").alias("reading_id"), F.col("ts").alias("read_at"), "value")
+    e = runs.read_stream(spark, d, "events").where("event_type = 'error'").select(site, "event_id", "ts")
+    j = runs.event_lag(r, e, ["site"], "read_at", "ts", "90 minutes").select("event_id", "reading_id", "lag_s", "value")
+    return spark.read.parquet(runs.drain(j, "append", "lag")).drop("batch")
+
+
 @query("x4_state_transitions", """
 WITH p AS (SELECT user_id, event_id, (props->>'$.k')::BIGINT % 3 <> 0 AS o, lag((props->>'$.k')::BIGINT % 3 <> 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
 SELECT user_id, event_id, CASE WHEN o THEN 'START-UP' ELSE 'SHUTDOWN' END AS event FROM p WHERE prev IS NOT NULL AND prev <> o""")

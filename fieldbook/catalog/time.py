@@ -418,6 +418,37 @@ def j20(spark, d):
         F.pmod(F.col("wind_from") + 180, F.lit(360.0)), "b") <= 45).alias("toward"))
 
 
+@query("j20_spike_after_incident", """
+WITH h AS (SELECT date_trunc('hour', ts) AS hour, avg(sin(radians((value * 3.6) % 360))) AS s, avg(cos(radians((value * 3.6) % 360))) AS c
+ FROM events GROUP BY 1), r AS (SELECT hour, (degrees(atan2(s, c)) + 360) % 360 AS fr FROM h),
+i AS (SELECT event_id, ts, user_id % 10 AS site, (event_id * 37 % 360)::DOUBLE AS bearing FROM events WHERE event_type = 'error'),
+m AS (SELECT event_id AS reading_id, ts AS rts, user_id % 10 AS site, value FROM events WHERE event_type = 'view'),
+j AS (SELECT i.event_id, m.*, epoch_us(rts) - epoch_us(ts) AS lag FROM i JOIN m ON m.site = i.site AND rts >= ts AND rts <= ts + INTERVAL 3 HOUR),
+p AS (SELECT event_id, count(*) OVER (PARTITION BY event_id) AS readings, value AS peak, lag, rts FROM j
+ QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY value DESC, lag) = 1)
+SELECT i.event_id, coalesce(readings, 0) AS readings, peak, round(lag / 60e6, 4) AS lag_min, round(fr, 5) AS wind_from,
+ round(least(abs((fr + 180) % 360 - bearing), 360 - abs((fr + 180) % 360 - bearing)), 4) AS off_by,
+ CASE WHEN readings IS NULL THEN 'no reading' WHEN fr IS NULL THEN 'no wind' WHEN least(abs((fr + 180) % 360 - bearing),
+ 360 - abs((fr + 180) % 360 - bearing)) <= 45 THEN 'wind toward receptor' ELSE 'wind elsewhere' END AS reading_of_it
+FROM i LEFT JOIN p USING (event_id) LEFT JOIN r ON hour = date_trunc('hour', rts)""")
+def j20_b(spark, d):
+    from fieldbook.functions import geo
+    e = table(spark, d, "events")
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    a = F.radians(F.col("value") * 3.6 % 360)
+    h = e.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.pmod(F.degrees(F.atan2(
+        F.avg(F.sin(a)), F.avg(F.cos(a)))) + 360, F.lit(360.0)).alias("wind_from"))
+    i = e.where("event_type = 'error'").select("event_id", "ts", (F.col("user_id") % 10).alias("site"),
+                                               (F.col("event_id") * 37 % 360).cast("double").alias("bearing"))
+    m = e.where("event_type = 'view'").select((F.col("user_id") % 10).alias("site"), F.col("ts").alias("rts"), "value",
+                                              F.date_trunc("hour", "ts").alias("hour"))
+    j = temporal.peak_after(i, m, ["site"], "event_id", "ts", "rts", "value", ["hour"], 3 * 3600).join(h, "hour", "left")
+    off = geo.angle_difference(F.pmod(F.col("wind_from") + 180, F.lit(360.0)), "bearing")
+    return j.select("event_id", "readings", "peak", F.round(F.col("lag_s") / 60, 4).alias("lag_min"), F.round("wind_from", 5).alias(
+        "wind_from"), F.round(off, 4).alias("off_by"), F.when(F.col("readings") == 0, "no reading").when(
+            F.col("wind_from").isNull(), "no wind").when(off <= 45, "wind toward receptor").otherwise("wind elsewhere").alias("reading_of_it"))
+
+
 _EXPO = """m AS (SELECT DISTINCT c_custkey AS member, c_nationkey % 5 AS place, 1970 + c_custkey % 40 AS born FROM customer),
 p AS (SELECT o_custkey AS member, o_orderdate::DATE AS s, CASE WHEN o_orderkey % 13 = 0 THEN DATE '2002-12-31' ELSE (o_orderdate::DATE +
  (o_orderkey % 500)::INT)::DATE END AS e FROM orders),

@@ -113,6 +113,26 @@ def p10(spark, d):
     return lookup.resolve_exact(q, p.select(F.col("p_name").alias("v")), "q", "v")
 
 
+@query("p10_ordered_candidates", f"""
+WITH q AS ({_RES_Q} UNION ALL SELECT NULL), v AS (SELECT DISTINCT p_name AS v FROM part UNION ALL SELECT DISTINCT upper(p_name) FROM part
+ WHERE p_partkey % 7 = 0),
+e AS (SELECT q, count(v) AS n FROM q LEFT JOIN v ON {sql_fold('q')} = {sql_fold('v')} GROUP BY 1),
+x AS (SELECT q, CASE WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS status, v, n AS hits FROM e JOIN v ON {sql_fold('q')} = {sql_fold('v')} WHERE n > 0),
+c AS (SELECT q, 'candidates' AS status, v, count(*) OVER (PARTITION BY q) AS hits FROM e, v WHERE n = 0
+  AND len(list_filter({sql_words('q')}, lambda w: NOT contains({sql_fold('v')}, w))) = 0)
+SELECT q, status, row_number() OVER (PARTITION BY q ORDER BY length(v), v) AS rank, v, hits FROM (FROM x UNION ALL FROM c)
+QUALIFY rank <= 12
+UNION ALL SELECT q, 'nothing similar', NULL, NULL, 0 FROM e WHERE n = 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.q = e.q)""")
+def p10_b(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey") % 3
+    q = p.select(F.when(k == 0, F.upper("p_name")).when(k == 1, F.substring(F.split("p_name", " ")[1], 1, 3))
+                 .otherwise(F.concat("p_name", F.lit(" zz"))).alias("q")).distinct()
+    q = q.unionByName(p.limit(1).select(F.lit(None).cast("string").alias("q")))
+    v = p.select(F.col("p_name").alias("v")).unionByName(p.where("p_partkey % 7 = 0").select(F.upper("p_name").alias("v")))
+    return lookup.resolve_candidates(q, v, "q", "v")
+
+
 @query("p11_privacy_projection", """
 WITH g AS (SELECT c_nationkey::BIGINT AS c_nationkey, c_mktsegment, sum(c_acctbal) AS v, count(*) AS people FROM customer
  GROUP BY ALL)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldbook.functions import dates, text
+from fieldbook.plans.durable import durable
 from fieldbook.plans.ordered import islands
+from fieldbook.plans.skew import salted_join
 
 # Unit spellings and what they stand for.
 UNITS = {"lb/hr": "LB_HR", "lbs/hr": "LB_HR", "lb/hour": "LB_HR", "tpy": "TPY", "tons/yr": "TPY", "tons/year": "TPY",
@@ -418,30 +422,51 @@ def case_keys(body: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(body))
 
 
-def track_cases(items: DataFrame, item_id: str, body: str, cases: DataFrame, case_id: str, title: str) -> DataFrame:
-    """Items that contain a key of a case, with the number of keys found.
+KEY_CHARS = 16_000_000  # of the watch list that one scan of the texts looks for
+
+
+def key_hits(items: DataFrame, item_id: str, body: str, keys: DataFrame, key: str, chars: int = KEY_CHARS) -> DataFrame:
+    """(item_id, key): the distinct keys of the column ``key`` that each text contains.
 
-    Keys meet the items on their rarest three letters, keys of one or two letters on those, so common words never pair
-    everything with everything; then the whole key is checked.
+    The keys make a pattern automaton that reads a text once, whatever their number and length. A list beyond ``chars``
+    characters is split by hash into that many automata, each with a scan of its own, so that what a task holds is
+    bounded. Null and empty keys and texts meet nothing.
     """
-    from fieldbook.plans.skew import salted_join
+    spark = items.sparkSession
+    own = keys.select(F.col(key).alias("__key")).where(F.length(key) > 0).distinct()
+    total = own.agg(F.sum(F.length("__key"))).first()[0] or 0
+    texts = items.where(F.length(body) > 0).select(item_id, body)
+    out = f"{item_id} {dict(items.dtypes)[item_id]}, __key string"
+    shards = max(1, -(-total // chars))
+    found = None
+    for s in range(shards):
+        sent = spark.sparkContext.broadcast([r[0] for r in own.where(F.pmod(F.xxhash64("__key"), F.lit(shards)) == s).collect()])
+
+        def scan(batches, sent=sent):
+            automaton = ahocorasick.Automaton()
+            for i, k in enumerate(sent.value):
+                automaton.add_word(k, i)
+            automaton.make_automaton()
+            for b in batches:
+                rows, hits = [], []
+                for n, text in enumerate(b.column(1).to_pylist()):
+                    met = {i for _, i in automaton.iter(text)} if len(sent.value) else ()
+                    rows += [n] * len(met)
+                    hits += [sent.value[i] for i in met]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, pa.string())],
+                                                 names=[item_id, "__key"])
+
+        part = texts.mapInArrow(scan, out)
+        found = part if found is None else found.unionByName(part)
+    return found.withColumnRenamed("__key", key)
 
+
+def track_cases(items: DataFrame, item_id: str, body: str, cases: DataFrame, case_id: str, title: str) -> DataFrame:
+    """Items that contain a key of a case, with the number of keys found. Each text is read once for all keys."""
     k = cases.select(case_id, F.explode(F.transform(case_keys(F.col(title)), lambda x: F.lower(x))).alias("__key")).where(
         F.col("__key") != "").distinct()
-    t = items.select(item_id, F.lower(body).alias("__t"))
-
-    def grams(c: str, size: int):
-        last = F.greatest(F.length(c) - size + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.col(c).substr(i, F.lit(size)))
-
-    every = F.array_distinct(F.concat(*[grams("__t", n) for n in (1, 2, 3)]))
-    g = t.select(item_id, F.explode(every).alias("__g"))
-    freq = g.groupBy("__g").agg(F.count(F.lit(1)).alias("__f"))
-    kg = k.withColumn("__g", F.explode(F.array_distinct(grams("__key", 3)))).join(freq, "__g", "left")
-    rare = kg.groupBy(case_id, "__key").agg(F.min_by("__g", F.struct(F.coalesce("__f", F.lit(0)), "__g")).alias("__g"))
-    pairs = salted_join(g, rare, ["__g"], [item_id])
-    j = pairs.join(t, item_id).where(F.col("__t").contains(F.col("__key")))
-    return j.groupBy(item_id, case_id).agg(F.count(F.lit(1)).alias("keys"))
+    hits = durable(key_hits(items.select(item_id, F.lower(body).alias("__t")), item_id, "__t", k, "__key"))
+    return salted_join(hits, k, ["__key"], [item_id]).groupBy(item_id, case_id).agg(F.count(F.lit(1)).alias("keys"))
 
 
 def passages(lines: DataFrame, keys: Sequence[str], pattern: str, gap: int = 2, around: int = 1) -> DataFrame:

@@ -154,6 +154,25 @@ def within_days(left: DataFrame, right: DataFrame, keys: Sequence[str], l_date:
         F.col(r_date).between(F.date_sub(l_date, before), F.date_add(l_date, after))).drop("__b")
 
 
+def peak_after(events: DataFrame, readings: DataFrame, keys: Sequence[str], event_id: str, event_ts: str, reading_ts: str,
+               value: str, carry: Sequence[str], most_s: int) -> DataFrame:
+    """Each event with the highest reading of its key up to ``most_s`` seconds later: readings, peak, lag_s of the peak (the
+    first of equals) and ``carry`` of that reading. An event that no reading follows keeps nulls and 0 readings.
+
+    Rows meet on the key and on slices of ``most_s``; the pairs are folded to one row an event before they travel.
+    """
+    micros = most_s * 1_000_000
+    at = lambda c: F.floor(F.unix_micros(c) / micros)
+    e = events.select(event_id, event_ts, *keys).withColumn("__b", F.explode(F.array(at(event_ts), at(event_ts) + 1)))
+    r = readings.where(F.col(value).isNotNull()).select(*keys, reading_ts, value, *carry).withColumn("__b", at(reading_ts))
+    lag = (F.unix_micros(reading_ts) - F.unix_micros(event_ts)) / 1_000_000
+    j = salted_join(r, e, [*keys, "__b"], [reading_ts, value]).withColumn("__lag", lag).where(F.col("__lag").between(0, most_s))
+    best = F.max_by(F.struct(F.col(value).alias("peak"), F.col("__lag").alias("lag_s"), *carry), F.struct(value, -F.col("__lag")))
+    got = j.groupBy(event_id).agg(F.count(F.lit(1)).alias("readings"), best.alias("__p"))
+    return events.join(got, event_id, "left").select(
+        *events.columns, F.coalesce("readings", F.lit(0)).alias("readings"), "__p.peak", "__p.lag_s", *[f"__p.{c}" for c in carry])
+
+
 def certificate_as_of(samples: DataFrame, certs: DataFrame, keys: Sequence[str], sample_id: str, sample_date: str,
                       cert_date: str, cert_id: str, label: str, before: int = 60, after: int = 45) -> DataFrame:
     """The certificate that covers a sample: a fiscal-year label match wins, else the issue-date window.

@@ -18,15 +18,47 @@ def split_counts(df: DataFrame, keys: Sequence[str], rows_per_split: int) -> Dat
             .select(*keys, F.ceil(F.col("__n") / F.lit(rows_per_split)).cast("int").alias("__splits")))
 
 
+def block_counts(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int, pairs: int) -> DataFrame:
+    """Keys whose join needs more than one task, with the number of blocks of each side (__ls, __rs).
+
+    A key is cut into as many blocks as keep each under ``rows`` rows of either side and ``pairs`` pairs; how many of them
+    fall on which side is what repeats the fewest rows. A key counts as hot only with over ``rows`` rows or the square
+    root of ``pairs``, so the hot keys are few whatever the data.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = left.select(*keys, one.alias("__l"), none.alias("__r")).unionByName(right.select(*keys, none.alias("__l"), one.alias("__r")))
+    nl, nr = F.col("__nl"), F.col("__nr")
+    work = nl.cast("double") * nr
+    n = (both.groupBy(*keys).agg(F.sum("__l").alias("__nl"), F.sum("__r").alias("__nr"))
+         .where((nl > 0) & (nr > 0) & ((nl > rows) | (nr > rows) | (work > pairs))))
+    blocks = F.ceil(F.greatest(work / pairs, F.lit(1.0)))
+    ls = F.greatest(F.ceil(nl / F.lit(rows)), F.round(F.sqrt(blocks * nl / nr)).cast("long"), F.lit(1))
+    rs = F.greatest(F.ceil(nr / F.lit(rows)), F.ceil(blocks / ls), F.lit(1))
+    return n.select(*keys, ls.cast("int").alias("__ls"), rs.cast("int").alias("__rs"))
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
-                how: str = "inner", rows_per_split: int = 100_000) -> DataFrame:
-    """Equi join in which the rows of a hot left key are spread over several tasks.
+                how: str = "inner", rows_per_split: int = 100_000, pairs_per_split: int = 100_000_000) -> DataFrame:
+    """Equi join in which a key with many rows on either side, or on both, is spread over several tasks.
 
-    Hot keys are found by count; their left rows get a salt from a hash of ``salt_by`` (a retry gives the
-    same salt) and the matching right rows are repeated once per salt. Every pair is met exactly once.
+    Hot keys are found by one count of both sides. Their left rows fall into blocks by a hash of ``salt_by``, their right rows
+    by a hash of all they hold (a retry gives the same blocks), and every block of the one side meets every block of the
+    other. Every pair is met exactly once. A left join spreads its left side only.
     """
-    if how not in ("inner", "left"):
+    if how == "left":
+        return _left_salted(left, right, keys, salt_by, rows_per_split)
+    if how != "inner":
         raise ValueError("salted_join supports inner and left joins")
+    hot = block_counts(left, right, keys, rows_per_split, pairs_per_split)
+    part = lambda n, *c: F.when(F.col(n).isNotNull(), F.pmod(F.xxhash64(*c), F.col(n).cast("long"))).otherwise(F.lit(0).cast("long"))
+    fill = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)).cast("long") - 1))
+    plain = [f.name for f in right.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    l = left.join(hot, list(keys), "left").withColumn("__lb", part("__ls", *salt_by)).withColumn("__rb", fill("__rs")).drop("__ls", "__rs")
+    r = right.join(hot, list(keys), "left").withColumn("__rb", part("__rs", *plain)).withColumn("__lb", fill("__ls")).drop("__ls", "__rs")
+    return l.join(r, [*keys, "__lb", "__rb"]).drop("__lb", "__rb")
+
+
+def _left_salted(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str], rows_per_split: int) -> DataFrame:
     hot = split_counts(left, keys, rows_per_split)
     l = left.join(hot, list(keys), "left").withColumn(
         "__salt", F.when(F.col("__splits").isNotNull(),
@@ -35,4 +67,4 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     r = right.join(hot, list(keys), "left").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__splits"), F.lit(1)).cast("long") - 1))
     ).drop("__splits")
-    return l.join(r, [*keys, "__salt"], how).drop("__salt")
+    return l.join(r, [*keys, "__salt"], "left").drop("__salt")

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fieldbook-{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store it names."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """CSV in the stated column order; arrays are flattened to ``a; b``, nulls stay empty."""
     types = dict(df.dtypes)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-from fieldbook.sources.sinks import scratch
+from fieldbook.sources.sinks import exists, scratch
+from fieldbook.streaming.processors import Changes, Trigger
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
     """Stream the parquet files ``folder/name*.parquet``; zone-less timestamps become UTC timestamps."""
-    from pyspark.sql import types as T
     schema = spark.read.option("pathGlobFilter", f"{name}*.parquet").parquet(folder).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
     if per_trigger:
@@ -51,28 +53,66 @@ def drain_first_seen(events: DataFrame, key: Sequence[str], name: str, sink: str
                      checkpoint: str | None = None) -> str:
     """Run to the end of the available input and write one row for each key never seen before, however old or late.
 
-    What earlier batches wrote is the set of seen keys; a batch meets it by an anti join and overwrites its own folder, so
-    a trailing re-scan and a replayed batch add nothing. Null keys are keys like others.
+    What the sink holds is the set of seen keys, whichever checkpoint wrote it; a batch meets it by an anti join and
+    overwrites its own folder, so a trailing re-scan, a replayed batch and a fresh checkpoint over an old sink add nothing.
+    Null keys are keys like others.
     """
     spark = events.sparkSession
     out = sink or scratch(spark, name)
     state = checkpoint or scratch(spark, f"{name}-state")
+    run = f"r{hashlib.sha256(state.encode()).hexdigest()[:16]}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         new = batch.dropDuplicates(list(key))
-        if batch_id:
-            seen = batch.sparkSession.read.parquet(out).where(F.col("batch") < batch_id)
+        if exists(batch.sparkSession, out):
+            seen = batch.sparkSession.read.option("basePath", out).schema(_partitioned(batch)).parquet(out)
+            seen = seen.where((F.col("run") != run) | (F.col("batch") != batch_id))
             seen = seen.select(*[F.col(c).alias(f"__seen_{c}") for c in key]).distinct()
             met = F.lit(True)
             for c in key:
                 met = met & new[c].eqNullSafe(seen[f"__seen_{c}"])
             new = new.join(seen, met, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        new.write.mode("overwrite").parquet(f"{out}/run={run}/batch={batch_id}")
     (events.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", state)
      .trigger(availableNow=True).start()).awaitTermination()
     return out
 
 
+def _partitioned(batch: DataFrame) -> T.StructType:
+    return T.StructType([*batch.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+
+
+def event_lag(readings: DataFrame, events: DataFrame, keys: Sequence[str], reading_ts: str, event_ts: str, most: str,
+              reading_delay: str = "1 hour", event_delay: str = "1 hour", how: str = "inner") -> DataFrame:
+    """Readings of the same ``keys`` from an event on until ``most`` later, with ``lag_s`` in seconds.
+
+    Both sides may be streams. Each has a watermark of its own: a row that comes later than its side's delay is not
+    matched any more, and state is kept only as long as a partner may still come. Sides meet on the key and on slices of
+    ``most``, so that a busy key is spread over time. With ``how="left_outer"`` an event that no reading follows is returned
+    with nulls once that is certain, so that nothing measured is told from nothing known yet. Columns of the two sides
+    must differ but for ``keys``; rows with a null key or time meet nothing.
+    """
+    width, micros = F.expr(f"interval {most}"), _seconds(most) * 1_000_000
+    at = lambda c: F.floor(F.unix_micros(c) / micros)
+    r, e = readings.withWatermark(reading_ts, reading_delay), events.withWatermark(event_ts, event_delay)
+    if how == "inner":
+        r, e = r.withColumn("__slice", at(reading_ts)), e.withColumn("__slice", F.explode(F.array(at(event_ts), at(event_ts) + 1)))
+    else:  # an event is one row of the result if nothing follows it, so it can't be in two slices
+        r, e = r.withColumn("__slice", F.lit(0)), e.withColumn("__slice", F.lit(0))
+    shared = [*keys, "__slice"]
+    on = (F.col(reading_ts) >= F.col(event_ts)) & (F.col(reading_ts) <= F.col(event_ts) + width)
+    for c in shared:
+        r = r.withColumnRenamed(c, f"__r_{c}")
+        on = on & (F.col(c) == F.col(f"__r_{c}"))
+    lag = (F.unix_micros(reading_ts) - F.unix_micros(event_ts)) / 1_000_000
+    return e.join(r, on, how).drop("__slice", *[f"__r_{c}" for c in shared]).withColumn("lag_s", lag)
+
+
+def _seconds(interval: str) -> int:
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
 def tumbling(events: DataFrame, ts: str, keys: Sequence[str], width: str, aggs: Sequence, delay: str = "10 days",
              slide: str | None = None) -> DataFrame:
     """Aggregates per time window; ``slide`` makes the windows overlap."""
@@ -81,59 +121,34 @@ def tumbling(events: DataFrame, ts: str, keys: Sequence[str], width: str, aggs:
     return g.select(F.col("w.start").alias("start"), *[c for c in g.columns if c != "w"])
 
 
-def state_changes(events: DataFrame, key: str, ts: str, ident: str, on: str) -> DataFrame:
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(events: DataFrame, key: str, processor: StatefulProcessor, out: str) -> DataFrame:
+    """Apply a processor. Its kind of state needs the store on disk, which is set for the session."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return events.groupBy(key).transformWithStateInPandas(processor, out, "append", "none")
+
+
+def state_changes(events: DataFrame, key: str, ts: str, ident: str, on: str, piece: str = "1 hour") -> DataFrame:
     """START-UP and SHUTDOWN events of an unbounded feed: one on/off flag and the last time are kept per unit.
 
-    Rows of one batch are put in time order; a row older than the unit's last seen time is reported as LATE, never
-    silently used.
+    Rows of one batch are put in time order, by slices of ``piece``; a row older than the unit's last seen time is reported
+    as LATE, never silently used. ``ident`` is a whole number. Rows without a time or a flag are left out.
     """
-    out = f"{key} {dict(events.dtypes)[key]}, {ident} {dict(events.dtypes)[ident]}, event string"
-    kept = "on_now boolean, last_us bigint"
-
-    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values([ts, ident])
-        on_now, last = state.get if state.exists else (None, None)
-        rows = []
-        for t, i, flag in zip(pdf[ts].astype("int64"), pdf[ident], pdf[on]):
-            if last is not None and t < last:
-                rows.append((k[0], i, "LATE"))
-                continue
-            if on_now is not None and bool(flag) != on_now:
-                rows.append((k[0], i, "START-UP" if flag else "SHUTDOWN"))
-            on_now, last = bool(flag), int(t)
-        state.update((on_now, last))
-        yield pd.DataFrame(rows, columns=[key, ident, "event"])
-    return events.groupBy(key).applyInPandasWithState(step, out, kept, "append", "NoTimeout")
+    known = events.where(F.col(ts).isNotNull() & F.col(on).isNotNull() & F.col(ident).isNotNull()).select(
+        key, ts, F.col(ident).cast("long").alias(ident), F.col(on).cast("double").alias(on))
+    step = Changes(key, ts, ident, on, _seconds(piece) * 1_000_000)
+    return _stateful(known, key, step, f"{key} {dict(events.dtypes)[key]}, {ident} long, event string")
 
 
 def trigger_events(events: DataFrame, key: str, ts: str, ident: str, value: str, short: int, long: int, on: float,
-                   off: float) -> DataFrame:
-    """Trigger on/off marks of the short over long average. The state is the last ``long`` values and the on flag."""
-    types = dict(events.dtypes)
-    out = f"{key} {types[key]}, {ident} {types[ident]}, mark string"
-    kept = "recent array<double>, active boolean"
-
-    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values([ts, ident])
-        recent, active = (list(state.get[0]), bool(state.get[1])) if state.exists else ([], False)
-        rows = []
-        for i, v in zip(pdf[ident], pdf[value]):
-            recent = [*recent[-(long - 1):], float(v)]
-            if len(recent) < long:
-                continue
-            base = sum(recent) / long
-            ratio = (sum(recent[-short:]) / short) / base if base else 0.0
-            if not active and ratio >= on:
-                active = True
-                rows.append((k[0], i, "on"))
-            elif active and ratio < off:
-                active = False
-                rows.append((k[0], i, "off"))
-        state.update((recent, active))
-        yield pd.DataFrame(rows, columns=[key, ident, "mark"])
-    return events.groupBy(key).applyInPandasWithState(step, out, kept, "append", "NoTimeout")
-
-
-def alert_batches(stream: DataFrame, alert: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a monitor whose batches go to ``alert`` (idempotent by batch id). The caller owns the query."""
-    return (stream.writeStream.outputMode("append").foreachBatch(alert).option("checkpointLocation", checkpoint).start())
+                   off: float, piece: str = "1 hour") -> DataFrame:
+    """Trigger on/off marks of the short over long average. The state is the last ``long`` values and the on flag.
+
+    Rows of one batch are put in time order, by slices of ``piece``. Rows without a time or a value are left out.
+    """
+    known = events.where(F.col(ts).isNotNull() & F.col(value).isNotNull() & F.col(ident).isNotNull()).select(
+        key, ts, F.col(ident).cast("long").alias(ident), F.col(value).cast("double").alias(value))
+    step = Trigger(key, ts, ident, value, _seconds(piece) * 1_000_000, short, long, on, off)
+    return _stateful(known, key, step, f"{key} {dict(events.dtypes)[key]}, {ident} long, mark string")

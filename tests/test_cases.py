@@ -287,6 +287,22 @@ def test_case_tracking_with_many_and_short_keys(spark):
     assert {(x["i"], x["c"]) for x in got} == want and len(got) == len(want)
 
 
+def test_a_hundred_thousand_keys_in_one_scan_or_several(spark):
+    r = random.Random(12)
+    keys = sorted({f"{r.randrange(10**6):06d}-{r.choice('abcdé')}" for _ in range(130_000)})[:100_000] + ["0", "é"]
+    texts = [f"x {r.randrange(10**6):06d}-{r.choice('abcdé')} y {r.randrange(10**6):06d}-a" for _ in range(200)] + ["", None]
+    items = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    watch = spark.createDataFrame([(k,) for k in keys + keys[:50] + ["", None]], "w string")
+    known, want = set(keys), set()
+    for i, t in enumerate(texts):
+        parts = {t[a:a + n] for n in (1, 8) for a in range(len(t) - n + 1)} if t else set()
+        want |= {(i, k) for k in parts & known}
+    for chars in (documents.KEY_CHARS, 300_000):
+        got = [tuple(x) for x in documents.key_hits(items, "i", "t", watch, "w", chars).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert documents.key_hits(items, "i", "t", watch.where("false"), "w").collect() == []
+
+
 def test_case_tracking_both_ways(spark):
     items = spark.createDataFrame([(1, "Ordinance 2024-12-CUP for Delta Works"), (2, "delta workshop"), (3, "2024-1-CUP"), (4, "none")],
                                   "i int, t string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.plans import ordered
 from fieldbook.plans.quantiles import exact_quantiles
-from fieldbook.plans.skew import salted_join
+from fieldbook.plans.skew import block_counts, salted_join
 
 
 @pytest.fixture(params=[1_000_000, 7])
@@ -122,3 +122,31 @@ def test_salted_join(spark, how):
     r = spark.createDataFrame([(i % 4, i) for i in range(20)], "k int, b int")
     got = salted_join(l, r, ["k"], ["a"], how, rows_per_split=10).select("k", "a", "b")
     same(got, l.join(r, "k", how).select("k", "a", "b"))
+
+
+def test_salted_join_spreads_either_side_and_both(spark):
+    for nl, nr in ((400, 3), (3, 400), (120, 90), (1, 1)):
+        l = spark.createDataFrame([("hot", i, None) for i in range(nl)] + [("a", 1000, 1), ("b", 1001, 2), (None, 1002, 3)], "k string, a int, x int")
+        r = spark.createDataFrame([("hot", i, [i]) for i in range(nr)] + [("a", 5, [1]), ("a", 5, [1]), ("c", 6, None), (None, 7, None)],
+                                  "k string, b int, y array<int>")
+        got = salted_join(l, r, ["k"], ["a"], rows_per_split=50, pairs_per_split=900)
+        same(got.select("k", "a", "x", "b", "y"), l.join(r, "k").select("k", "a", "x", "b", "y"))
+        c = block_counts(l, r, ["k"], 50, 900).collect()
+        if nl * nr > 900:
+            (h,) = c
+            assert nl / h["__ls"] <= 50 and nr / h["__rs"] <= 50 and nl * nr / (h["__ls"] * h["__rs"]) <= 900
+            per = {}  # pairs that one task makes, as the join deals them
+            lb = l.where("k = 'hot'").select(F.pmod(F.xxhash64("a"), F.lit(h["__ls"])).alias("b")).groupBy("b").count().collect()
+            per = max(x["count"] for x in lb)
+            assert h["__ls"] == 1 or per < nl / 2
+        else:
+            assert c == []
+
+
+def test_a_hot_cell_of_right_points_is_spread(spark):
+    from fieldbook.operators.spatial import radius_join
+    l = spark.createDataFrame([(i, 30.0 + i / 1000, -90.0) for i in range(4)], "i int, lat double, lon double")
+    r = spark.createDataFrame([(j, 30.0 + (j % 50) / 10000, -90.0) for j in range(600)], "j int, rlat double, rlon double")
+    plain = radius_join(l, r, 0.5).select("i", "j")
+    same(radius_join(l, r, 0.5, rows_per_split=40).select("i", "j"), plain)
+    assert plain.count() > 1000

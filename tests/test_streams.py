@@ -70,3 +70,83 @@ def test_a_key_60_days_apart_is_announced_once(spark):
     got = spark.read.parquet(runs.drain_first_seen(s, ["k"], "seen")).select("k", "day").collect()
     assert {(r["k"], r["day"]) for r in got} == {("a", days[0][1]), ("c", days[0][1]), (None, days[1][1]), ("b", days[2][1])}
     assert len(got) == 4
+
+
+def _streamed(spark, rows, schema, name, batches):
+    """One file for each list of rows, read one a batch."""
+    import os
+    folder = tempfile.mkdtemp(prefix="fieldbook-stream-")
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, schema).toPandas().to_parquet(f"{folder}/{name}-{i}.parquet", coerce_timestamps="us")
+        os.utime(f"{folder}/{name}-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    assert len(rows) == batches
+    return runs.read_stream(spark, folder, f"{name}-", 1)
+
+
+def test_event_lag_over_five_batches_with_late_rows(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    events = [[("a", 1, at(0)), ("b", 2, at(30))], [("a", 3, at(200))], [("a", 4, at(400)), (None, 5, at(400))],
+              [("b", 6, at(10))], [("a", 7, at(1000))]]  # event 6 is later than the watermark
+    readings = [[("a", 10, at(0)), ("a", 11, at(90)), ("a", 12, at(91))], [("b", 13, at(31)), ("a", 14, at(210))],
+                [("a", 15, at(455)), (None, 16, at(401))], [("b", 17, at(20)), ("a", 18, at(430))], [("a", 19, at(1090)), ("b", 20, at(1001))]]
+    want = {(1, 10, 0.0), (1, 11, 5400.0), (2, 13, 60.0), (3, 14, 600.0), (4, 15, 3300.0), (4, 18, 1800.0), (7, 19, 5400.0)}
+    for how, more in (("inner", set()), ("left_outer", set())):
+        e = _streamed(spark, events, "site string, event_id long, ts timestamp", "e", 5)
+        r = _streamed(spark, readings, "site string, reading_id long, read_at timestamp", "r", 5)
+        j = runs.event_lag(r, e, ["site"], "read_at", "ts", "90 minutes", "30 minutes", "30 minutes", how)
+        got = [(x["event_id"], x["reading_id"], x["lag_s"]) for x in spark.read.parquet(runs.drain(j, "append", "lag")).collect()]
+        assert len(got) == len(set(got))
+        found = {g for g in got if g[1] is not None}
+        assert found == want | more
+    assert {g[0] for g in got if g[1] is None} <= {5, 6}
+
+
+def test_units_in_bounded_pieces_give_the_batch_answer(spark):
+    import datetime as dt
+    import random
+
+    from fieldbook.operators import series, temporal
+    rnd = random.Random(6)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0 if rnd.random() < 0.4 else rnd.randrange(1, 9), t0 + dt.timedelta(seconds=rnd.randrange(90_000)), i, rnd.random() < 0.5,
+             rnd.random() * (5 if i % 97 < 4 else 1)) for i in range(6000)]
+    rows.sort(key=lambda r: r[1])
+    parts = [rows[i * 1500:(i + 1) * 1500] for i in range(4)]
+    for p in parts:
+        rnd.shuffle(p)
+    parts[2].append((0, t0, 9001, True, 1.0))
+    schema = "unit long, ts timestamp, id long, on boolean, value double"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        s = runs.state_changes(_streamed(spark, parts, schema, "u", 4), "unit", "ts", "id", "on")
+        got = {(r["unit"], r["id"], r["event"]) for r in spark.read.parquet(runs.drain(s, "append", "u")).collect()}
+        parts[2].pop()
+        s = runs.trigger_events(_streamed(spark, parts, schema, "v", 4), "unit", "ts", "id", "value", 3, 12, 1.6, 0.9)
+        marks = [(r["unit"], r["id"], r["mark"]) for r in spark.read.parquet(runs.drain(s, "append", "v")).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, on = {(0, 9001, "LATE")}, {}
+    for u, _, i, flag, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        if u in on and on[u] != flag:
+            want.add((u, i, "START-UP" if flag else "SHUTDOWN"))
+        on[u] = flag
+    assert got == want
+    d = spark.createDataFrame(rows, schema)
+    r = series.trigger_ratio(d, ["unit"], ["ts", "id"], "value", 3, 12)
+    sessions = temporal.trigger_sessions(r, ["unit"], "pos", "ratio", 1.6, 0.9).collect()
+    assert sorted((u, m) for u, _, m in marks if m == "on") == sorted((x["unit"], "on") for x in sessions)
+    assert len(sessions) > 20
+
+
+def test_a_fresh_checkpoint_over_an_old_sink_announces_nothing_again(spark):
+    from fieldbook.sources.sinks import scratch
+    rows = [[("a", 1)], [("b", 2), ("a", 3)]]
+    sink = scratch(spark, "old")
+    for checkpoint in (scratch(spark, "c1"), scratch(spark, "c2")):
+        s = _streamed(spark, rows, "k string, n long", "k", 2)
+        runs.drain_first_seen(s, ["k"], "k", sink, checkpoint)
+        got = spark.read.parquet(sink).select("k", "n").collect()
+        assert sorted(tuple(r) for r in got) == [("a", 1), ("b", 2)]
