@@ -199,17 +199,19 @@ def j24(spark, d):
         "o_orderkey", "outcome", "motion", "stamp_conflict", "result")
 
 
-_SUPPLY = """sup AS (SELECT DISTINCT c_custkey % 37 AS seller, c_custkey AS buyer FROM customer WHERE c_custkey % 3 = 0),
+_SUPPLY = """sup AS (SELECT DISTINCT c_custkey // 12 * 4 AS seller, c_custkey AS buyer FROM customer WHERE c_custkey % 3 = 0),
+own AS (SELECT c_custkey AS id FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')),
 sy AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN NULL ELSE 100 + c_custkey % 900 END AS pop FROM customer),
-pr AS (SELECT seller, buyer, pop FROM sup LEFT JOIN sy ON id = buyer WHERE seller <> buyer AND seller < 30)"""
+pr AS (SELECT seller, buyer, pop FROM sup JOIN own ON own.id = seller LEFT JOIN sy ON sy.id = buyer WHERE seller <> buyer)"""
 
 
 def supply(spark, d):
     k = F.col("c_custkey")
     c = table(spark, d, "customer")
     sy = c.select(k.alias("id"), F.when(k % 10 == 1, None).otherwise(k % 900 + 100).alias("pop"))
-    sup = c.where(k % 3 == 0).select((k % 37).alias("seller"), k.alias("buyer"))
-    return joins.served_population(c.where("c_custkey < 30").select(k.alias("id")), sup, sy, "id", "seller", "buyer", "pop")
+    sup = c.where(k % 3 == 0).select((F.floor(k / 12) * 4).alias("seller"), k.alias("buyer"))
+    own = c.where("c_mktsegment IN ('MACHINERY', 'BUILDING')").select(k.alias("id"))
+    return joins.served_population(own, sup, sy, "id", "seller", "buyer", "pop")
 
 
 @query("j25_buyer_population", f"""
@@ -219,7 +221,7 @@ def j25(spark, d):
 
 
 @query("j25_each_system_once", f"""
-WITH {_SUPPLY}, i AS (SELECT id FROM sy WHERE id < 30 UNION SELECT buyer FROM pr)
+WITH {_SUPPLY}, i AS (SELECT id FROM own UNION SELECT buyer FROM pr)
 SELECT count(*) AS systems, sum(coalesce(pop, 0))::BIGINT AS population FROM i LEFT JOIN sy USING (id)""")
 def j25_b(spark, d):
     return supply(spark, d)[1]

@@ -147,13 +147,13 @@ def g6_b(spark, d):
 
 
 _PICKS = """pk AS (SELECT day(ts) AS shot, user_id % 4 AS station, 30.0::DOUBLE + (user_id % 4) * 0.4 AS lat, -91.0::DOUBLE + (user_id % 4 * 7 % 5) * 0.3 AS lon,
-  100.0::DOUBLE + (event_id * 37 % 400) AS t, 1.0::DOUBLE + event_id % 3 AS weight FROM events WHERE event_id % 25 = 0),
+  100.0::DOUBLE + (event_id * 37 % 400) AS t, 1.0::DOUBLE + event_id % 3 AS weight FROM events),
 ws AS (SELECT *, weight / sum(weight) OVER (PARTITION BY shot, station) AS w FROM pk)"""
 
 
 def picks(spark, d):
     u, k = F.col("user_id") % 4, F.col("event_id")
-    return table(spark, d, "events").where(k % 25 == 0).select(
+    return table(spark, d, "events").select(
         F.dayofmonth("ts").alias("shot"), u.alias("station"), (u * 0.4 + 30.0).alias("lat"), ((u * 7 % 5) * 0.3 - 91.0).alias("lon"),
         (k * 37 % 400 + 100.0).alias("t"), (k % 3 + 1.0).alias("weight"))
 

@@ -207,29 +207,17 @@ def w14(spark, d):
 
 
 @query("w15_scope_widening_shortlist", """
-WITH s AS (SELECT s_suppkey, s_nationkey, s_nationkey % 5 AS region, s_acctbal, s_acctbal > 0 AS ok FROM supplier),
+WITH s AS (SELECT s_suppkey, s_nationkey, s_nationkey % 5 AS region, CASE WHEN s_suppkey % 4 > 0 AND s_acctbal > 0 THEN s_acctbal END AS size FROM supplier),
 p AS (SELECT t.s_suppkey AS target, s.s_suppkey AS peer, CASE WHEN s.s_nationkey = t.s_nationkey THEN 0 WHEN s.region = t.region THEN 1
- ELSE 2 END AS sc, s.ok, abs(ln(s.s_acctbal / t.s_acctbal)) AS lr FROM s t JOIN s ON s.s_suppkey <> t.s_suppkey
- WHERE t.s_suppkey < 10 AND t.s_acctbal > 0 AND s.s_acctbal > 0),
+ ELSE 2 END AS sc, s.size IS NOT NULL AS ok, abs(ln(s.size / t.size)) AS lr FROM s t JOIN s ON s.s_suppkey <> t.s_suppkey WHERE t.size IS NOT NULL),
 c AS (SELECT target, CASE WHEN count(*) FILTER (ok AND sc = 0) >= 4 THEN 0 WHEN count(*) FILTER (ok AND sc <= 1) >= 4 THEN 1 ELSE 2 END
- AS pick FROM p GROUP BY 1), r AS (SELECT p.*, pick, row_number() OVER (PARTITION BY target ORDER BY lr, peer) AS place FROM p JOIN c
- USING (target) WHERE ok AND sc <= pick)
-SELECT target, peer, ['state', 'region', 'national'][pick + 1] AS chosen_scope, place FROM r WHERE place <= 6""")
+ AS pick FROM p GROUP BY 1), r AS (SELECT p.*, pick, row_number() OVER (PARTITION BY target ORDER BY NOT ok, lr, peer) AS place FROM p JOIN c
+ USING (target) WHERE sc <= pick)
+SELECT target, peer, ['state', 'region', 'national'][pick + 1] AS chosen_scope, place, ok AS size_known FROM r WHERE place <= 6""")
 def w15(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_nationkey") % 5).alias("region"),
-                                           "s_acctbal")
-    t = s.where("s_suppkey < 10 AND s_acctbal > 0").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey")
-                                                           .alias("tn"), F.col("region").alias("tr"),
-                                                           F.col("s_acctbal").alias("ts"))
-    # ten targets travel as one array on each supplier row
-    arr = t.agg(F.collect_list(F.struct("target", "tn", "tr", "ts")).alias("a")).select("a").scalar()
-    p = s.withColumn("t", F.explode(arr)).select("t.*", F.col("s_suppkey").alias("peer"), "s_nationkey", "region",
-                                                 "s_acctbal").where("peer <> target AND s_acctbal > 0")
-    p = p.withColumn("scope", F.when(F.col("s_nationkey") == F.col("tn"), "state").when(
-        F.col("region") == F.col("tr"), "region").otherwise("national"))
-    return ranking.scope_widening(p, ["target"], "scope", ["state", "region", "national"], F.col("s_acctbal") > 0,
-                                  [F.abs(F.log(F.col("s_acctbal") / F.col("ts"))), F.col("peer")], 4, 6).select(
-        "target", "peer", "chosen_scope", "place")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_nationkey") % 5).alias("region"), F.lit(1).alias("all"),
+                                           F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal")).alias("size"))
+    return ranking.nearest_in_scope(s, "s_suppkey", "size", {"state": "s_nationkey", "region": "region", "national": "all"}, 4, 6)
 
 
 @query("w16_at_most_k_per_day", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions import geo
 from fieldbook.functions.values import let
+from fieldbook.plans.skew import salted_join
 
 # The published arrival-time location failed its own validation; results say so.
 LOCATION_VALIDATED = False
@@ -134,45 +135,36 @@ def locate_arrivals(picks: DataFrame, keys: Sequence[str], center: tuple[float,
                     celerities: Sequence[float], sigma: float, eps: float, window_s: float, dt: float) -> DataFrame:
     """Posterior over a grid from arrival picks, summed over origin time and celerity.
 
-    ``picks`` has station, lat, lon, t (seconds from the reference time) and weight. Each event carries its stations as
-    an array (a network is tens of stations); events x cells x celerities are the rows, so they spread over the cluster.
-    A station's term is a mixture of its picks being the arrival and none of them being it. ``validated`` is false.
+    ``picks`` has station, lat, lon, t (seconds from the reference time) and weight. A station's term is a mixture of its
+    picks being the arrival and none of them being it. Picks of one moment are added first; then every (pick, cell,
+    celerity, origin time) is a row, its term is summed by station, the stations' logarithms by hypothesis, and the
+    hypotheses by cell as a log-sum-exp. Nothing is gathered: a station with a third of all picks is spread, and what is
+    summed is combined before it travels. ``validated`` is false.
     """
-    s = picks.withColumn("__w", F.col("weight") / F.sum("weight").over(Window.partitionBy(*keys, "station")))
-    st = s.groupBy(*keys, "station", "lat", "lon").agg(F.sort_array(F.collect_list(F.struct(F.col("t"), F.col("__w").alias("w"))))
-                                                       .alias("picks"))
-    ev = st.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("station", "lat", "lon", "picks"))).alias("sts"))
+    place = [*keys, "station"]
+    once = picks.groupBy(*place, "t").agg(F.sum("weight").alias("weight"))
+    total = picks.groupBy(*place).agg(F.sum("weight").alias("__total"))
     n = int(round(2 * box / step))
-    axis = lambda c: F.explode(F.array(*[F.lit(c - box + i * step) for i in range(n + 1)]))
-    g = ev.withColumn("glat", axis(center[0])).withColumn("glon", axis(center[1]))
-    g = g.withColumn("sts", F.transform("sts", lambda x: F.struct(geo.haversine(
-        x.lat, x.lon, "glat", "glon", geo.RADIUS_KM).alias("d"), x.picks.alias("picks"))))
-    far = F.array_max(F.transform("sts", lambda x: x.d))
-    reach = g.groupBy(*keys).agg(F.max(far).alias("__far"))
-    g = g.join(reach, list(keys)).withColumn("cel", F.explode(F.array(*[F.lit(float(c)) for c in celerities])))
+    axis = lambda c: F.explode(F.array(*[F.lit(c - box + i * step) for i in range(n + 1)]))
+    cells = picks.select(*place, "lat", "lon").distinct().withColumn("glat", axis(center[0])).withColumn("glon", axis(center[1]))
+    cells = cells.withColumn("__d", geo.haversine("lat", "lon", "glat", "glon", geo.RADIUS_KM))
+    reach = cells.groupBy(*keys).agg(F.max("__d").alias("__far"))
+    rays = (cells.join(reach, list(keys)).join(total, place)
+            .withColumn("cel", F.explode(F.array(*[F.lit(float(c)) for c in celerities]))).drop("lat", "lon"))
     t_lo = -F.col("__far") / min(celerities)
     steps = F.floor((F.lit(window_s) - t_lo + 1e-9) / dt).cast("int")
-    norm = sigma * math.sqrt(2 * math.pi)
-    floor = eps / window_s
-
-    def loglik(k):
-        def start(t0):
-            def station(x):
-                def pick(acc, p):
-                    r = (p.t - t0 - x.d / F.col("cel")) / sigma
-                    return acc + p.w * F.exp(F.lit(-0.5) * r * r) / norm
-                return F.log(F.aggregate(x.picks, F.lit(0.0), pick) * (1 - eps) + floor)
-            return F.aggregate("sts", F.lit(0.0), lambda acc, x: acc + station(x))
-        return let(t_lo + k * dt, start)
-    ll = F.transform(F.sequence(F.lit(0), steps), loglik)
-    g = g.withColumn("__ll", ll).withColumn("__m", F.array_max("__ll"))
-    g = g.withColumn("logm", F.col("__m") + F.log(F.aggregate("__ll", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("__m"))) * dt))
-    cell = g.groupBy(*keys, "glat", "glon").agg(F.max("logm").alias("__lm"), F.collect_list("logm").alias("__ls"))
-    cell = cell.withColumn("__lp", F.col("__lm") + F.log(F.aggregate("__ls", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("__lm")))))
-    w = Window.partitionBy(*keys)
-    cell = cell.withColumn("__e", F.exp(F.col("__lp") - F.max("__lp").over(w)))
-    return cell.select(*keys, "glat", "glon", (F.col("__e") / F.sum("__e").over(w)).alias("density"),
-                       F.lit(LOCATION_VALIDATED).alias("validated"))
+    rows = salted_join(once, rays, place, ["t"], rows_per_split=10_000, pairs_per_split=1_000_000)
+    rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), steps)))
+    miss = (F.col("t") - (t_lo + F.col("__k") * dt) - F.col("__d") / F.col("cel")) / sigma
+    term = F.col("weight") / F.col("__total") * F.exp(F.lit(-0.5) * miss * miss) / (sigma * math.sqrt(2 * math.pi))
+    cell = [*keys, "glat", "glon"]
+    mix = rows.groupBy(*cell, "cel", "__k", "station").agg(F.sum(term).alias("__mix"))
+    ll = mix.groupBy(*cell, "cel", "__k").agg(F.sum(F.log(F.col("__mix") * (1 - eps) + eps / window_s)).alias("__ll"))
+    top = F.max("__ll").over(Window.partitionBy(*cell))  # of a cell's hypotheses, as many as celerities and origin times
+    lp = ll.withColumn("__m", top).groupBy(*cell, "__m").agg(F.sum(F.exp(F.col("__ll") - F.col("__m"))).alias("__z"))
+    w = Window.partitionBy(*keys)  # over the grid's cells
+    lp = lp.withColumn("__lp", F.col("__m") + F.log("__z")).withColumn("__e", F.exp(F.col("__lp") - F.max("__lp").over(w)))
+    return lp.select(*cell, (F.col("__e") / F.sum("__e").over(w)).alias("density"), F.lit(LOCATION_VALIDATED).alias("validated"))
 
 
 def region_stats(posterior: DataFrame, keys: Sequence[str], step: float, mass: float = 0.9) -> DataFrame:

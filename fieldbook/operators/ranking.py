@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.plans.durable import durable
 from fieldbook.plans.ordered import position
 from fieldbook.plans.quantiles import exact_quantiles
+from fieldbook.plans.skew import salted_join
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -84,25 +86,44 @@ def odd_lengths(df: DataFrame, kind: str, value: str, at_least: int = 3) -> Data
     return d.join(maj, kind).where(F.col("digits") != F.col("majority"))
 
 
-def scope_widening(peers: DataFrame, target: Sequence[str], scope: str, scopes: Sequence[str], usable: Column,
-                   order: Sequence[Column], minimum: int, top: int) -> DataFrame:
-    """First scope with enough usable peers (scopes add up), then the ordered shortlist within it.
+def nearest_in_scope(df: DataFrame, key: str, size: str, scopes: Mapping[str, str], minimum: int, top: int) -> DataFrame:
+    """(target, peer, chosen_scope, place, size_known): of every row with a size its ``top`` peers nearest in size, from the
+    first scope that holds ``minimum`` others with a size (the last scope if none does).
 
-    ``scope`` holds each peer's narrowest scope. With too few everywhere the widest one is used.
+    ``scopes`` names columns from narrow to wide; a wider one includes the narrower. Nearness is the size ratio, ties go to
+    the smaller key. A size that is null or not positive is unknown: such rows are no targets, and fill a list that has
+    too few, flagged, by key. A null scope value is no scope.
+
+    Nothing is compared pairwise: within a scope value the distinct sizes are numbered in order, and a target meets the sizes
+    that stand up to ``top`` places from its own, each with its first ``top`` + 1 keys.
     """
-    rank = F.coalesce(*[F.when(F.col(scope) == s, i) for i, s in enumerate(scopes)])
-    d = peers.withColumns({"__s": rank, "__u": usable})
-    n = d.groupBy(*target).agg(*[F.count_if(F.col("__u") & (F.col("__s") <= i)).alias(f"__n{i}")
-                                 for i in range(len(scopes))])
-    pick = F.lit(len(scopes) - 1)
-    for i in reversed(range(len(scopes))):
-        pick = F.when(F.col(f"__n{i}") >= minimum, i).otherwise(pick)
-    chosen = n.select(*target, pick.alias("__pick"))
-    w = Window.partitionBy(*target).orderBy(*order)
-    s = d.join(chosen, list(target)).where(F.col("__u") & (F.col("__s") <= F.col("__pick")))
-    s = s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
-    names = F.element_at(F.array(*[F.lit(x) for x in scopes]), F.col("__pick") + 1)
-    return s.withColumn("chosen_scope", names).drop("__s", "__u", "__pick")
+    names = list(scopes)
+    at, last = ["__s", "__g"], len(names) - 1
+    base = df.select(F.col(key).alias("__id"), F.when(F.col(size) > 0, F.col(size).cast("double")).alias("__size"),
+                     F.posexplode(F.array(*[F.col(c).cast("string") for c in scopes.values()])).alias(*at)).where("__g is not null")
+    known, unknown = base.where("__size is not null"), base.where("__size is null")
+    counts = known.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+    enough = F.when(F.col("__n") > minimum, F.col("__s"))
+    pick = known.join(counts, at).groupBy("__id").agg(F.coalesce(F.min(enough), F.lit(last)).alias("__s"))
+    targets = durable(known.join(pick, ["__id", "__s"]))
+    first = F.row_number().over(Window.partitionBy(*at, "__size").orderBy("__id"))
+    sizes = known.withColumn("__r", first).where(F.col("__r") <= top + 1).groupBy(*at, "__size").agg(F.sort_array(F.collect_list("__id")).alias("__ids"))
+    placed = durable(position(sizes, at, ["__size"], out="__p"))
+    asked = durable(salted_join(targets, placed.select(*at, "__size", "__p"), [*at, "__size"], ["__id"]).select(
+        "__id", *at, F.col("__size").alias("__own"), F.explode(F.sequence(F.col("__p") - top, F.col("__p") + top)).alias("__p")))
+    met = salted_join(asked, placed, [*at, "__p"], ["__id"]).withColumn("peer", F.explode("__ids")).where(F.col("peer") != F.col("__id"))
+    off = F.abs(F.log(F.col("__size") / F.col("__own")))
+    place = F.row_number().over(Window.partitionBy("__id").orderBy(off, "peer"))
+    near = durable(met.withColumn("place", place).where(F.col("place") <= top).select(
+        "__id", "__s", "peer", "place", F.lit(True).alias("size_known")))
+    have = near.groupBy("__id").agg(F.count(F.lit(1)).alias("__have"))
+    short = targets.join(have, "__id", "left").select("__id", *at, F.coalesce("__have", F.lit(0)).alias("__have")).where(F.col("__have") < top)
+    spare = unknown.withColumn("__u", F.row_number().over(Window.partitionBy(*at).orderBy("__id"))).where(F.col("__u") <= top)
+    fill = salted_join(short, spare.select(*at, F.col("__id").alias("peer"), "__u"), at, ["__id"]).where(F.col("__u") <= top - F.col("__have"))
+    fill = fill.select("__id", "__s", "peer", (F.col("__have") + F.col("__u")).alias("place"), F.lit(False).alias("size_known"))
+    chosen = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("__s") + 1)
+    return near.unionByName(fill).select(F.col("__id").alias("target"), "peer", chosen.alias("chosen_scope"),
+                                         F.col("place").cast("long").alias("place"), "size_known")
 
 
 def at_most_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

@@ -90,15 +90,19 @@ def level_features(spectra: DataFrame, keep: Sequence[str], freqs: str, levels:
                     .alias("level_db"), F.element_at("__pr", F.col("w.bin")).alias("prominence_db"))
 
 
-def whole_hours(samples: DataFrame, keys: Sequence[str], pos: str, value: str, expected: int) -> DataFrame:
-    """Traces of hours with every sample present, as arrays in order. An hour with a gap is dropped, not padded.
+def whole_hours(samples: DataFrame, keys: Sequence[str], pos: str, value: str, expected: int, slack: int = 0) -> DataFrame:
+    """Traces of whole hours, as arrays in order. An hour with a gap inside is dropped, not padded.
 
+    Recorders start and end a few samples off the hour: up to ``slack`` samples (a second's worth) may be missing at the
+    edges, and as many too many are cut off at the end. A position that comes twice is a gap in the clock: such an hour is dropped.
     One channel-hour is rate times 3600 samples, which bounds the array.
     """
-    g = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(pos).alias("__d"), F.sort_array(
-        F.collect_list(F.struct(pos, value))).alias("__s"))
-    return g.where((F.col("__n") == expected) & (F.col("__d") == expected)).select(
-        *keys, F.transform("__s", lambda s: s[value].cast("double")).alias("trace"))
+    g = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.countDistinct(pos).alias("__d"), F.min(pos).alias("__lo"), F.max(pos).alias("__hi"),
+        F.sort_array(F.collect_list(F.struct(pos, value))).alias("__s"))
+    whole = (F.col("__n") == F.col("__d")) & (F.col("__hi") - F.col("__lo") + 1 == F.col("__d")) & F.col("__d").between(
+        expected - slack, expected + slack)
+    return g.where(whole).select(*keys, F.transform(F.slice("__s", 1, expected), lambda s: s[value].cast("double")).alias("trace"))
 
 
 def _segments(x: np.ndarray, seg: int, detrend: str) -> np.ndarray:

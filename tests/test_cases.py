@@ -353,3 +353,35 @@ def test_unified_diff_and_visible_text(spark):
     t = d.select("k", markup.visible_text("x").alias("old"), markup.visible_text("y").alias("new"))
     got = [r["line"] for r in joins.unified_diff(t, ["k"], "old", "new", 0).orderBy("pos").collect()]
     assert got == ["--- old", "+++ new", "@@ -2 +2 @@", "-b c", "+d"]
+
+
+def test_hours_with_ragged_edges_count_and_gaps_do_not(spark):
+    from fieldbook.operators import series
+    hours = {"whole": range(20), "late": range(2, 20), "early": range(18), "long": range(21), "gap": [*range(9), *range(10, 20)],
+             "short": range(17), "twice": [*range(20), 5]}
+    d = spark.createDataFrame([(h, i, float(i)) for h, r in hours.items() for i in r], "h string, i int, v double").repartition(4)
+    got = {r["h"]: r["trace"] for r in series.whole_hours(d, ["h"], "i", "v", 20, 2).collect()}
+    assert {h: len(t) for h, t in got.items()} == {"whole": 20, "late": 18, "early": 18, "long": 20}
+    assert got["late"][0] == 2.0 and got["long"][-1] == 19.0
+    assert [r["h"] for r in series.whole_hours(d, ["h"], "i", "v", 20).collect()] == ["whole"]
+
+
+def test_shortlists_with_equal_sizes_and_unknown_ones(spark):
+    from fieldbook.operators import ranking
+    r = random.Random(3)
+    rows = [(i, r.choice([5.0, 5.0, 5.0, 7.0, r.random() * 20, None, 0.0]), r.choice(["a", "a", "a", "b", "c", None]), "x") for i in range(90)]
+    d = spark.createDataFrame(rows, "id int, size double, near string, far string")
+    got = ranking.nearest_in_scope(d, "id", "size", {"near": "near", "far": "far"}, 3, 4)
+    have = {}
+    for x in got.collect():
+        have.setdefault(x["target"], {})[x["place"]] = (x["peer"], x["chosen_scope"], x["size_known"])
+    known = [x for x in rows if x[1]]
+    import math
+    for i, size, near, _ in known:
+        others = [x for x in known if x[0] != i]
+        scope = "near" if near and sum(x[2] == near for x in others) >= 3 else "far"
+        inside = lambda x: scope == "far" or x[2] == near
+        want = [(x[0], scope, True) for x in sorted((x for x in others if inside(x)), key=lambda x: (abs(math.log(x[1] / size)), x[0]))][:4]
+        want += [(x[0], scope, False) for x in rows if not x[1] and inside(x)][:4 - len(want)]
+        assert [have[i][k + 1] for k in range(len(want))] == want and len(have[i]) == len(want)
+    assert set(have) == {x[0] for x in known}
