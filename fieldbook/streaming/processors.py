@@ -5,6 +5,7 @@ Spark starts a processor on the driver too, in a process that may not find this
 
 from __future__ import annotations
 
+import itertools
 import sys
 
 import numpy as np
@@ -16,8 +17,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class InOrder(StatefulProcessor):
-    """Rows of one unit in time order, whatever their number: pieces of a batch are put away by time slice in the state
-    store, then the slices are taken one by one. No more than one slice of one unit is in memory.
+    """Rows of one unit in time order, whatever their number: when a batch holds several pieces of a unit, they are put away
+    by time slice in the state store, then the slices are taken one by one. No more than one piece or one slice of one unit is
+    in memory.
 
     ``step(key, ts, id, value)`` gets one slice's sorted arrays and returns output columns after the key.
     """
@@ -29,25 +31,38 @@ class InOrder(StatefulProcessor):
         self.slices = handle.getMapState("slices", "slice long, piece long", "ts array<long>, id array<long>, value array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
+        rows = iter(rows)
+        first, second = next(rows, None), next(rows, None)
+        if first is None:
+            return
+        if second is None:  # all of the unit's rows are one bounded piece already
+            yield from self._taken(key, [self._arrays(first)])
+            return
         held = set()
-        for piece, pdf in enumerate(rows):
-            ts = pdf[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+        for piece, pdf in enumerate(itertools.chain([first, second], rows)):
+            ts, ident, value = self._arrays(pdf)
             at = ts // self.slice_us
             for s in np.unique(at).tolist():
                 own = at == s
-                self.slices.updateValue((s, piece), (ts[own].tolist(), pdf[self.ident].to_numpy()[own].tolist(),
-                                                     pdf[self.value].to_numpy()[own].astype(float).tolist()))
+                self.slices.updateValue((s, piece), (ts[own].tolist(), ident[own].tolist(), value[own].tolist()))
                 held.add((s, piece))
-        for s in sorted({s for s, _ in held}):
+        for s, keys in itertools.groupby(sorted(held), key=lambda k: k[0]):
             parts = []
-            for k in sorted(k for k in held if k[0] == s):
+            for k in keys:
                 parts.append(self.slices.getValue(k))
                 self.slices.removeKey(k)
-            ts, ident, value = (np.concatenate([np.asarray(p[i]) for p in parts]) for i in range(3))
-            by = np.lexsort((ident, ts))
-            cols = self.step(ts[by], ident[by], value[by])
-            if len(cols[self.ident]):
-                yield pd.DataFrame({self.key: [key[0]] * len(cols[self.ident]), **cols})
+            yield from self._taken(key, parts)
+
+    def _arrays(self, pdf):
+        return (pdf[self.ts].astype("datetime64[us]").astype("int64").to_numpy(), pdf[self.ident].to_numpy(),
+                pdf[self.value].to_numpy().astype(float))
+
+    def _taken(self, key, parts):
+        ts, ident, value = (np.concatenate([np.asarray(p[i]) for p in parts]) for i in range(3))
+        by = np.lexsort((ident, ts))
+        cols = self.step(ts[by], ident[by], value[by])
+        if len(cols[self.ident]):
+            yield pd.DataFrame({self.key: [key[0]] * len(cols[self.ident]), **cols})
 
     def close(self) -> None:
         pass
