@@ -89,6 +89,24 @@ def j5(spark, d):
     return r.groupBy("bucket", "matched_by").agg(F.count(F.lit(1)).alias("rows"), F.sum("ref_no").alias("key_sum"))
 
 
+@query("j5_unconvertible_amounts", """
+WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 1 THEN 'drums' WHEN l_linenumber = 2 THEN 'tons' ELSE 'lb' END AS unit,
+ CASE WHEN l_linenumber = 5 THEN NULL ELSE l_quantity END AS amount FROM lineitem),
+m AS (SELECT q.*, CASE WHEN l_partkey % 4 > 0 THEN l_partkey END AS k, CASE unit WHEN 'tons' THEN amount * 2000 WHEN 'lb' THEN amount END AS lb FROM q)
+SELECT CASE WHEN k IS NULL THEN 'unmatched' WHEN lb IS NULL THEN 'unconvertible' WHEN k % 3 = 0 THEN 'nearby' ELSE 'not_nearby' END AS bucket,
+ count(*) AS rows, round(sum(CASE WHEN k IS NOT NULL THEN lb END), 2) AS lb FROM m GROUP BY 1""")
+def j5_b(spark, d):
+    ref = table(spark, d, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("ref_no"), "p_name")
+    near = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").cast("string").alias("p"))
+    n = F.col("l_linenumber")
+    q = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("cid"), F.lit("").alias("nm"), n, "l_orderkey", F.when(
+        n == 1, "drums").when(n == 2, "tons").otherwise("lb").alias("unit"), F.when(n != 5, F.col("l_quantity")).alias("amount"))
+    lb = F.when(F.col("unit") == "tons", F.col("amount") * 2000).when(F.col("unit") == "lb", F.col("amount"))
+    r = lookup.match_cascade(q.withColumn("lb", lb), ref, "cid", "nm", "ref_no", "p_name", [], F.lit(False), near, F.col("lb"))
+    known = F.when(F.col("bucket").isin("nearby", "not_nearby"), F.col("lb"))
+    return r.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(known), 2).alias("lb"))
+
+
 @query("j6_semi_join_of_wanted_ids", """
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_suppkey, l_quantity FROM lineitem WHERE l_linestatus = 'F' AND l_suppkey IN
  (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)""")

@@ -298,6 +298,36 @@ def a24(spark, d):
     return rollups.collapse_plants(f, "id", "reg", "last_year", ["c_name"])
 
 
+_PLANTS = """f AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE (c_custkey % 311)::VARCHAR END AS reg, 1995 + c_custkey % 8 AS last_year FROM customer),
+k AS (SELECT *, CASE WHEN id % 10 = 3 THEN id - 1 ELSE id END AS canon FROM f),
+p AS (SELECT k.*, CASE WHEN c.reg <> '' THEN 'r' || c.reg ELSE 'i' || canon END AS k FROM k LEFT JOIN f c ON c.id = canon),
+n AS (SELECT k, arg_max(id, (last_year, id)) AS plant FROM p GROUP BY k)"""
+
+
+def plants(spark, d):
+    k, c = F.col("c_custkey"), table(spark, d, "customer")
+    f = c.select(k.alias("id"), F.when(k % 5 == 0, "").otherwise((k % 311).cast("string")).alias("reg"), (k % 8 + 1995).alias("last_year"))
+    return f, c.where(k % 10 == 3).select(k.alias("alias"), (k - 1).alias("canon"))
+
+
+@query("a24_plant_years", f"""
+WITH {_PLANTS}, y AS (SELECT k, o_custkey, year(o_orderdate) AS y FROM p JOIN orders ON o_custkey = id)
+SELECT plant AS id, count(*) AS merged, max(last_year) AS last_year, (SELECT coalesce(string_agg(DISTINCT y::VARCHAR, ',' ORDER BY y::VARCHAR), '')
+ FROM y WHERE y.k = p.k) AS years FROM p JOIN n USING (k) GROUP BY p.k, plant""")
+def a24_years(spark, d):
+    f, al = plants(spark, d)
+    y = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("y")).distinct().groupBy("id").agg(
+        F.collect_list("y").alias("years"))
+    got = rollups.collapse_plants(f.join(y, "id", "left"), "id", "reg", "last_year", [], al, "years")
+    return got.withColumn("years", F.array_join("years", ","))
+
+
+@query("a24_plant_members", f"WITH {_PLANTS} SELECT plant, id AS member FROM p JOIN n USING (k) WHERE id <> plant")
+def a24_members(spark, d):
+    f, al = plants(spark, d)
+    return rollups.plant_members(f, "id", "reg", "last_year", al)
+
+
 @query("a24_collapse_with_aliases", """
 WITH f AS (SELECT c_custkey AS id, 1995 + c_custkey % 8 AS last_year, c_name,
  CASE WHEN c_custkey % 10 = 3 THEN c_custkey - 1 ELSE c_custkey END AS canon FROM customer)
@@ -448,6 +478,15 @@ def a34(spark, d):
                                                         "to_receptor_m")
 
 
+@query("a34_release_point_lists", """
+SELECT l_suppkey, l_linenumber::BIGINT AS l_linenumber, list_aggregate(list_sort(list_distinct(list(l_partkey % 30))), 'string_agg', ',') AS sources,
+ list_aggregate(list_sort(list_distinct(list(l_returnflag))), 'string_agg', ',') AS items FROM lineitem GROUP BY 1, 2""")
+def a34_lists(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_linenumber", (F.col("l_partkey") % 30).alias("src"), "l_returnflag")
+    g = rollups.release_points(with_coordinates(li, "l_suppkey"), ["l_suppkey", "l_linenumber"], "src", "l_returnflag", "lat", "lon", (31.0, -91.0))
+    return g.select("l_suppkey", "l_linenumber", F.array_join("sources_list", ",").alias("sources"), F.array_join("items_list", ",").alias("items"))
+
+
 @query("a35_weighted_indicator", """
 WITH c AS (SELECT c_mktsegment, c_custkey % 50 AS w, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer)
 SELECT c_mktsegment, round(sum(coalesce(v, 0) * w) / sum(w), 6) AS missing_as_zero, round(sum(v * w) / sum(w) FILTER

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import geo
+from fieldbook.plans.skew import salted_join
 
 
 def radius_rollup(facts: DataFrame, places: DataFrame, center: tuple[float, float], radius_mi: float, fact_key: str,
@@ -290,29 +291,46 @@ def status_grid(inventory: DataFrame, ident: str, item: str, year: str, value: s
     return j.withColumn("status", status).drop("first_year", "last_year")
 
 
+def _plant_key(facs: DataFrame, ident: str, registry: str, aliases: DataFrame | None) -> DataFrame:
+    """``facs`` with __k, the plant a record belongs to: its registry id or its alias's, else itself.
+
+    Only records with an alias go through the joins that find it, so the others' missing alias is no join key.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    named = lambda reg, own: F.coalesce(F.concat(F.lit("r:"), reg), F.concat(F.lit("i:"), own.cast("string")))
+    if aliases is None:
+        return facs.withColumn("__k", named(blank(registry), F.col(ident)))
+    a = aliases.select(F.col(aliases.columns[0]).alias(ident), F.col(aliases.columns[1]).alias("__canon"))
+    plain = facs.join(a, ident, "left_anti").withColumn("__k", named(blank(registry), F.col(ident)))
+    reg = facs.select(F.col(ident).alias("__canon"), F.col(registry).alias("__creg"))
+    other = facs.join(a, ident).join(reg, "__canon", "left").withColumn("__k", named(blank("__creg"), F.col("__canon")))
+    return plain.unionByName(other.drop("__canon", "__creg"))
+
+
 def collapse_plants(facs: DataFrame, ident: str, registry: str, last_year: str, carry: Sequence[str],
-                    aliases: DataFrame | None = None) -> DataFrame:
+                    aliases: DataFrame | None = None, years: str | None = None) -> DataFrame:
     """Records of one plant (alias or shared registry id) merged; the id with the newest report names it.
 
-    A blank registry id never merges. ``aliases`` is (id, canonical id).
+    A blank registry id never merges. ``aliases`` is (id, canonical id). With ``years``, an array of each record's report
+    years, the plant gets the sorted union of its records' years: a plant and year is one row before
+    they are listed, so the list is as long as the calendar whatever the plant.
     """
-    d = facs
-    if aliases is not None:
-        a = aliases.select(F.col(aliases.columns[0]).alias(ident), F.col(aliases.columns[1]).alias("__canon"))
-        d = d.join(a, ident, "left")
-        reg = facs.select(F.col(ident).alias("__canon"), F.col(registry).alias("__creg"))
-        d = d.join(reg, "__canon", "left")
-        r = F.coalesce(F.when(F.col("__canon").isNotNull(), F.nullif(F.col("__creg"), F.lit(""))).otherwise(
-            F.nullif(F.col(registry), F.lit(""))))
-        own = F.coalesce(F.col("__canon"), F.col(ident))
-    else:
-        r, own = F.nullif(F.col(registry), F.lit("")), F.col(ident)
-    d = d.withColumn("__k", F.when(r.isNotNull(), F.concat(F.lit("r:"), r)).otherwise(
-        F.concat(F.lit("i:"), own.cast("string"))))
-    return d.groupBy("__k").agg(
-        F.max_by(F.struct(ident, *carry), F.struct(last_year, ident)).alias("__b"), F.count(F.lit(1)).alias("merged"),
-        F.max(last_year).alias(last_year)).select(F.col(f"__b.{ident}").alias(ident), "merged", last_year,
-                                                  *[F.col(f"__b.{c}").alias(c) for c in carry])
+    d = _plant_key(facs, ident, registry, aliases)
+    best = F.max_by(F.struct(ident, *carry), F.struct(last_year, ident)).alias("__b")
+    out = d.groupBy("__k").agg(best, F.count(F.lit(1)).alias("merged"), F.max(last_year).alias(last_year))
+    if years:
+        held = d.select("__k", F.explode(years).alias("__y")).distinct().groupBy("__k").agg(F.sort_array(F.collect_list("__y")).alias(years))
+        out = out.join(held, "__k", "left").withColumn(years, F.coalesce(years, F.array().cast(dict(held.dtypes)[years])))
+    return out.select(F.col(f"__b.{ident}").alias(ident), "merged", last_year, *[F.col(f"__b.{c}").alias(c) for c in carry],
+                      *([years] if years else []))
+
+
+def plant_members(facs: DataFrame, ident: str, registry: str, last_year: str, aliases: DataFrame | None = None) -> DataFrame:
+    """(plant, member): every record that is known under another one's id after ``collapse_plants``, one row each."""
+    d = _plant_key(facs, ident, registry, aliases)
+    names = d.groupBy("__k").agg(F.max_by(ident, F.struct(last_year, ident)).alias("plant"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    met = salted_join(d.select("__k", F.col(ident).alias("member")), names.select("__k", "plant"), ["__k"], ["member"])
+    return met.where("member <> plant").select("plant", "member")
 
 
 def filer_groups(filings: DataFrame, filer: str, kind: str, filed: str, key: Column) -> DataFrame:
@@ -391,9 +409,18 @@ def hazard_profile(df: DataFrame, ident: str, losses: Sequence[str], ratings: Se
 
 def release_points(df: DataFrame, keys: Sequence[str], source: str, item: str, lat: str, lon: str,
                    receptor: tuple[float, float]) -> DataFrame:
-    """One row per stack: its sources and items counted once, distance and bearing to a receptor."""
-    g = df.groupBy(*keys).agg(F.countDistinct(source).alias("sources"), F.countDistinct(item).alias("items"),
-                              F.min(lat).alias(lat), F.min(lon).alias(lon))
+    """One row per stack: its sources and items counted and listed once, distance and bearing to a receptor.
+
+    A stack and source (or item) is one row before they are listed, so repeated reports add nothing to a list.
+    """
+    place = df.groupBy(*keys).agg(F.min(lat).alias(lat), F.min(lon).alias(lon))
+
+    def listed(c: str, name: str) -> DataFrame:
+        one = df.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("__v")).distinct()
+        return one.groupBy(*keys).agg(F.count(F.lit(1)).alias(name), F.sort_array(F.collect_list("__v")).alias(f"{name}_list"))
+
+    g = place.join(listed(source, "sources"), list(keys), "left").join(listed(item, "items"), list(keys), "left")
+    g = g.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sources", "items")})
     return g.withColumns({
         "to_receptor_m": F.bround(geo.haversine(lat, lon, receptor[0], receptor[1], 6371000.0), 0),
         "bearing": F.pmod(F.bround(geo.bearing(lat, lon, receptor[0], receptor[1]), 0), F.lit(360.0))})
