@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.catalog.registry import query
+from fieldbook.functions.register import label_by_rules, register_functions
+from fieldbook.operators import agendas, ranking
 from fieldbook.operators import documents as docs
-from fieldbook.operators import ranking
 from fieldbook.sources import markup, table, text_table
 
 _UN = "lb/hr|lbs/hr|lb/hour|tons/year|tons/yr|ton/yr|tpy|lb/mmbtu|lbs/mmbtu|mmbtu/hour|mmbtu/hr|%|feet|ft|deg f|degf|acfm|scfm|dscfm|gpm"
@@ -369,7 +370,7 @@ SELECT o_orderkey, n.i::BIGINT AS item_no, n.num AS number, n.title, n.sec AS se
  {'i': 4, 'num': '3', 'title': 'Adjourn', 'sec': 'PUBLIC HEARINGS'}, {'i': 5, 'num': '1', 'title': 'Minutes', 'sec': 'CONSENT AGENDA'}], recursive := true)) n(i, num, title, sec)""")
 def w18(spark, d):
     k = F.col("o_orderkey")
-    return docs.agenda_items(table(spark, d, "orders").select(k, _agenda_text(k).alias("b")), ["o_orderkey"], "b")
+    return agendas.agenda_items(table(spark, d, "orders").select(k, _agenda_text(k).alias("b")), ["o_orderkey"], "b")
 
 
 def _agenda_text(k):
@@ -377,11 +378,54 @@ def _agenda_text(k):
         "\n2. Permit of\nJ. Smith wrapped\nover\n   a) first part\n   b) second part\n3. Adjourn\nCONSENT AGENDA\n1. Minutes\n"))
 
 
+@query("w18_nested_agenda_pieces", """
+SELECT o_orderkey, n.i::BIGINT AS item_no, n.num AS number, n.title, n.sec AS section FROM orders, LATERAL (SELECT unnest([
+ {'i': 0, 'num': '4', 'title': 'Ordinances', 'sec': 'OLD BUSINESS'}, {'i': 1, 'num': '4.a', 'title': 'Lot ' || o_orderkey || ' AN ORDINANCE TO REZONE', 'sec': 'OLD BUSINESS'},
+ {'i': 2, 'num': '4.a.1', 'title': 'drainage of C. Roe', 'sec': 'OLD BUSINESS'}, {'i': 3, 'num': '4.a.2', 'title': 'access', 'sec': 'OLD BUSINESS'},
+ {'i': 4, 'num': '4.b', 'title': 'Lot two', 'sec': 'OLD BUSINESS'}, {'i': 5, 'num': '5', 'title': 'Budget', 'sec': 'OLD BUSINESS'},
+ {'i': 6, 'num': 'L' || (10 + o_orderkey % 90) || '-012', 'title': 'School board, not exceeding $5', 'sec': 'NEW BUSINESS'},
+ {'i': 7, 'num': 'L' || (10 + o_orderkey % 90) || '-012.a', 'title': 'fees', 'sec': 'NEW BUSINESS'}], recursive := true)) n(i, num, title, sec)""")
+def w18_b(spark, d):
+    """Three levels, an initial, capitals that hang below an item, docket numbers as starts."""
+    k = F.col("o_orderkey")
+    body = F.concat(F.lit("OLD BUSINESS\n4. Ordinances\n\ta) Lot "), k, F.lit(
+        "\n\t\t AN ORDINANCE TO REZONE\n\t    1. drainage of\n\t       C. Roe\n\t    2. access\n\tb) Lot two\n5. Budget\n\nNEW BUSINESS\nL"),
+        k % 90 + 10, F.lit("-012 - School board,\nnot exceeding $5\n   a. fees"))
+    return agendas.agenda_items(table(spark, d, "orders").select(k, body.alias("b")), ["o_orderkey"], "b")
+
+
+@query("w18_minutes_paragraphs", """
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, list_concat(['CALL TO ORDER'], string_split(text, chr(10)), ['',
+ 'II. REPORTS', 'Page 3', '', 'RESOLUTION 7', 'That the report on document ' || doc_id, 'be received and filed.']) AS ls FROM documents)),
+k AS (SELECT *, CASE WHEN NOT regexp_matches(line, '[a-z]') THEN trim(regexp_extract(line, '^\\s*(?:[IVX]{1,5}[.,]?\\s+)?([A-Z][A-Z0-9 .,&''/()-]{4,})\\s*$', 1)) ELSE '' END AS h FROM l),
+m AS (SELECT *, h <> '' AND length(h) <= 50 AND NOT regexp_matches(h, '^(RESOLUTION|ORDINANCE)\\b') AS head, regexp_matches(line, '^\\s*$') AS blank FROM k),
+g AS (SELECT *, sum((head OR blank)::INT) OVER w AS run, last_value(CASE WHEN head THEN h END IGNORE NULLS) OVER w AS section FROM m
+ WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT doc_id, run, any_value(section) AS section, trim(regexp_replace(string_agg(line, ' ' ORDER BY n), '\\s+', ' ', 'g')) AS paragraph FROM g WHERE NOT head AND NOT blank GROUP BY 1, 2)
+SELECT doc_id, 'p' || row_number() OVER (PARTITION BY doc_id ORDER BY run) AS para, paragraph, section FROM p WHERE length(paragraph) >= 40""")
+def w18_c(spark, d):
+    """Whole documents as the minutes of a meeting."""
+    body = F.concat(F.lit("CALL TO ORDER\n"), "text", F.lit(
+        "\n\nII. REPORTS\nPage 3\n\nRESOLUTION 7\nThat the report on document "), "doc_id", F.lit("\nbe received and filed."))
+    return agendas.minutes_paragraphs(text_table(spark, d, "documents", "doc_id").select("doc_id", body.alias("b")), ["doc_id"], "b")
+
+
+@query("u1_rules_from_a_table", """
+WITH r AS (SELECT n_nationkey AS o, '(?i)' || substr(n_name, 1, 3) AS p, r_name || ' ' || n_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT doc_id, coalesce(arg_min(label, o), 'none') AS topic FROM documents LEFT JOIN r ON regexp_matches(text, p) GROUP BY 1""")
+def u1_b(spark, d):
+    """Documents by the first rule of a table that occurs in them; the rules are rows that come from a join."""
+    rules = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("o"), F.concat(F.lit("(?i)"), F.substring("n_name", 1, 3)).alias("p"),
+        F.concat_ws(" ", "r_name", "n_name").alias("label"))
+    return label_by_rules(text_table(spark, d, "documents", "doc_id").select("doc_id", "text"), "text", rules, "o", "p", "label",
+                          "topic", "none").drop("text")
+
+
 @query("u1_segmenter_as_table_function", """
 SELECT o_orderkey, count(*) AS items, count(*) FILTER (n = 2) AS nested FROM orders, LATERAL (SELECT unnest([1, 1, 2, 2, 1, 1]) AS n) GROUP BY 1""")
 def u1(spark, d):
-    """The agenda segmenter called from SQL as a table function, with a rule table applied by first match."""
-    from fieldbook.functions.register import register_functions
+    """The agenda segmenter called from SQL as a table function."""
     register_functions(spark)
     k = F.col("o_orderkey")
     table(spark, d, "orders").select(k, _agenda_text(k).alias("body")).createOrReplaceTempView("fieldbook_agendas")

@@ -371,8 +371,8 @@ def f14(spark, d):
 @query("f15_speakable_text")
 def f15(spark, d):
     """Ordered substitutions, accent fallback and whitespace clean-up (rows only)."""
-    run = text.speakable([(r"\[(\d+)\]", "reference $1"), (r"\{([^}]*)\}", "$1")], {"§": "section ", "–": ", "})
-    return text_table(spark, d, "documents", "doc_id").select("doc_id", run("text").alias("spoken"))
+    spoken = text.speakable("text", [(r"\[(\d+)\]", "reference $1"), (r"\{([^}]*)\}", "$1")], {"§": "section ", "–": ", "})
+    return text_table(spark, d, "documents", "doc_id").select("doc_id", spoken.alias("spoken"))
 
 
 @query("f15_non_ascii_audit", """

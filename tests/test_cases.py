@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldbook.functions import dates, geo, keys, units, values
-from fieldbook.operators import documents, exposure, graph, joins, series, spatial, temporal
+from fieldbook.operators import agendas, documents, exposure, graph, joins, series, spatial, temporal
 
 AS_OF = "2026-10-11"
 
@@ -248,15 +248,13 @@ def test_reader_votes(spark):
 def test_vote_equals_the_unpruned_search():
     import difflib
     import re
-    from fieldbook.functions import text
-    import pandas as pd
     r = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "12", "345"]
     for _ in range(25):
         lines = [" ".join(r.choices(words, k=r.randint(1, 6))) for _ in range(6)]
         unit = [" ".join(r.choices(words, k=r.randint(1, 4))) for _ in range(8)]
         want, left = ["absent"] * len(lines), list(unit)
-        norm = lambda t: text._normal(pd.Series([t]))[0]
+        norm = lambda t: t
         for i in sorted(range(len(lines)), key=lambda k: -len(norm(lines[k]))):
             best, span = -1, None
             t = norm(lines[i])
@@ -313,12 +311,112 @@ def test_case_tracking_both_ways(spark):
     assert {(x["i"], x["c"], x["keys"]) for x in got} == {(1, 1, 2), (2, 1, 1), (3, 2, 1)}
 
 
-def test_agenda_numbering():
+def _numbered(spark, *bodies):
+    d = spark.createDataFrame(list(enumerate(bodies)), "k int, b string")
+    got = agendas.agenda_items(d, ["k"], "b").orderBy("k", "item_no").collect()
+    return [[(x["number"], x["title"], x["section"]) for x in got if x["k"] == k] for k in range(len(bodies))]
+
+
+def test_agenda_numbering(spark):
     body = "PUBLIC HEARINGS\n7. Zoning\n   a) Lot one\n      1. Drainage\n      2. Access\n   b) Lot two\n8. Budget of\nS. Teegarden\n"
-    assert documents._agenda_items(body) == [
+    hangs = "1. Title\n      AN ORDINANCE IN CAPITALS\nNEW BUSINESS\nL24-001 - Bonds\r\n  a. part\n  b. part\nM24-002A - Notes"
+    got = _numbered(spark, body, None, "", "no items here", hangs)
+    assert got[0] == [
         ("7", "Zoning", "PUBLIC HEARINGS"), ("7.a", "Lot one", "PUBLIC HEARINGS"), ("7.a.1", "Drainage", "PUBLIC HEARINGS"),
         ("7.a.2", "Access", "PUBLIC HEARINGS"), ("7.b", "Lot two", "PUBLIC HEARINGS"),
         ("8", "Budget of S. Teegarden", "PUBLIC HEARINGS")]
+    assert got[1:4] == [[], [], []]
+    assert got[4] == [("1", "Title AN ORDINANCE IN CAPITALS", ""), ("L24-001", "Bonds", "NEW BUSINESS"), ("L24-001.a", "part", "NEW BUSINESS"),
+                      ("L24-001.b", "part", "NEW BUSINESS"), ("M24-002A", "Notes", "NEW BUSINESS")]
+
+
+def test_generated_agendas_give_their_trees_back(spark):
+    r = random.Random(8)
+    bodies, trees = [], []
+    for k in range(40):
+        lines, want = [], []
+
+        def grow(path, depth, section):
+            for i in range(r.randint(1, 5) if depth < 4 else 0):
+                label = str(i + 1) if depth % 2 == 0 else chr(ord("a") + i)
+                title = " ".join(r.choices(["permit", "of", "lot", "road"], k=3))
+                lines.append("   " * depth + label + r.choice(". ) ".split()) + " " + title)
+                if r.random() < 0.3:
+                    lines.append("   " * depth + r.choice(["   more text", "J. Smith", "", "      IN CAPITAL LETTERS"]))
+                    title = " ".join(f"{title} {lines[-1]}".split())
+                want.append((".".join([*path, label]), title, section))
+                if r.random() < 0.5:
+                    grow([*path, label], depth + 1, section)
+        for section in r.sample(["OLD BUSINESS", "PUBLIC HEARINGS", "REPORTS"], 2):
+            lines.append(section)
+            grow([], 0, section)
+        bodies.append("\n".join(lines))
+        trees.append(want)
+    assert _numbered(spark, *bodies) == trees
+
+
+def test_a_very_long_agenda(spark):
+    body = "REPORTS\n" + "\n".join(f"{i % 90 + 1}. item {i}\n   wrapped" for i in range(5000))
+    got = _numbered(spark, body)[0]
+    assert len(got) == 5000 and got[4999][1] == "item 4999 wrapped"
+
+
+def test_minutes_paragraphs(spark):
+    long = "It was moved and seconded that the report be received."
+    body = f"CALL TO ORDER\n{long}\n\n  \nPage 2\n\nORDINANCE 12\n{long}\nREPORTS\n{long[:30]}\n  {long[31:]}\n"
+    d = spark.createDataFrame([(1, body), (2, None), (3, ""), (4, f"{long}\x01")], "k int, b string")
+    got = [tuple(x) for x in agendas.minutes_paragraphs(d, ["k"], "b").orderBy("k", "para").collect()]
+    assert got == [(1, "p1", long, "CALL TO ORDER"), (1, "p2", f"ORDINANCE 12 {long}", "CALL TO ORDER"), (1, "p3", long, "REPORTS"),
+                   (4, "p1", long, "")]
+
+
+def test_rule_rows_change_the_labels(spark):
+    from fieldbook.functions.register import label_by_rules
+    items = spark.createDataFrame([(1, "a permit to fill wetlands"), (2, "tax roll"), (3, None), (4, "")], "i int, t string")
+    first = spark.createDataFrame([(2, "permit", "permits"), (1, "wet", "water"), (3, None, "never"), (2, "perm", "tie")], "o int, p string, l string")
+    label = lambda rules: {x["i"]: x["topic"] for x in label_by_rules(items, "t", rules, "o", "p", "l", "topic", "other").collect()}
+    assert label(first) == {1: "water", 2: "other", 3: "other", 4: "other"}
+    assert label(first.where("o = 2")) == {1: "tie", 2: "other", 3: "other", 4: "other"}
+    assert label(first.where("false")) == dict.fromkeys((1, 2, 3, 4), "other")
+    with pytest.raises(ValueError):
+        label_by_rules(items, "t", spark.range(1001).selectExpr("id o", "'x' p", "'y' l"), "o", "p", "l", "topic")
+    with pytest.raises(ValueError):
+        label_by_rules(items, "t", first.drop("l"), "o", "p", "l", "topic")
+
+
+def test_reader_text_beside_the_vote(spark):
+    lines = spark.createDataFrame([(1, 1, "Total VOC 12.5 tpy"), (1, 2, "Permit 7777"), (1, 3, "missing line of text")], "p int, line_no int, line string")
+    units = spark.createDataFrame([(1, "x", 5, "<td>Total VOC"), (1, "x", 6, "12.5 TPY</td>"), (1, "x", 7, "Permit 7771")],
+                                  "p int, r string, unit_no int, unit string")
+    got = {x["line_no"]: (x["verdict"], x["place"], x["reading"]) for x in documents.reader_votes(lines, units, ["p"], "r").collect()}
+    assert got == {1: ("agree", 0, "<td>Total VOC 12.5 TPY</td>"), 2: ("dissent", 2, "Permit 7771"), 3: ("absent", None, None)}
+
+
+def test_unicode_texts_against_plain_code(spark):
+    from fieldbook.functions import text
+    t = ["Ünïcode  ﬁne | Straße\n---- \n<td>x</td>\u00a0y\u2003z", "", None, "a\n\n\n\n b ,c;; d\t.\n, e ŁØ\u0301 é\u3000", "  日本 § 5 [12]"]
+    d = spark.createDataFrame(list(enumerate(t)), "i int, t string")
+    got = d.select("i", text.normal_text("t").alias("n"), text.speakable("t", [(r"\[(\d+)\]", "reference $1")], {"§": "section"}).alias("s")).orderBy(
+        "i").collect()
+    assert [x["n"] for x in got] == ["ünïcode fine strasse x y z", "", None, "a b ,c;; d . , e łǿ é", "日本 § 5 [12]"]
+    assert [x["s"] for x in got] == ["Unicode fine | Straße\n----\n<td>x</td> y z", "", None, "a\n\nb,c; d.\ne ŁØ\u0301 e", "日本 section 5 reference 12"]
+
+
+def test_interior_points_lie_inside(spark):
+    import math
+    r = random.Random(6)
+    shapes = [[[[0, 0], [9, 0], [9, 9], [8, 9], [8, 1], [1, 1], [1, 9], [0, 9], [0, 0]]],
+              [[[0, 0], [8, 0], [8, 8], [0, 8], [0, 0]], [[1, 1], [7, 1], [7, 7], [1, 7], [1, 1]]]]
+    for _ in range(30):
+        n = r.randint(3, 12)
+        ring = [[math.cos(2 * math.pi * i / n) * r.uniform(0.05, 3), math.sin(2 * math.pi * i / n) * r.uniform(0.05, 3)] for i in range(n)]
+        shapes.append([[*ring, ring[0]]])
+    rows = [(i, [[[float(v) for v in p] for p in ring] for ring in s]) for i, s in enumerate(shapes)]
+    d = spark.createDataFrame(rows, "i int, rings array<array<array<double>>>").select("i", "rings", geo.interior_point(F.col("rings")).alias("p"))
+    got = d.select("i", geo.inside(F.col("p.x"), F.col("p.y"), F.col("rings")).alias("ok")).collect()
+    assert [x["i"] for x in got if not x["ok"]] == [] and len(got) == 32
+    flat = spark.createDataFrame([(1, [[[1.0, 2.0], [3.0, 2.0], [1.0, 2.0]]])], "i int, rings array<array<array<double>>>")
+    assert tuple(flat.select(geo.interior_point(F.col("rings")).alias("p")).first()["p"]) == (1.0, 2.0)
 
 
 def test_peaks_against_a_plain_loop(spark):
