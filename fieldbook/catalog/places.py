@@ -167,10 +167,9 @@ SELECT n_nationkey, round(2 * h * h - (h / 2) * (h / 2), 6) AS area,
   (abs(px - x) + abs(py - y) < h AND NOT (abs(px - x) < h / 4 AND abs(py - y) < h / 4)) AS interior_inside
 FROM (SELECT *, x - h * 0.5 AS px, y AS py FROM n)""")
 def f4(spark, d):
-    p = geo.interior_point(F.col("rings"))
-    return nation_shapes(spark, d).select(
+    return nation_shapes(spark, d).withColumn("p", geo.interior_point(F.col("rings"))).select(
         "n_nationkey", F.round(geo.area(F.col("rings")), 6).alias("area"),
-        geo.inside(p["x"], p["y"], F.col("rings")).alias("interior_inside"))
+        geo.inside("p.x", "p.y", F.col("rings")).alias("interior_inside"))
 
 
 def nation_shapes(spark, d, dx=0.0, dy=0.0):
