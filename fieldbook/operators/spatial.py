@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import geo
+from fieldbook.plans.durable import durable
 from fieldbook.plans.ordered import running
 from fieldbook.plans.skew import salted_join
 
@@ -192,6 +193,46 @@ def downstream(located: DataFrame, start: DataFrame, line_id: str, start_m: str)
             .withColumn("downstream_m", F.col("along_m") - F.col("__m0")).drop("__m0"))
 
 
+def route_metres(reaches: DataFrame, starts: DataFrame, reach: str, head: str, tail: str, length: str,
+                 most: float | None = None) -> DataFrame:
+    """(reach, head_m): the reaches that water from the starts runs through, with the least metres from a start to their head.
+
+    ``starts`` has node and m, metres already gone there: a start inside a reach is that reach's head with minus the metres
+    before it. Each round carries the nodes that came nearer over their outgoing reaches, until none does or ``most`` metres
+    are passed, so loops end; a reach should be a whole polyline between two forks, since there is a round for each reach of
+    the longest way. Reaches without nodes or length carry nothing.
+    """
+    known = durable(starts.where("node IS NOT NULL AND m IS NOT NULL").groupBy("node").agg(F.min("m").alias("m")))
+    edges = reaches.where(F.col(length) >= 0).select(F.col(head).alias("node"), F.col(tail).alias("__to"), F.col(length).alias("__len"))
+    front = known
+    while True:
+        step = edges.join(front, "node").select(F.col("__to").alias("node"), (F.col("m") + F.col("__len")).alias("m"))
+        if most is not None:
+            step = step.where(F.col("m") <= most)
+        near = step.where("node IS NOT NULL").groupBy("node").agg(F.min("m").alias("m"))
+        old = known.withColumnRenamed("m", "__old")
+        front = durable(near.join(old, "node", "left").where(F.col("__old").isNull() | (F.col("m") < F.col("__old"))).select("node", "m"))
+        if front.isEmpty():
+            break
+        known = durable(known.unionByName(front).groupBy("node").agg(F.min("m").alias("m")))
+    return reaches.join(known.select(F.col("node").alias(head), F.col("m").alias("head_m")), head).select(reach, "head_m")
+
+
+def along_routes(points: DataFrame, reaches: DataFrame, metres: DataFrame, point_id: str, x: str, y: str, reach: str, coords: str,
+                 route: str, buffer: float) -> DataFrame:
+    """(point, route, along_m, off_m): points within ``buffer`` of a route at or below the start, each on its first route only.
+
+    ``reaches`` have a route number, 1 for the main one; ``metres`` comes from ``route_metres``. A point whose nearest place on
+    a route lies above the start is not on that route, but may be on the next. Of places equally near the least reach counts.
+    """
+    own = line_segments(reaches.select(reach, coords), reach, coords)
+    s = own.join(metres, reach).join(reaches.select(reach, route), reach)
+    s = s.withColumns({"m_start": F.col("m_start") + F.col("head_m"), "seg": F.struct(reach, "seg")})
+    hits = locate_on_line(points, s, point_id, x, y, route, buffer).where("along_m >= 0")
+    return hits.groupBy(point_id).agg(F.min(F.struct(route, "along_m", "off_m")).alias("b")).select(
+        point_id, f"b.{route}", "b.along_m", "b.off_m")
+
+
 def neighbourhood_range(cells: DataFrame, keys: Sequence[str], x: str, y: str, value: str) -> DataFrame:
     """For each cell with a row: its value and the least and greatest of the nine around it; no row means 0."""
     shifts = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])

@@ -419,6 +419,26 @@ def test_interior_points_lie_inside(spark):
     assert tuple(flat.select(geo.interior_point(F.col("rings")).alias("p")).first()["p"]) == (1.0, 2.0)
 
 
+def test_a_second_route_where_the_first_does_not_pass(spark):
+    # main 1 -> 2 -> 3; a branch 2 -> 4 -> 5 that loops back to 2, a longer way 1 -> 4, a reach above the start, one beside it all
+    rows = [(10, 1, 2, 1, [[0.0, 0.0], [10.0, 0.0]]), (11, 2, 3, 1, [[10.0, 0.0], [20.0, 0.0]]), (12, 2, 4, 2, [[10.0, 0.0], [10.0, 5.0], [10.0, 10.0]]),
+            (13, 4, 5, 2, [[10.0, 10.0], [20.0, 10.0]]), (14, 5, 2, 2, [[20.0, 10.0], [10.0, 0.0]]), (15, 1, 4, 2, [[0.0, 0.0], [0.0, 30.0], [10.0, 10.0]]),
+            (16, 0, 1, 1, [[-10.0, 0.0], [0.0, 0.0]]), (17, 8, 9, 2, [[0.0, -50.0], [9.0, -50.0]]), (18, None, 9, 2, [[0.0, -60.0], [9.0, -60.0]])]
+    reaches = spark.createDataFrame(rows, "reach int, head int, tail int, route int, c array<array<double>>")
+    length = lambda c: sum(math.dist(a, b) for a, b in zip(c, c[1:]))
+    edges = reaches.join(spark.createDataFrame([(r[0], length(r[4])) for r in rows], "reach int, length double"), "reach")
+    starts = spark.createDataFrame([(1, -4.0), (1, -2.0), (None, 0.0)], "node int, m double")
+    m = spatial.route_metres(edges, starts, "reach", "head", "tail", "length")
+    assert {x["reach"]: x["head_m"] for x in m.collect()} == {10: -4.0, 15: -4.0, 11: 6.0, 12: 6.0, 13: 16.0, 14: 26.0}
+    assert {x["reach"] for x in spatial.route_metres(edges, starts, "reach", "head", "tail", "length", 10.0).collect()} == {10, 15, 11, 12}
+    points = spark.createDataFrame([(1, 15.0, 0.5), (2, 15.0, 10.5), (3, 2.0, 0.0), (4, 4.0, -50.0), (5, 15.0, 30.0), (6, 10.0, 0.0), (7, None, 1.0)],
+                                   "p int, x double, y double")
+    got = spatial.along_routes(points, reaches, m, "p", "x", "y", "reach", "c", "route", 1.0).collect()
+    assert {x["p"]: (x["route"], x["along_m"], x["off_m"]) for x in got} == {1: (1, 11.0, 0.5), 2: (2, 21.0, 0.5), 6: (1, 6.0, 0.0)}
+    none = spatial.route_metres(edges, starts.where("node IS NULL"), "reach", "head", "tail", "length")
+    assert none.collect() == []
+
+
 def test_peaks_against_a_plain_loop(spark):
     import numpy as np
     rng = np.random.default_rng(3)
