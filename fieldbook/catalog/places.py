@@ -356,11 +356,12 @@ def j15(spark, d):
 
 @query("j15_second_route", f"""
 WITH RECURSIVE {_PTS}, v AS (SELECT n_nationkey::BIGINT AS i, n_nationkey * 10.0::DOUBLE AS x, (n_nationkey * 7 % 11) * 3.0::DOUBLE AS y FROM nation),
-g AS (SELECT a.i AS reach, a.i AS head, b.i AS tail, 1 AS route, 1 AS seg, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.i = a.i + 1
+g AS (SELECT (a.i - 2) // 4 * 4 + 2 AS reach, (a.i - 2) // 4 * 4 + 2 AS head, (a.i - 2) // 4 * 4 + 6 AS tail, 1 AS route, (a.i - 2) % 4 + 1 AS seg, a.x AS x1, a.y AS y1,
+  b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.i = a.i + 1 WHERE a.i >= 2
  UNION ALL SELECT 100 + i, i, 100 + i, 2, 1, x, y, x + 4, y + 30 FROM v WHERE i % 4 = 2 UNION ALL SELECT 100 + i, i, 100 + i, 2, 2, x + 4, y + 30, x + 9, y + 60 FROM v WHERE i % 4 = 2
  UNION ALL SELECT 200 + i, 100 + i, 200 + i, 2, 1, x + 9, y + 60, x + 2, y + 100 FROM v WHERE i % 4 = 2),
 s AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM g), e AS (SELECT reach, head, tail, sum(len) AS len FROM s GROUP BY 1, 2, 3),
-w(node, m) AS (SELECT 5::BIGINT, 0.0::DOUBLE UNION ALL SELECT tail, m + len FROM w JOIN e ON head = node),
+w(node, m) AS (SELECT 6::BIGINT, 0.0::DOUBLE UNION ALL SELECT tail, m + len FROM w JOIN e ON head = node),
 c AS (SELECT s.*, m + sum(len) OVER (PARTITION BY reach ORDER BY seg) - len AS m0 FROM s JOIN w ON node = head),
 t AS (SELECT c_custkey, route, reach, seg, m0, len, x1, y1, x2, y2, px, py, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) /
  (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM pts, c),
@@ -369,22 +370,25 @@ b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, route ORDER BY off, r
 f AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY route) AS first FROM b WHERE rn = 1 AND along >= 0)
 SELECT c_custkey, route::BIGINT AS route, round(along, 6) AS along_m, round(off, 6) AS off_m FROM f WHERE first = 1""")
 def j15_b(spark, d):
-    """Customers downstream of the sixth vertex by the main line, else by a branch that leaves it."""
+    """Customers downstream of the second fork by the main line, else by a branch that leaves it.
+
+    A reach of the main line runs from fork to fork, five vertices at most.
+    """
     k = F.col("n_nationkey")
-    n = table(spark, d, "nation").select(k.cast("long").alias("i"), (k * 10.0).alias("x"), (k * 7 % 11 * 3.0).alias("y"))
-    after = n.select((F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    n = table(spark, d, "nation").where(k >= 2).select(k.cast("long").alias("i"), (k * 10.0).alias("x"), (k * 7 % 11 * 3.0).alias("y"))
+    own = F.floor((F.col("i") - 2) / 4) * 4 + 2
+    main = n.select("i", F.array("x", "y").alias("p"), F.explode(F.when(F.col("i") == own, F.array(own, own - 4)).otherwise(
+        F.array(own))).alias("reach")).groupBy("reach").agg(F.sort_array(F.collect_list(F.struct("i", "p"))).alias("vs")).where("reach >= 2").select(
+        "reach", F.col("reach").alias("head"), (F.col("reach") + 4).alias("tail"), F.lit(1).alias("route"), F.transform("vs", lambda v: v.p).alias("coords"))
     at = lambda dx, dy: F.array(F.col("x") + float(dx), F.col("y") + float(dy))
-    reach = lambda df, first, second, route, *path: df.select(
-        (F.col("i") + first).alias("reach"), (F.col("i") + second).alias("head"),
-        F.when(F.lit(route) == 1, F.col("i") + 1).otherwise(F.col("i") + first).alias("tail"), F.lit(route).alias("route"), F.array(*path).alias("coords"))
-    forks = n.where("i % 4 = 2")
-    reaches = (reach(n.join(after, "i"), 0, 0, 1, at(0, 0), F.array("x2", "y2"))
-               .unionByName(reach(forks, 100, 0, 2, at(0, 0), at(4, 30), at(9, 60)))
-               .unionByName(reach(forks, 200, 100, 2, at(9, 60), at(2, 100))))
+    branch = lambda reach, head, *path: n.where("i % 4 = 2").select(
+        (F.col("i") + reach).alias("reach"), (F.col("i") + head).alias("head"), (F.col("i") + reach).alias("tail"), F.lit(2).alias("route"),
+        F.array(*path).alias("coords"))
+    reaches = main.unionByName(branch(100, 0, at(0, 0), at(4, 30), at(9, 60))).unionByName(branch(200, 100, at(9, 60), at(2, 100)))
     steps = F.transform(F.sequence(F.lit(1), F.size("coords") - 1), lambda j: F.hypot(
         F.element_at("coords", j + 1)[0] - F.element_at("coords", j)[0], F.element_at("coords", j + 1)[1] - F.element_at("coords", j)[1]))
     edges = reaches.withColumn("length", F.aggregate(steps, F.lit(0.0), lambda a, b: a + b))
-    m = spatial.route_metres(edges, spark.range(5, 6).select(F.col("id").alias("node"), F.lit(0.0).alias("m")), "reach", "head", "tail", "length")
+    m = spatial.route_metres(edges, spark.range(6, 7).select(F.col("id").alias("node"), F.lit(0.0).alias("m")), "reach", "head", "tail", "length")
     return spatial.along_routes(planar_customers(spark, d), reaches, m, "c_custkey", "px", "py", "reach", "coords", "route", 6.0).select(
         "c_custkey", F.col("route").cast("long").alias("route"), F.round("along_m", 6).alias("along_m"), F.round("off_m", 6).alias("off_m"))
 

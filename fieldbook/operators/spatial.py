@@ -202,19 +202,16 @@ def route_metres(reaches: DataFrame, starts: DataFrame, reach: str, head: str, t
     are passed, so loops end; a reach should be a whole polyline between two forks, since there is a round for each reach of
     the longest way. Reaches without nodes or length carry nothing.
     """
-    known = durable(starts.where("node IS NOT NULL AND m IS NOT NULL").groupBy("node").agg(F.min("m").alias("m")))
     edges = reaches.where(F.col(length) >= 0).select(F.col(head).alias("node"), F.col(tail).alias("__to"), F.col(length).alias("__len"))
-    front = known
-    while True:
-        step = edges.join(front, "node").select(F.col("__to").alias("node"), (F.col("m") + F.col("__len")).alias("m"))
-        if most is not None:
-            step = step.where(F.col("m") <= most)
-        near = step.where("node IS NOT NULL").groupBy("node").agg(F.min("m").alias("m"))
-        old = known.withColumnRenamed("m", "__old")
-        front = durable(near.join(old, "node", "left").where(F.col("__old").isNull() | (F.col("m") < F.col("__old"))).select("node", "m"))
-        if front.isEmpty():
-            break
-        known = durable(known.unionByName(front).groupBy("node").agg(F.min("m").alias("m")))
+    known = starts.where("node IS NOT NULL AND m IS NOT NULL").groupBy("node").agg(F.min("m").alias("m"))
+    known = durable(known.withColumn("nearer", F.lit(True)))
+    while not known.where("nearer").isEmpty():
+        step = edges.join(known.where("nearer"), "node").select(F.col("__to").alias("node"), (F.col("m") + F.col("__len")).alias("__m"))
+        step = step.where("node IS NOT NULL" if most is None else (F.col("node").isNotNull() & (F.col("__m") <= most)))
+        met = known.select("node", "m", F.lit(None).cast("double").alias("__m")).unionByName(
+            step.select("node", F.lit(None).cast("double").alias("m"), "__m")).groupBy("node").agg(F.min("m").alias("m"), F.min("__m").alias("__m"))
+        known = durable(met.select("node", F.least("m", "__m").alias("m"), F.coalesce(
+            F.col("__m") < F.col("m"), F.col("m").isNull()).alias("nearer")))
     return reaches.join(known.select(F.col("node").alias(head), F.col("m").alias("head_m")), head).select(reach, "head_m")
 
 
