@@ -3,7 +3,8 @@
 DataFrame functions only. Spark gives the matches of a pattern but not their places; the pieces that ``split`` leaves
 between the same matches give them, since both walk the text alike. Every pattern is written so that no failed attempt is
 repeated inside a run of characters: possessive repeats, and a start only where a run begins or the match before ended.
-Time is thus linear, whatever the text.
+Places are summed within blocks of matches and then over the blocks, and context is read from pieces of the text, so time
+grows with the text and not with its square.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # words of capitals and digits that may belong to the number; ``_account`` finds where it ends
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{0,30}+(?![A-Za-z0-9])"
+             r"(?:(?! [A-Z]{2}[0-9]{2}[A-Z0-9]{11}) [A-Z0-9]{1,30}+(?![A-Za-z0-9])){0,10}+"),
 }
 # A character that every match of the kind holds, and that many texts don't.
 _MARK = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None}
@@ -33,20 +36,40 @@ WORDS = {
     "iban": r"(?i)\b(?:iban|account|bank|bic|swift|transfer)\b",
 }
 CONTEXT = 40  # code points on either side
+PIECE = 512  # code points of a piece of the text, from which context is read
+BLOCK = 128  # matches whose places are summed together
 ACCEPT = 0.7
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, also where the body uses it inside a loop."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _places(text: Column, pattern: str) -> Column:
     """Array of (start, value) of the pattern's matches, in code points."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.arrays_zip(pieces.alias("p"), found.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    walk = F.aggregate(steps, start, lambda a, x: F.struct(
-        (a["at"] + F.length(x["p"]) + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"),
-        F.when(x["v"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
-            (a["at"] + F.length(x["p"])).alias("start"), x["v"].alias("value"))))).alias("out")))
-    return walk["out"]
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.split(text, pattern, -1), found, lambda p, v: F.struct(F.length(p).alias("p"), v.alias("v")))
+    none = F.array().cast("array<struct<start:int,value:string>>")
+
+    def block(s, b):
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(F.slice(s, b * BLOCK + 1, BLOCK), start, lambda a, x: F.struct(
+            (a["at"] + x["p"] + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"),
+            F.when(x["v"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
+                (a["at"] + x["p"]).alias("start"), x["v"].alias("value"))))).alias("out")))
+
+    def places(s):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda b: block(s, b))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<base:int,out:array<struct<start:int,value:string>>>>").alias("out"))
+        summed = F.aggregate(blocks, start, lambda a, x: F.struct(
+            (a["at"] + x["at"]).alias("at"),
+            F.concat(a["out"], F.array(F.struct(a["at"].alias("base"), x["out"].alias("out")))).alias("out")))
+        return F.flatten(F.transform(summed["out"], lambda c: F.transform(c["out"], lambda m: F.struct(
+            (c["base"] + m["start"]).alias("start"), m["value"].alias("value")))))
+
+    return _let(steps, places)
 
 
 def digits(value: Column) -> Column:
@@ -77,6 +100,14 @@ def mod_97(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
+def _account(value: Column) -> Column:
+    """The longest run of words from the start that is an account number by length and check digits, or null."""
+    words = F.split(value, " ")
+    ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    size = lambda v: F.length(F.replace(v, F.lit(" "), F.lit("")))
+    return F.get(F.filter(ends, lambda v: F.when(size(v).between(15, 34), mod_97(v)).otherwise(False)), F.lit(0))
+
+
 def _kinds(kind: str, value: Column) -> Column:
     """What a match of a pattern is after its validator: kind, and whether a checksum stands behind it; null fails."""
     n = F.length(digits(value))
@@ -91,13 +122,15 @@ def _kinds(kind: str, value: Column) -> Column:
         return F.when(good & (n >= 16), F.lit("card")).when(good, F.lit("card_short"))
     if kind == "phone":
         return F.when(n.between(8, 15), F.lit("phone"))
-    return F.when(mod_97(value), F.lit("iban"))
+    return F.when(value.isNotNull(), F.lit("iban"))
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def _judged(kind: str, places: Column) -> Column:
+    if kind == "iban":
+        places = F.transform(places, lambda m: F.struct(m["start"].alias("start"), _account(m["value"]).alias("value")))
     judged = F.transform(places, lambda m: F.struct(
         _kinds(kind, m["value"]).alias("kind"), m["start"].alias("start"),
         (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))
@@ -120,18 +153,23 @@ def spans(text: Column) -> Column:
         places = F.when(here, _places(text, pattern))
         found.append(F.coalesce(_judged(kind, places), F.array().cast(_SPAN)))
 
-    def near(m):
+    def near(m, pieces):
+        def part(at, size):
+            two = F.concat(F.get(pieces, F.floor(at / PIECE).cast("int")), F.coalesce(F.get(pieces, F.floor(at / PIECE).cast("int") + 1), F.lit("")))
+            return F.coalesce(F.substring(two, at % PIECE + 1, size), F.lit(""))
+
         lo = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        around = F.concat(F.substring(text, lo + 1, m["start"] - lo), F.lit("\n"), F.substring(text, m["end"] + 1, F.lit(CONTEXT)))
+        around = F.concat(part(lo, m["start"] - lo), F.lit("\n"), part(m["end"], F.lit(CONTEXT)))
         hit = F.lit(False)
         for k, words in WORDS.items():
             hit = F.when(m["kind"] == k, around.rlike(words)).otherwise(hit)
         return hit
 
     checked = lambda m: F.when(m["kind"].isin("card", "iban"), 0.2).when(m["kind"] == "card_short", 0.1).otherwise(0.0)
-    scored = F.transform(F.concat(*found), lambda m: F.struct(
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    scored = _let(F.concat(*found), lambda all_: _let(F.when(F.size(all_) > 0, cut), lambda pieces: F.transform(all_, lambda m: F.struct(
         *[m[c].alias(c) for c in ("kind", "start", "end", "value")],
-        F.round(F.lit(0.5) + checked(m) + F.when(near(m), 0.3).otherwise(0.0), 2).alias("score")))
+        F.round(F.lit(0.5) + checked(m) + F.when(near(m, pieces), 0.3).otherwise(0.0), 2).alias("score")))))
     kept = F.filter(scored, lambda m: m["kind"].isin(*BASE) | (m["score"] >= ACCEPT))
     place = F.array(*[F.lit(k) for k in ORDER])
     ordered = F.sort_array(F.transform(kept, lambda m: F.struct(F.array_position(place, m["kind"]).alias("o"), m["start"].alias("s"),
