@@ -26,18 +26,24 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one of least id; one row of each id."""
+    """One document of each component of near duplicates, the one of least id. Rows that repeat an id are documents of
+    their own if their texts differ: they go by a hash of id and text, and of equal ones a single row stays."""
     prepare(spark)
     ws = Workspace(spark, "pipeline")
-    found = ws.keep(jaccard.link_components(docs))
-    named = found.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("n"))
-    out = ws.keep(named.where(F.col("id") != F.col("c")).select(F.col("id").alias("__id")))
-    again = ws.keep(named.where((F.col("id") == F.col("c")) & (F.col("n") > 1)).select(F.col("id").alias("__id")))
-    left = docs.join(small(out), F.col("doc_id") == F.col("__id"), "left_anti")
-    if not again.limit(1).count():
-        return left
-    repeated = left.join(small(again), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(small(again), F.col("doc_id") == F.col("__id"), "left_anti").unionByName(repeated)
+    again = ws.keep(docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n"))
+                    .where(F.col("__id").isNotNull() & (F.col("n") > 1)).select("__id"))
+    repeats = again.limit(1).count() > 0
+    rows = docs.withColumn("__row", F.col("doc_id").cast("long"))
+    if repeats:
+        flag = small(again.withColumn("__again", F.lit(True)))
+        rows = docs.join(flag, F.col("doc_id") == F.col("__id"), "left").withColumn(
+            "__row", F.when(F.col("__again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")))
+    found = ws.keep(jaccard.link_components(rows, id_col="__row"))
+    out = ws.keep(found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__out")).distinct())
+    left = rows.join(small(out), F.col("__row") == F.col("__out"), "left_anti")
+    if not repeats:
+        return left.select(*docs.columns)
+    return left.where(F.col("__again").isNull()).unionByName(left.where("__again").dropDuplicates(["__row"])).select(*docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
