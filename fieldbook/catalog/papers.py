@@ -233,6 +233,19 @@ def t13_b(spark, d):
     return docs.with_neighbours(f, ["doc"], "page", "strong").select("page")
 
 
+@query("t13_page_selection", f"""WITH {_BOX}, q AS (SELECT page // 30 AS doc, page, tabular FROM pf),
+s AS (SELECT doc, page FROM q WHERE EXISTS (SELECT 1 FROM q o WHERE o.doc = q.doc AND o.tabular AND o.page BETWEEN q.page - 1 AND q.page + 1)),
+r AS (SELECT *, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS r FROM s),
+i AS (SELECT doc, min(page) AS a, max(page) AS b, count(*) AS n FROM r GROUP BY doc, r),
+x AS (SELECT doc, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS spec, sum(n)::BIGINT AS n FROM i GROUP BY 1),
+t AS (SELECT doc, count(*) AS pages, count(*) FILTER (tabular) AS flagged FROM q GROUP BY 1)
+SELECT t.doc, pages, flagged, coalesce(n, 0) AS selected, coalesce(spec, '') AS spec, CASE WHEN n IS NULL THEN 'none' WHEN n >= pages * 0.5 THEN
+ 'whole' ELSE 'pages' END AS advice FROM t LEFT JOIN x ON x.doc = t.doc""")
+def t13_c(spark, d):
+    f = docs.page_features(boxes(spark, d), ["page"], 1000.0).withColumn("doc", F.floor(F.col("page") / 30))
+    return docs.page_selection(f, ["doc"], "page", "tabular")
+
+
 @query("t14_reader_votes")
 def t14(spark, d):
     """Two noisy readers against the printed lines of every page of every document (rows only)."""

@@ -487,6 +487,25 @@ def g2(spark, d):
     return comp.withColumn("kept", F.col("component") == best)
 
 
+@query("g2_straddling_parcels", """
+WITH RECURSIVE s AS (SELECT n_nationkey::BIGINT AS k, n_nationkey * 10.0::DOUBLE AS x, n_nationkey * 5.0::DOUBLE AS y,
+  2.0 + (n_nationkey % 3) AS h FROM nation),
+e AS (SELECT a.k AS a, b.k AS b FROM s a, s b WHERE a.k <> b.k AND pow(greatest(0, abs(a.x - b.x) - a.h - b.h), 2)
+  + pow(greatest(0, abs(a.y - b.y) - a.h - b.h), 2) <= 16),
+r AS (SELECT k AS n, k AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n WHERE r.c < e.b),
+g AS (SELECT n AS parcel, min(c) AS component FROM r GROUP BY 1),
+dd AS (SELECT component, min(sqrt(pow(greatest(0, abs(x - 101.0) - h), 2) + pow(greatest(0, abs(y - 52.0) - h), 2)))
+  AS dist FROM g JOIN s ON s.k = g.parcel GROUP BY 1)
+SELECT parcel, component, parcel % 7 AS pin, component = best AS core, kept, kept AND component <> best AS detached FROM (
+ SELECT *, component = best OR parcel % 7 IN (SELECT parcel % 7 FROM g WHERE component = best) AS kept FROM g,
+ (SELECT component AS best FROM dd ORDER BY dist, component LIMIT 1))""")
+def g2_b(spark, d):
+    """Parts of a parcel number that lie away from the kept group are added to it again."""
+    p = squares(spark, d, "parcel", "rings").withColumn("d", geo.ring_distance(101.0, 52.0, F.col("rings")))
+    parts = g2(spark, d).join(p, "parcel").select("parcel", "component", (F.col("parcel") % 7).alias("pin"), F.col("kept").alias("core"), "d")
+    return graph.nearest_group(parts, "component", "pin", "d").drop("d")
+
+
 @query("g3_site_record_from_cluster", _COMP + """
 SELECT component, count(*) AS members, max(id) AS id, max_by(c_nationkey, id)::BIGINT AS c_nationkey,
  (SELECT string_agg(p::VARCHAR, ',' ORDER BY p) FROM (SELECT DISTINCT pid AS p FROM comp c2 JOIN site s2 USING (id)

@@ -87,6 +87,18 @@ def g10(spark, d):
     return series.compare_spectra(s.where("label < 5"), s.where("label >= 5"), "freqs", "levels", (3.0, 60.0), 0.6, 0.2)
 
 
+@query("g10_window_notes", """
+WITH h AS (SELECT DISTINCT user_id, (event_id % 5 = 0)::INT AS s, date_trunc('hour', ts + to_days((event_id % 5 * (user_id % 2) * 20)::INT)) AS h FROM events),
+m AS (SELECT user_id, month(h) AS m, count(*) FILTER (s = 0) AS a, count(*) FILTER (s = 1) AS b FROM h GROUP BY 1, 2),
+g AS (SELECT user_id, sum(a)::BIGINT AS hours_before, sum(b)::BIGINT AS hours_after, count(*) FILTER (a > 0 AND b > 0) AS shared_months FROM m GROUP BY 1)
+SELECT *, shared_months = 0 AS no_shared_month, hours_before < 25 AS thin_before, hours_after < 10 AS thin_after FROM g""")
+def g10_b(spark, d):
+    """Hours of two windows; channels of odd number were moved by up to eighty days in the first one."""
+    k = F.col("event_id") % 5
+    e = table(spark, d, "events").select("user_id", k.alias("k"), F.timestamp_add("DAY", (k * (F.col("user_id") % 2) * 20).cast("int"), F.col("ts")).alias("ts"))
+    return series.window_notes(e.where("k <> 0"), e.where("k = 0"), ["user_id"], "ts", (50, 20))
+
+
 def wind_hours(spark, d):
     """Hourly feature and wind of three stations."""
     e = table(spark, d, "events").select((F.col("user_id") % 3).alias("station"), "ts", "value",

@@ -277,6 +277,27 @@ def w20(spark, d):
     return temporal.level_interpolation(ask, lv, ["prof"], "h", "z", ["u"], 300.0).withColumn("u", F.round("u", 6))
 
 
+@query("w20_refraction", """
+WITH l AS (SELECT c_nationkey::BIGINT AS prof, (c_custkey * 37 % 5000)::DOUBLE AS z, min(331.3 * sqrt(1 + (c_custkey % 30 - 5.0) / 273.15)
+ + c_custkey % 17 - 8.0) AS c FROM customer GROUP BY 1, 2),
+g AS (SELECT prof, min(z) AS low_z, arg_min(c, z) AS s, arg_min(z, (abs(z - 200), z)) FILTER (z > 0) AS top_z,
+ arg_min(c, (abs(z - 200), z)) FILTER (z > 0) AS t FROM l GROUP BY 1)
+SELECT prof, low_z, top_z, round(t - s, 6) AS delta, CASE WHEN t - s > 0 THEN 'downward' WHEN t IS NOT NULL THEN 'upward' END AS refraction FROM g""")
+def w20_b(spark, d):
+    k = F.col("c_custkey")
+    lv = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("prof"), (k * 37 % 5000).cast("double").alias("z")).agg(
+        F.min(units.sound_speed(k % 30 - 5.0, k % 17 - 8.0)).alias("c"))
+    return temporal.refraction(lv, ["prof"], "z", "c", 200.0).withColumn("delta", F.round("delta", 6))
+
+
+@query("w21_documents_of_docket", """
+SELECT docket, doc_id, source, row_number() OVER (PARTITION BY docket ORDER BY doc_id, source) AS place
+FROM (SELECT DISTINCT doc_id % 300 AS docket, doc_id, source FROM documents)""")
+def w21_b(spark, d):
+    r = text_table(spark, d, "documents", "doc_id").select((F.col("doc_id") % 300).alias("docket"), "doc_id", "source")
+    return lookup.docket_documents(r, "docket", "doc_id", "source")
+
+
 @query("w21_one_row_per_docket", """
 WITH r AS (SELECT doc_id % 300 AS docket, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 1990 + doc_id % 30 END AS decided, lang || doc_id % 7
  AS caption, source, doc_id FROM documents)

@@ -119,6 +119,25 @@ def a8_b(spark, d):
     return rollups.tally(li, "m")
 
 
+_HURT = """c AS (SELECT l_linestatus, CASE WHEN l_partkey % 7 = 0 THEN 'several' WHEN l_partkey % 5 = 0 THEN '' WHEN l_partkey % 3 = 0
+ THEN NULL ELSE ' ' || l_quantity::INT END AS injured, CASE l_suppkey % 4 WHEN 0 THEN '12 ' WHEN 1 THEN '3.5' WHEN 2 THEN '-0' END AS evacuated
+ FROM lineitem)"""
+
+
+@query("a8_casualty_totals", f"""WITH {_HURT}
+SELECT l_linestatus, count(*) AS reports, coalesce(sum(CASE WHEN regexp_full_match(trim(injured), '[0-9]+') THEN trim(injured)::BIGINT END), 0)::BIGINT
+ AS injured, count(*) FILTER (trim(injured) <> '') AS with_injured, count(*) FILTER (injured = 'several') AS unreadable_injured,
+ (12 * count(*) FILTER (evacuated = '12 '))::BIGINT AS evacuated, count(evacuated) AS with_evacuated, count(*) FILTER (evacuated = '3.5') AS
+ unreadable_evacuated FROM c GROUP BY 1""")
+def a8_c(spark, d):
+    p, s = F.col("l_partkey"), F.col("l_suppkey") % 4
+    li = table(spark, d, "lineitem").select(
+        "l_linestatus", F.when(p % 7 == 0, "several").when(p % 5 == 0, "").when(p % 3 == 0, None).otherwise(
+            F.concat(F.lit(" "), F.round("l_quantity").cast("int").cast("string"))).alias("injured"),
+        F.when(s == 0, "12 ").when(s == 1, "3.5").when(s == 2, "-0").alias("evacuated"))
+    return rollups.tolerant_totals(li, ["l_linestatus"], ["injured", "evacuated"])
+
+
 @query("a9_facility_totals_by_basis", f"""
 WITH s AS (SELECT s_suppkey, {sql_coordinates('s_suppkey')} FROM supplier),
 n AS (SELECT s_suppkey, {sql_haversine(31.0, -91.0, 'lat', 'lon')} AS dist FROM s)
@@ -525,6 +544,15 @@ def a37(spark, d):
     return r.withColumns({c: F.round(c, 2) for c in ("stated", "computed", "stated_mapped_parts")})
 
 
+@query("a37_share_per_parish", """
+WITH w AS (SELECT l_orderkey AS agreement, l_suppkey % 8 AS parish, sum(l_quantity::DOUBLE) AS w FROM lineitem GROUP BY 1, 2)
+SELECT agreement, parish, round_even(100.0 * w / sum(w) OVER (PARTITION BY agreement), 0)::BIGINT AS percent,
+ row_number() OVER (PARTITION BY agreement ORDER BY w DESC, parish) AS place FROM w""")
+def a37_b(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("agreement"), (F.col("l_suppkey") % 8).alias("parish"), "l_quantity")
+    return rollups.area_shares(li, ["agreement"], "parish", "l_quantity")
+
+
 @query("a38_sections_by_reference", """
 WITH i AS (SELECT user_id, event_id % 4 AS ref, CASE event_id % 4 WHEN 0 THEN 'Harmonised list' ELSE 'Maker ' || event_id % 4 END
  AS src, event_type, props FROM events), g AS (SELECT user_id, ref, src, min(props) FILTER (event_type = 'click') AS signal,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldbook.functions import dates, text
+from fieldbook.operators.temporal import year_runs
 from fieldbook.plans.durable import durable
 from fieldbook.plans.ordered import islands
 from fieldbook.plans.skew import salted_join
@@ -320,6 +321,20 @@ def with_neighbours(pages: DataFrame, doc: Sequence[str], page: str, flag: str)
     return pages.join(hit.distinct(), [*doc, page], "left_semi")
 
 
+def page_selection(pages: DataFrame, doc: Sequence[str], page: str, flag: str, neighbours: bool = True,
+                   whole_share: float = 0.5) -> DataFrame:
+    """One row per document: its pages, flagged and selected ones, the selection as text (``3-5,9``), and what to send:
+    ``none``, ``pages``, or ``whole`` once at least ``whole_share`` of the pages are selected."""
+    chosen = with_neighbours(pages, doc, page, flag) if neighbours else pages.where(F.col(flag))
+    chosen = chosen.select(*doc, page).distinct()
+    total = pages.groupBy(*doc).agg(F.countDistinct(page).alias("pages"), F.count_if(F.col(flag)).alias("flagged"))
+    spec = year_runs(chosen, doc, page, "spec", ",")
+    out = total.join(chosen.groupBy(*doc).agg(F.count(F.lit(1)).alias("selected")), list(doc), "left").join(spec, list(doc), "left")
+    out = out.na.fill(0, ["selected"]).na.fill("", ["spec"])
+    advice = F.when(F.col("selected") == 0, "none").when(F.col("selected") >= F.col("pages") * whole_share, "whole").otherwise("pages")
+    return out.withColumn("advice", advice)
+
+
 # ---- reader votes
 
 def _windows(target: str, left: list, most: int):

@@ -95,3 +95,14 @@ def merge_records(df: DataFrame, component: str, id_col: str, rank_by: Sequence,
                .agg(F.array_sort(F.collect_list("__v")).alias(c)))
         out = out.join(ids, component, "left")
     return out
+
+
+def nearest_group(parts: DataFrame, component: str, number: str, distance: str) -> DataFrame:
+    """``parts`` (polygons) with ``kept`` and ``detached``: the component nearest to the point is kept, and so are the other
+    parts of a parcel number that it holds, wherever they lie; those are ``detached``. A null number holds nothing."""
+    best = parts.agg(F.min_by(component, F.struct(distance, component)).alias("__best"))
+    core = parts.join(best, F.col(component) == F.col("__best"), "left_semi")
+    held = core.select(F.col(number).alias("__number"), F.lit(True).alias("__held")).where(F.col("__number").isNotNull()).distinct()
+    out = parts.join(best, F.col(component) == F.col("__best"), "left").join(held, F.col(number) == F.col("__number"), "left")
+    near, also = F.col("__best").isNotNull(), F.col("__held").isNotNull()
+    return out.withColumns({"kept": near | also, "detached": ~near & also}).drop("__best", "__number", "__held")

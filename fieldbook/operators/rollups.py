@@ -471,3 +471,24 @@ def tally(df: DataFrame, lists: str) -> DataFrame:
     """How often each listed value occurs, each row counting a value once."""
     return df.select(F.explode(F.array_distinct(lists)).alias("value")).groupBy("value").agg(
         F.count(F.lit(1)).alias("hits"))
+
+
+def tolerant_totals(df: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Sums of counts that were typed as text, for each of ``counts``: the sum of those that read as whole numbers, rows
+    that state anything (``with_``), and rows whose statement is no number (``unreadable_``), which the sum leaves out."""
+    said = {c: F.trim(F.col(c).cast("string")) for c in counts}
+    number = {c: F.when(v.rlike("^[+-]?[0-9]{1,18}$"), v.cast("long")) for c, v in said.items()}
+    out = [F.count(F.lit(1)).alias("reports")]
+    for c, v in said.items():
+        out += [F.coalesce(F.sum(number[c]), F.lit(0).cast("long")).alias(c), F.count_if(F.coalesce(v, F.lit("")) != "").alias(f"with_{c}"),
+                F.count_if((v != "") & number[c].isNull()).alias(f"unreadable_{c}")]
+    return df.groupBy(*keys).agg(*out)
+
+
+def area_shares(samples: DataFrame, keys: Sequence[str], area: str, weight: str) -> DataFrame:
+    """Whole percent of each thing's weight that falls in each area, the largest share first. Areas are few by nature."""
+    each = samples.groupBy(*keys, area).agg(F.sum(F.col(weight).cast("double")).alias("__w"))
+    mine = Window.partitionBy(*keys)
+    share = F.bround(F.try_divide(F.lit(100.0) * F.col("__w"), F.sum("__w").over(mine)), 0).cast("long")
+    place = F.row_number().over(mine.orderBy(F.col("__w").desc(), area))
+    return each.select(*keys, area, share.alias("percent"), place.alias("place"))

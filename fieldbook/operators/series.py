@@ -241,3 +241,18 @@ def validation_score(events: DataFrame, axis: str, truth: str, within: float = 2
     g = d.agg(F.count(F.lit(1)).alias("scored"), F.count_if(hit).alias("hits"), F.count_if(hit & toward).alias("toward"))
     one_way = (F.col("toward") == 0) | (F.col("toward") == F.col("hits"))
     return g.withColumn("passes", (F.col("hits") >= need) & one_way & (F.col("hits") * 2 >= F.col("scored")))
+
+
+def window_notes(before: DataFrame, after: DataFrame, keys: Sequence[str], hour: str, expected: tuple[int, int],
+                 least_share: float = 0.5) -> DataFrame:
+    """Whether two windows may be compared, per key: calendar months that both hold (levels are seasonal), whole hours of
+    each, and a flag where fewer than ``least_share`` of the ``expected`` hours carry a window's median."""
+    def one(df, side):
+        return df.select(*keys, F.date_trunc("hour", hour).alias("__h"), F.lit(side).alias("__s")).distinct()
+    both = one(before, 0).unionByName(one(after, 1)).groupBy(*keys, F.month("__h").alias("__m")).agg(
+        *[F.count_if(F.col("__s") == s).alias(f"__n{s}") for s in (0, 1)])
+    out = both.groupBy(*keys).agg(F.sum("__n0").alias("hours_before"), F.sum("__n1").alias("hours_after"),
+                                  F.count_if((F.col("__n0") > 0) & (F.col("__n1") > 0)).alias("shared_months"))
+    return out.withColumns({"no_shared_month": F.col("shared_months") == 0,
+                            "thin_before": F.col("hours_before") < expected[0] * least_share,
+                            "thin_after": F.col("hours_after") < expected[1] * least_share})

@@ -292,3 +292,14 @@ def trigger_sessions(df: DataFrame, keys: Sequence[str], order: str, ratio: str,
             .agg(F.min(order).alias("start"), F.max(order).alias("end"), F.max(ratio).alias("peak"),
                  F.count(F.lit(1)).alias("rows")))
 
+
+
+def refraction(levels: DataFrame, keys: Sequence[str], z: str, speed: str, top: float) -> DataFrame:
+    """Change of the effective speed of sound from the lowest level to the one nearest ``top`` above ground, and what it
+    does to sound: it bends down into a duct where speed grows with height. Without a level above ground both are null."""
+    up = F.struct(F.abs(F.col(z) - top), z)
+    g = levels.groupBy(*keys).agg(F.min(z).alias("low_z"), F.min_by(speed, z).alias("__s"),
+                                  F.min_by(F.struct(F.col(z).alias("z"), F.col(speed).alias("s")), F.when(F.col(z) > 0, up)).alias("__t"))
+    delta = F.col("__t.s") - F.col("__s")
+    return g.select(*keys, "low_z", F.col("__t.z").alias("top_z"), delta.alias("delta"),
+                    F.when(delta > 0, "downward").when(delta.isNotNull(), "upward").alias("refraction"))
