@@ -206,7 +206,7 @@ def table_rows(cells: DataFrame, table: Sequence[str], keywords: Mapping[str, st
     units = sorted(set(keywords.values()))
     at = {u: F.array_max(F.transform(F.filter("heads", _holds(u)), lambda e: e["col"])) for u in units}
     h = _header(cells, table, keywords).select(*table, "header_row", *[c.alias(f"__c_{u}") for u, c in at.items()])
-    d = cells.join(h, list(table)).where(F.col("row") != F.col("header_row"))
+    d = cells.join(h.hint("merge"), list(table)).where(F.col("row") != F.col("header_row"))  # never whole tables through the driver
     is_unit = {u: F.col("col") == F.col(f"__c_{u}") for u in units}
     return d.groupBy(*table, "row").agg(
         F.max(F.when(F.col("col") == 0, F.col("text"))).alias("label"),

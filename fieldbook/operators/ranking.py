@@ -70,10 +70,10 @@ def top_of_latest(df: DataFrame, group: Sequence[str], item: str, year: str, val
 def sibling_outliers(df: DataFrame, group: Sequence[str], value: str, high: float = 10.0, low: float = 0.1,
                      at_least: int = 3) -> DataFrame:
     """Values more than ``high`` times or less than ``low`` times their siblings' median, in groups big enough."""
-    pos = df.where(F.col(value) > 0)
+    pos = durable(df.where(F.col(value) > 0))  # read five times below
     med = exact_quantiles(pos, group, value, [0.5], ["sibling_median"]).withColumnRenamed("n", "siblings").where(
         (F.col("siblings") >= at_least) & (F.col("sibling_median") > 0))
-    j = pos.join(med, list(group))
+    j = pos.join(med.hint("merge"), list(group))  # a guessed size must not send the rows through the driver
     return j.where((F.col(value) > F.col("sibling_median") * high) | (F.col(value) < F.col("sibling_median") * low))
 
 

@@ -32,8 +32,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     cuts = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-step, step)})
     sketch = keyed.groupBy(*keys).agg(  # of the rows, not of distinct values: repeats weigh in the ranks
         F.percentile_approx("__v", F.array(*[F.lit(c) for c in cuts]), F.lit(accuracy)).alias("__cuts"))
+    # merge joins: a size guessed before the rows are counted may send the larger side whole through the driver
     if keys:
-        j = vals.join(sketch.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cuts"),
+        j = vals.join(sketch.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__cuts").hint("merge"),
                       on=_on(vals, keys), how="inner").drop(*[f"__k_{k}" for k in keys])
     else:
         j = vals.withColumn("__cuts", sketch.select("__cuts").scalar())
@@ -57,7 +58,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     cnt = cnt.where(hit).select(*[F.col(k).alias(f"__k_{k}") for k in keys],
                                 F.col("__cls").alias("__k_cls"), "__before", "__total", "__want")
     cond = _on(d, keys, extra=d["__cls"] == F.col("__k_cls"))
-    kept = d.join(cnt, on=cond, how="inner").drop(*[f"__k_{k}" for k in keys], "__k_cls")
+    kept = d.join(cnt.hint("merge"), on=cond, how="inner").drop(*[f"__k_{k}" for k in keys], "__k_cls")
     w = Window.partitionBy(*keys, "__cls").orderBy("__v")
     kept = kept.withColumn("__end", F.col("__before") + F.sum("__c").over(
         w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__start", F.col("__end") - F.col("__c"))
