@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from fieldbook.operators import documents, ranking
+from fieldbook.operators import documents, lookup, ranking, spatial, temporal
+from fieldbook.plans import skew
 
 
 def plan_of(df):
@@ -20,3 +21,12 @@ def test_medians_and_table_rows_never_broadcast_the_rows(spark):
     far = ranking.sibling_outliers(rows.withColumn("g", F.lit(1)), ["g"], "TPY", at_least=3)
     assert "Broadcast" not in plan_of(far)
     assert [(x["doc"], x["TPY"], x["sibling_median"]) for x in far.collect()] == [(2, 90.0, 6.0)]
+
+
+def test_votes_skip_runs_whose_letters_cannot_agree(monkeypatch):
+    met = []
+    real = documents._windows
+    monkeypatch.setattr(documents, "_windows", lambda *a: [met.append(1) or r for r in real(*a)])
+    lines = ["the quick brown fox jumps", "zzzz zzzz zzzz zzzz zzzz zzzz", "over the lazy dog"]
+    assert documents._vote(lines, ["the quick brown", "fox jumps", "over the iazy dog"]) == (["agree", "absent", "agree"], [[0, 1], [], [2]])
+    assert len(met) == 1  # the exact line asks for no run, the line of other letters meets none
