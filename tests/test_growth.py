@@ -30,3 +30,18 @@ def test_votes_skip_runs_whose_letters_cannot_agree(monkeypatch):
     lines = ["the quick brown fox jumps", "zzzz zzzz zzzz zzzz zzzz zzzz", "over the lazy dog"]
     assert documents._vote(lines, ["the quick brown", "fox jumps", "over the iazy dog"]) == (["agree", "absent", "agree"], [[0, 1], [], [2]])
     assert len(met) == 1  # the exact line asks for no run, the line of other letters meets none
+
+
+def test_cases_of_a_common_company_meet_without_travelling(spark):
+    items = spark.createDataFrame([(i, f"Case 2024-{i}-CUP by Delta Works") for i in range(6)] + [(3, "delta works again"), (None, "case 2024-2-cup")],
+                                  "i int, t string")
+    cases = spark.createDataFrame([(c, f"rezoning 2024-{c}-CUP for Delta Works, LLC") for c in range(4)], "c int, title string")
+    got = documents.track_cases(items, "i", "t", cases, "c", "title")
+    want = {(i, c): 1 + (i == c) + (i == 3) for i in range(6) for c in range(4)} | {(None, 2): 1}
+    assert {(x["i"], x["c"]): x["keys"] for x in got.collect()} == want
+    assert "array_intersect" in plan_of(got)
+    import pytest
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(documents, "WIDE_ITEM", 1)
+        again = documents.track_cases(items, "i", "t", cases, "c", "title")
+        assert {(x["i"], x["c"]): x["keys"] for x in again.collect()} == want
