@@ -45,3 +45,10 @@ def test_cases_of_a_common_company_meet_without_travelling(spark):
         m.setattr(documents, "WIDE_ITEM", 1)
         again = documents.track_cases(items, "i", "t", cases, "c", "title")
         assert {(x["i"], x["c"]): x["keys"] for x in again.collect()} == want
+
+
+def test_pairs_set_the_number_of_tasks(spark):
+    l, r = spark.range(0, 400).selectExpr("id % 20 k", "id a"), spark.range(0, 400).selectExpr("id % 20 k", "id b")
+    assert skew.pair_count(l, r, ["k"]) == 8000
+    got = skew.salted_join(l, r, ["k"], ["a"], pairs_per_split=500)
+    assert got.rdd.getNumPartitions() >= 16 and got.distinct().count() == got.count() == 8000
