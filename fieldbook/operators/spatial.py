@@ -248,12 +248,60 @@ def neighbourhood_range(cells: DataFrame, keys: Sequence[str], x: str, y: str, v
 
 def distance_bands(df: DataFrame, keys: Sequence[str], distance: str, edges: Sequence[float],
                    nearest: int = 5) -> DataFrame:
-    """Counts within each band (cumulative), counts inside, and the nearest few distances as text."""
-    aggs = [F.count(F.lit(1)).alias("total"), F.count_if(F.col(distance) == 0).alias("inside")]
-    aggs += [F.count_if(F.col(distance) <= e).alias("within_" + f"{e:g}".replace(".", "_")) for e in edges]
-    counts = df.groupBy(*keys).agg(*aggs)
-    w = Window.partitionBy(*keys).orderBy(distance)
-    near = (df.select(*keys, distance).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= nearest)
-            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.round(distance, 3))).alias("__n"))
-            .select(*keys, F.concat_ws(", ", F.transform("__n", lambda v: F.format_number(v, 3))).alias("nearest")))
-    return counts.join(near, list(keys)) if keys else counts.withColumn("nearest", near.select("nearest").scalar())
+    """Counts within each band (cumulative), counts inside, and the nearest few distances as text.
+
+    The rows are read once: each task folds them to one row a key with its counts and nearest distances, and only those
+    travel. A null distance counts in the total alone.
+    """
+    names = ["within_" + f"{e:g}".replace(".", "_") for e in edges]
+    types = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
+    counted = ["total", "inside", *names]
+    out = (f"{types}, " if keys else "") + ", ".join(f"`{c}` long" for c in counted) + ", __near array<double>"
+
+    def fold(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def folded(rows):
+            t = pa.Table.from_batches(rows)
+            code = np.zeros(len(t), np.int64)
+            for k in keys:
+                c = t.column(k).combine_chunks().dictionary_encode()
+                own = c.indices.fill_null(len(c.dictionary)).to_numpy(zero_copy_only=False)
+                code = np.unique(code * (len(c.dictionary) + 1) + own, return_inverse=True)[1].astype(np.int64)
+            d = t.column(distance).combine_chunks()
+            known = d.is_valid().to_numpy(zero_copy_only=False)
+            v = d.fill_null(float("inf")).to_numpy(zero_copy_only=False).astype(np.float64)
+            order = np.lexsort((v, ~known, code))
+            code, v, known = code[order], v[order], known[order]
+            start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            n = np.diff(np.r_[start, len(code)])
+            sums = [n, np.add.reduceat((known & (v == 0)).astype(np.int64), start)]
+            sums += [np.add.reduceat((known & (v <= e)).astype(np.int64), start) for e in edges]
+            few = np.minimum(np.add.reduceat(known.astype(np.int64), start), nearest)
+            ends = np.r_[0, np.cumsum(few)].astype(np.int32)
+            at = np.repeat(start - ends[:-1], few) + np.arange(ends[-1])
+            near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[at], pa.float64()))
+            first = pa.array(order[start])
+            cols = [t.column(k).combine_chunks().take(first) for k in keys] + [pa.array(s.astype(np.int64)) for s in sums] + [near]
+            return pa.RecordBatch.from_arrays(cols, names=[*keys, *counted, "__near"])
+
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= _FOLD_ROWS:
+                yield folded(held)
+                held, size = [], 0
+        if held:
+            yield folded(held)
+
+    part = df.select(*keys, F.col(distance).cast("double").alias(distance)).mapInArrow(fold, out)
+    g = part.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in counted],
+                                F.flatten(F.collect_list("__near")).alias("__near"))
+    few = F.transform(F.slice(F.array_sort("__near"), 1, nearest), lambda v: F.format_number(F.round(v, 3), 3))
+    return g.select(*keys, *counted, F.concat_ws(", ", few).alias("nearest"))
+_FOLD_ROWS = 1_000_000
+
+

@@ -47,6 +47,15 @@ def test_cases_of_a_common_company_meet_without_travelling(spark):
         assert {(x["i"], x["c"]): x["keys"] for x in again.collect()} == want
 
 
+def test_distance_bands_fold_before_they_travel(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_FOLD_ROWS", 3)
+    d = spark.createDataFrame([("a", float(i) / 2) for i in range(9)] + [("a", 0.0), ("b", None), (None, 7.25)], "k string, d double")
+    got = spatial.distance_bands(d, ["k"], "d", [1.0, 2.5], 3)
+    assert "Window" not in plan_of(got) and "MapInArrow" in plan_of(got)
+    assert {tuple(x) for x in got.collect()} == {("a", 10, 2, 4, 7, "0.000, 0.000, 0.500"), ("b", 1, 0, 0, 0, ""), (None, 1, 0, 0, 0, "7.250")}
+    assert tuple(spatial.distance_bands(d, [], "d", [1.0], 2).first()) == (12, 2, 4, "0.000, 0.000")
+
+
 def test_pairs_set_the_number_of_tasks(spark):
     l, r = spark.range(0, 400).selectExpr("id % 20 k", "id a"), spark.range(0, 400).selectExpr("id % 20 k", "id b")
     assert skew.pair_count(l, r, ["k"]) == 8000
