@@ -56,6 +56,16 @@ def test_distance_bands_fold_before_they_travel(spark, monkeypatch):
     assert tuple(spatial.distance_bands(d, [], "d", [1.0], 2).first()) == (12, 2, 4, "0.000, 0.000")
 
 
+def test_a_common_surname_is_met_in_several_tasks(spark, monkeypatch):
+    f = spark.createDataFrame([(i, "Smith", "Ann" if i % 2 else "") for i in range(60)], "i int, last string, first string")
+    p = spark.createDataFrame([(j, "Anna Smith") for j in range(50)], "j int, person string")
+    monkeypatch.setattr(lookup.salted_join, "__defaults__", ("inner", 100_000, 200))
+    got = lookup.name_grades(f, p, "last", "first", "person")
+    assert got.columns == ["i", "last", "first", "j", "person", "match"]
+    assert got.groupBy("match").count().orderBy("match").collect() == [("first and last", 1500), ("last name only", 1500)]
+    assert got.select(F.spark_partition_id()).distinct().count() > 3
+
+
 def test_pairs_set_the_number_of_tasks(spark):
     l, r = spark.range(0, 400).selectExpr("id % 20 k", "id a"), spark.range(0, 400).selectExpr("id % 20 k", "id b")
     assert skew.pair_count(l, r, ["k"]) == 8000
