@@ -159,18 +159,34 @@ def peak_after(events: DataFrame, readings: DataFrame, keys: Sequence[str], even
     """Each event with the highest reading of its key up to ``most_s`` seconds later: readings, peak, lag_s of the peak (the
     first of equals) and ``carry`` of that reading. An event that no reading follows keeps nulls and 0 readings.
 
-    Rows meet on the key and on slices of ``most_s``; the pairs are folded to one row an event before they travel.
+    No pairs are formed. Time is cut in slices of ``most_s``, so what follows an event is the rest of its own slice and the
+    beginning of the next: two running maxima over the readings of a slice, one from its end, one from its beginning.
     """
     micros = most_s * 1_000_000
     at = lambda c: F.floor(F.unix_micros(c) / micros)
-    e = events.select(event_id, event_ts, *keys).withColumn("__b", F.explode(F.array(at(event_ts), at(event_ts) + 1)))
-    r = readings.where(F.col(value).isNotNull()).select(*keys, reading_ts, value, *carry).withColumn("__b", at(reading_ts))
-    lag = (F.unix_micros(reading_ts) - F.unix_micros(event_ts)) / 1_000_000
-    j = salted_join(r, e, [*keys, "__b"], [reading_ts, value]).withColumn("__lag", lag).where(F.col("__lag").between(0, most_s))
-    best = F.max_by(F.struct(F.col(value).alias("peak"), F.col("__lag").alias("lag_s"), *carry), F.struct(value, -F.col("__lag")))
-    got = j.groupBy(event_id).agg(F.count(F.lit(1)).alias("readings"), best.alias("__p"))
+    known = readings.where(F.col(value).isNotNull() & F.col(reading_ts).isNotNull())
+    best = F.struct(F.col(value).alias("peak"), (-F.unix_micros(reading_ts)).alias("at"), *carry)
+    kind = known.select(best.alias("b")).schema["b"].dataType
+    asks = events.where(F.col(event_ts).isNotNull())
+    for k in keys:
+        known, asks = known.where(F.col(k).isNotNull()), asks.where(F.col(k).isNotNull())
+    got = None
+    # readings before asks where both fall on one moment: both ends of the reach count
+    for slice_, moment, mark in ((at(event_ts), F.unix_micros(event_ts), -1), (at(event_ts) + 1, F.unix_micros(event_ts) + micros, 1)):
+        r = known.select(*keys, at(reading_ts).alias("__b"), (mark * F.unix_micros(reading_ts)).alias("__t"), F.lit(0).alias("__ask"),
+                         F.lit(1).cast("long").alias("__one"), best.alias("__best"), F.lit(None).cast(dict(events.dtypes)[event_id]).alias("__id"),
+                         F.lit(None).cast("long").alias("__from"))
+        a = asks.select(*keys, slice_.alias("__b"), (mark * moment).alias("__t"), F.lit(1).alias("__ask"), F.lit(0).cast("long").alias("__one"),
+                        F.lit(None).cast(kind).alias("__best"), F.col(event_id).alias("__id"), F.unix_micros(event_ts).alias("__from"))
+        u = running(r.unionByName(a), [*keys, "__b"], ["__t", "__ask"], None, {"__n": ("sum", "__one"), "__p": ("max", "__best")})
+        u = u.where("__ask = 1").select("__id", "__from", "__n", "__p")
+        got = u if got is None else got.unionByName(u)
+    lag = (-F.col("__p.at") - F.col("__from")) / 1_000_000
+    top = F.max(F.when(F.col("__p").isNotNull(), F.struct("__p.peak", (-lag).alias("__l"), *[F.col(f"__p.{c}") for c in carry])))
+    got = got.groupBy(F.col("__id").alias(event_id)).agg(F.sum("__n").alias("readings"), top.alias("__p"))
     return events.join(got, event_id, "left").select(
-        *events.columns, F.coalesce("readings", F.lit(0)).alias("readings"), "__p.peak", "__p.lag_s", *[f"__p.{c}" for c in carry])
+        *events.columns, F.coalesce("readings", F.lit(0)).alias("readings"), "__p.peak", (-F.col("__p.__l")).alias("lag_s"),
+        *[f"__p.{c}" for c in carry])
 
 
 def certificate_as_of(samples: DataFrame, certs: DataFrame, keys: Sequence[str], sample_id: str, sample_date: str,

@@ -71,3 +71,22 @@ def test_pairs_set_the_number_of_tasks(spark):
     assert skew.pair_count(l, r, ["k"]) == 8000
     got = skew.salted_join(l, r, ["k"], ["a"], pairs_per_split=500)
     assert got.rdd.getNumPartitions() >= 16 and got.distinct().count() == got.count() == 8000
+
+
+def test_peaks_after_events_form_no_pairs(spark):
+    import random
+    random.seed(5)
+    ts = lambda: random.choice([0, 3600, 7200, 10800]) + random.randint(0, 6) * 300
+    ev = [(i % 40, i % 3 or None, ts()) for i in range(60)] + [(77, 1, None)]
+    rd = [(random.choice([0, 1, 2, None]), ts(), random.choice([None, 1.0, 2.0, 3.0])) for _ in range(90)]
+    e = spark.createDataFrame(ev, "id int, k int, s long").selectExpr("id", "k", "timestamp_seconds(s) t")
+    r = spark.createDataFrame(rd, "k int, s long, v double").selectExpr("k", "timestamp_seconds(s) rt", "v", "s c")
+    got = temporal.peak_after(e, r, ["k"], "id", "t", "rt", "v", ["c"], 3600)
+    assert "max_by" not in plan_of(got)  # which sorts all the pairs
+    met = {}
+    for i, k, t in ev:
+        for kk, s, v in rd:
+            if None not in (k, t, kk, v) and k == kk and t <= s <= t + 3600:
+                met.setdefault(i, []).append((v, t - s, s))
+    want = sorted((i, len(met.get(i, ())), *((m[0], -m[1], m[2]) if (m := max(met.get(i, ()), default=None)) else (None,) * 3)) for i, _, _ in ev)
+    assert sorted((x["id"], x["readings"], x["peak"], x["lag_s"], x["c"]) for x in got.collect()) == want
