@@ -63,23 +63,47 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_xy=("lat"
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_cols: Sequence[str], cap: float,
                  left_xy=("lat", "lon"), right_xy=("rlat", "rlon"), earth: float = geo.RADIUS_MI,
-                 tie: str | None = None, steps: Sequence[float] = (0.25, 1.0)) -> DataFrame:
+                 tie: str | None = None, steps: Sequence[float] | None = None) -> DataFrame:
     """Nearest right row per left row, or nulls when none lies within ``cap`` (a gap, not a value).
 
-    The radius widens step by step and only rows without a hit go on, so dense areas never pay for the cap.
+    The radius widens step by step and only rows without a hit go on, so dense areas never pay for the cap. Unless told,
+    it starts where a point would meet about ``_FIRST_HITS`` places if they lay evenly, and grows four times a step: a point
+    that met nothing has few places around it, so what a step meets grows with the points, not with points times places.
+    Rows at one place are reduced to the one that wins its ties first.
     """
     tie = tie or right_cols[0]
     points = left.select(left_id, *left_xy)
+    places = right.groupBy(*right_xy).agg(F.min_by(F.struct(*right_cols), F.struct(tie)).alias("__r"), F.min(F.struct(tie)).alias("__tie"))
+    places = durable(places.where(F.col(right_xy[0]).isNotNull() & F.col(right_xy[1]).isNotNull()))
+    steps = steps or _widening(places, right_xy, cap, earth)
     found = None
     for share in steps:
-        j = radius_join(points, right, cap * share, left_xy, right_xy, earth, "__d", [left_id])
-        best = (j.groupBy(left_id)
-                .agg(F.min_by(F.struct(F.col("__d").alias("distance"), *right_cols),
-                              F.struct("__d", tie)).alias("__n")))
+        j = radius_join(points, places, cap * share, left_xy, right_xy, earth, "__d", [left_id])
+        best = durable(j.groupBy(left_id)
+                       .agg(F.min_by(F.struct(F.col("__d").alias("distance"), F.col("__r")),
+                                     F.struct("__d", "__tie")).alias("__n")))
         found = best if found is None else found.unionByName(best)
         if share != steps[-1]:
-            points = points.join(found.select(left_id), left_id, "left_anti")
-    return left.join(found, left_id, "left").select(left.columns + ["__n.distance"] + [f"__n.{c}" for c in right_cols])
+            points = durable(points.join(best.select(left_id), left_id, "left_anti"))
+    return left.join(found, left_id, "left").select(left.columns + ["__n.distance"] + [f"__n.__r.{c}" for c in right_cols])
+
+
+_FIRST_HITS = 4.0
+
+
+def _widening(places: DataFrame, xy: Sequence[str], cap: float, earth: float) -> list[float]:
+    """Shares of the cap to try, from a circle that holds about ``_FIRST_HITS`` places of the area they span."""
+    y, x = F.col(xy[0]), F.col(xy[1])
+    n, south, north, west, east = places.agg(F.count(F.lit(1)), F.min(y), F.max(y), F.min(x), F.max(x)).first()
+    if not n:
+        return [1.0]
+    mile = math.radians(1.0) * earth
+    area = max((north - south) * mile, cap) * max((east - west) * mile * math.cos(math.radians((north + south) / 2)), cap)
+    first = math.sqrt(_FIRST_HITS * area / (math.pi * n)) / cap
+    shares = [1.0]
+    while shares[0] / 4 >= first and len(shares) < 8:
+        shares.insert(0, shares[0] / 4)
+    return shares if len(shares) > 1 else [0.25, 1.0]
 
 
 def _cover(x0: Column, x1: Column, y0: Column, y1: Column, size: float) -> tuple[Column, Column]:
@@ -246,6 +270,9 @@ def neighbourhood_range(cells: DataFrame, keys: Sequence[str], x: str, y: str, v
             .drop("__n", "__lo", "__hi"))
 
 
+_FOLD_ROWS = 1_000_000
+
+
 def distance_bands(df: DataFrame, keys: Sequence[str], distance: str, edges: Sequence[float],
                    nearest: int = 5) -> DataFrame:
     """Counts within each band (cumulative), counts inside, and the nearest few distances as text.
@@ -302,6 +329,3 @@ def distance_bands(df: DataFrame, keys: Sequence[str], distance: str, edges: Seq
                                 F.flatten(F.collect_list("__near")).alias("__near"))
     few = F.transform(F.slice(F.array_sort("__near"), 1, nearest), lambda v: F.format_number(F.round(v, 3), 3))
     return g.select(*keys, *counted, F.concat_ws(", ", few).alias("nearest"))
-_FOLD_ROWS = 1_000_000
-
-

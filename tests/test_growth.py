@@ -90,3 +90,13 @@ def test_peaks_after_events_form_no_pairs(spark):
                 met.setdefault(i, []).append((v, t - s, s))
     want = sorted((i, len(met.get(i, ())), *((m[0], -m[1], m[2]) if (m := max(met.get(i, ()), default=None)) else (None,) * 3)) for i, _, _ in ev)
     assert sorted((x["id"], x["readings"], x["peak"], x["lag_s"], x["c"]) for x in got.collect()) == want
+
+
+def test_nearest_starts_where_few_places_lie(spark):
+    far = spark.range(0, 3000).selectExpr("id j", "30 + (id * 7919 % 3001) / 3000 rlat", "-90 + (id * 104729 % 2999) / 2999 rlon")
+    steps = spatial._widening(far, ("rlat", "rlon"), 30.0, 3958.7613)
+    assert steps[-1] == 1.0 and steps[0] < 0.25 and 3000 * 3.15 * (30.0 * steps[0]) ** 2 < 20 * 70 * 60
+    l = spark.createDataFrame([(0, 30.5, -89.5), (1, 30.2, -89.1), (2, 45.0, -89.5)], "i int, lat double, lon double")
+    near = {x["i"]: (x["j"], x["distance"]) for x in spatial.nearest_join(l, far.union(far), "i", ["j"], 30.0).collect()}
+    once = {x["i"]: (x["j"], x["distance"]) for x in spatial.nearest_join(l, far, "i", ["j"], 30.0, steps=[1.0]).collect()}
+    assert near == once and near[2] == (None, None) and near[0][1] < 30
