@@ -38,6 +38,7 @@ CHUNK_BYTES = 4 << 20
 BLOCK_WORDS = 1 << 20  # positions merged at once, so that three local word numbers fit 63 bits
 BIN_BITS = 18  # prefixes are packed as 2**18 bins at most
 RARE_BITS = 24
+LOOKUP_ROWS = 100_000  # of a table that is broadcast: several of them meet in one plan, and the driver holds each
 _BITMAP = 4096 * 8  # bits of one row of Spark's bitmap aggregate
 _A, _B, _C = (U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -278,8 +279,8 @@ def _frequent_bits(words: DataFrame) -> np.ndarray:
 
 def _histogram(counted: DataFrame) -> np.ndarray:
     out = np.zeros(1 << BIN_BITS, dtype=np.int64)
-    for r in counted.groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        out[r["bin"]] = r["n"]
+    got = counted.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("bin").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
@@ -310,12 +311,12 @@ def phrase_counts(docs: DataFrame, ws: Workspace, text_col: str = "text", lang_c
     return words, two.select("k1", "k2", F.lit(None).cast("long").alias("k3"), "a").unionByName(nodes.where("k3 is not null"))
 
 
-def _lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi join to a table of one narrow row a key; a key that many rows of ``df`` share is spread."""
-    marked = small(table)
+def _lookup(ws: Workspace, df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi join to a table of one narrow row a key; a key that many rows of ``df`` share is spread, by ``df`` as kept."""
+    marked = small(table, LOOKUP_ROWS)
     if marked is not table:
-        return df.join(marked, keys, how)
-    return salted_join(df, table, keys, [c for c in ("k1", "k2", "k3") if c not in keys] or ["k1"], how)
+        return df.join(marked, keys)
+    return salted_join(ws.keep(df), table, keys, [c for c in ("k1", "k2", "k3") if c in df.columns and c not in keys] or keys)
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP,
@@ -340,11 +341,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     longer = (three.select("k1", "k2", "a").unionByName(three.select(F.col("k2").alias("k1"), F.col("k3").alias("k2"), "a"))
               .groupBy("k1", "k2").agg(F.max("a").alias("longer")))
     alone = two.join(longer, ["k1", "k2"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < swallowed * F.col("a")))
-    pairs = _lookup(_lookup(alone, freq_of("k1", "l", True), ["k1"]), freq_of("k2", "r"), ["k2"])
+    pairs = _lookup(ws, _lookup(ws, alone, freq_of("k1", "l", True), ["k1"]), freq_of("k2", "r"), ["k2"])
     pairs = pairs.select("lang_key", "k1", "k2", F.lit(None).cast("long").alias("k3"), "a", "l", "r", _score("a", "l", "r").alias("score"))
-    triples = _lookup(_lookup(three, freq_of("k1", "f1", True), ["k1"]), freq_of("k3", "f3"), ["k3"])
-    triples = _lookup(triples, two.withColumnRenamed("a", "f12"), ["k1", "k2"])
-    triples = _lookup(triples, two.select(F.col("k1").alias("k2"), F.col("k2").alias("k3"), F.col("a").alias("f23")), ["k2", "k3"])
+    triples = _lookup(ws, _lookup(ws, three, freq_of("k1", "f1", True), ["k1"]), freq_of("k3", "f3"), ["k3"])
+    triples = _lookup(ws, triples, two.withColumnRenamed("a", "f12"), ["k1", "k2"])
+    triples = _lookup(ws, triples, two.select(F.col("k1").alias("k2"), F.col("k2").alias("k3"), F.col("a").alias("f23")), ["k2", "k3"])
     cut1, cut2 = _score("a", "f1", "f23"), _score("a", "f12", "f3")
     triples = triples.select("lang_key", "k1", "k2", "k3", "a", F.when(cut1 <= cut2, F.col("f1")).otherwise(F.col("f12")).alias("l"),
                              F.when(cut1 <= cut2, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least(cut1, cut2).alias("score"))

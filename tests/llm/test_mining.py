@@ -121,6 +121,15 @@ def test_phrases_at_every_budget(spark, budget):
     assert have == brute.collocations([(lang, t) for _, t, lang in rows], top=60)
 
 
+def test_phrases_whose_words_are_looked_up_by_shuffles(spark, monkeypatch):
+    rows = _phrase_rows()
+    monkeypatch.setattr(phrases, "small", lambda df, *_: df)
+    have = {}
+    for r in sorted(phrases.collocations(_docs(spark, rows), top=60).collect(), key=lambda r: (r["lang"], r["rank"])):
+        have.setdefault(r["lang"], []).append(tuple(r[c] for c in ("phrase", "a", "l", "r", "n", "score")))
+    assert have == brute.collocations([(lang, t) for _, t, lang in rows], top=60)
+
+
 def test_phrases_of_no_rows_and_colliding_keys(spark, monkeypatch):
     assert phrases.collocations(_docs(spark, [])).collect() == []
     rows = _phrase_rows(40)
