@@ -13,9 +13,10 @@ Every document becomes its set of distinct five-word shingles. Two documents lin
    over all classes: subsets made on one side, list partners met on the other.
 4. Stars first: by a few of each set's keys, lists name a centre, the best covered member and then, round by round, one
    by hash. Members of another component are verified against it, exactly, and links join components. A group of
-   thousands of near copies is so made one with a few pairs for each member. What still stands in different components
-   but shares a list is then paired within it, kept if parity sketches and the number of common prefix elements allow
-   the overlap, and verified. No pair of different components that could link goes unverified; pairs within one need no verdict.
+   thousands of near copies is so made one with a few pairs for each member. The rounds end when one leaves nearly as many
+   pairs to be met in lists as it found. What still stands in different components but shares a list is then paired
+   within it (a long list in blocks, by its pairs), kept if parity sketches and the number of common prefix elements allow
+   the overlap, and verified. No pair of different components that could link goes unverified; pairs within one need none.
 
 A parity sketch has a bit for each of 1,024 parts of the hash space: whether a set's number of shared shingles in it is
 odd. Where two sketches differ, so do the sets, so a count of the differing bits bounds their difference from below.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from fieldbook.llm import bytescan, exchange
 from fieldbook.llm.common import Workspace
 from fieldbook.operators.graph import connected_components
+from fieldbook.plans.skew import salted_join
 
 U = np.uint64
 PERCENT = 75
@@ -44,6 +46,7 @@ SKETCH = 16  # longs of a parity sketch
 MEETING = 0.01  # cost of two members met in a list, against one row made
 STAR_SHARE = 16  # one key in so many besides
 STAR_ROUNDS = 6
+STAR_GAIN = 0.1  # of the pairs left in lists, which a round has to take away for another to follow
 
 
 def _sets(texts: pa.Array, words: int):
@@ -197,6 +200,13 @@ def _star(members: DataFrame, comps: DataFrame, turn: int, percent: int) -> Data
     return at.join(lists, ["key", "kind"]).where(other).select("a", F.col("id").alias("b")).distinct()
 
 
+def _pairs_left(members: DataFrame, comps: DataFrame) -> float:
+    """Pairs of members of different components that meet in lists, a pair counted in each of its lists."""
+    own = members.join(comps, "id").groupBy("key", "kind", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    lists = own.groupBy("key", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    return (lists.agg(F.sum(F.col("n") * F.col("n") - F.col("same"))).first()[0] or 0.0) / 2
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
@@ -220,11 +230,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = ws.keep(signatures(classes, boundary, percent))
 
     comps = ws.keep(classes.select("id", F.col("id").alias("component")))
-    for turn in range(STAR_ROUNDS):
+    left = _pairs_left(members, comps)
+    for turn in range(STAR_ROUNDS if left else 0):
         links = ws.keep(verified(_star(members, comps, turn, percent), classes, percent))
         if not links.limit(1).count():
             break
         comps = _joined(ws, comps, links)
+        before, left = left, _pairs_left(members, comps)
+        if left > (1 - STAR_GAIN) * before or not left:
+            break
 
     at = members.join(comps, "id")
     open_keys = (at.groupBy("key", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -234,7 +248,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = at.select("key", "kind", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "shared", "sketch")])
     need = lambda c: F.ceil(F.col(c) * percent / 100)
     count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
-    pairs = (at.join(other, ["key", "kind"])
+    pairs = (salted_join(at, other, ["key", "kind"], ["id"])
              .where((F.col("component") < F.col("component2")) & _alike("n", "n2", percent) & _near(percent))
              .groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
              .agg(count(0).alias("c0"), count(1).alias("c1"), F.max("n").alias("n"), F.max("n2").alias("n2")))

@@ -125,8 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
            .agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label"))
     chosen = lab.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = _packed(texts.join(F.broadcast(chosen), "id")).orderBy("id", "label", "buckets").limit(sample).collect()
-    samples = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4"), classes.index(r["label"])) for r in rows]
+    rows = _packed(texts.join(F.broadcast(chosen), "id")).orderBy("id", "label", "buckets").limit(sample).toArrow()
+    samples = [(np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4"), classes.index(y.as_py()))
+               for y, b, s in zip(*(rows.column(c) for c in ("label", "buckets", "shares")))]
     return train(samples, list(classes))
 
 

@@ -49,36 +49,42 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id", o
     """Component of every node, named by its least node (large-star / small-star alternation).
 
     Each round is two group-by-min steps with joins back; no neighbour list is ever collected. The rounds are
-    cut by a reliable checkpoint and stop when the edge set no longer changes; running out of rounds is an error.
+    cut by a reliable checkpoint and stop when the edges are stars, which a round would not change; running out of rounds
+    is an error.
     """
     e = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                 .where(F.col("a") != F.col("b")).distinct())
-    seen = _mark(e)
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if _are_stars(e):
+            break
+        both = _each(e, ("a", "b"), ("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(least, "a").where(F.col("b") > F.col("a"))
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        j = large.join(least, "a")
-        small = (j.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(least.select("a", F.col("m").alias("b")))
+        small = (_each(large.join(least, "a"), ("b", "m"), ("a", "m"))
                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                  .where(F.col("a") != F.col("b")).distinct())
         e = durable(small)
-        now = _mark(e)
-        if now == seen:
-            break
-        seen = now
     else:
-        raise RuntimeError("components did not settle; raise max_rounds")
+        if not _are_stars(e):
+            raise RuntimeError("components did not settle; raise max_rounds")
     best = e.groupBy(F.col("a").alias(node)).agg(F.min("b").alias("__c"))
     return nodes.select(node).join(best, node, "left").select(node, F.coalesce("__c", node).alias(out))
 
 
-def _mark(e: DataFrame):
-    r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return r[0], r[1]
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(a, b) for each of the named pairs of columns of each row, in one pass."""
+    both = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])
+    return df.select(F.explode(both).alias("e")).select("e.a", "e.b")
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every ``a`` has one edge and no ``b`` is an ``a``."""
+    ends = _each(e, ("a", "b"), ("b", "a")).select(
+        F.col("a").alias("v"), (F.col("a") > F.col("b")).cast("int").alias("up"), (F.col("a") < F.col("b")).cast("int").alias("down"))
+    per = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not per.agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0]
 
 
 def merge_records(df: DataFrame, component: str, id_col: str, rank_by: Sequence, carry: Sequence[str],

@@ -57,3 +57,15 @@ def test_every_boundary_gives_the_same_pairs(spark):
             assert _run(spark, rows) == want, x
     finally:
         jaccard.choose_boundary = chosen
+
+
+def test_star_rounds_end_when_they_gain_little(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(300)}" for _ in range(150)]
+    rows = [(i, " ".join(base[:k] + [f"own{i}"] + base[k + 1:])) for i, k in enumerate(rnd.sample(range(150), 40))]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(100 + i, " ".join(f"v{rnd.randrange(900)}" for _ in range(15)) + " " + passage) for i in range(30)]
+    turns, star = [], jaccard._star
+    monkeypatch.setattr(jaccard, "_star", lambda m, c, turn, p: (turns.append(turn), star(m, c, turn, p).orderBy("a", "b").limit(1))[1])
+    assert _run(spark, rows) == brute.jaccard_components(rows)
+    assert turns == [0]

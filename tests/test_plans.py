@@ -150,3 +150,16 @@ def test_a_hot_cell_of_right_points_is_spread(spark):
     plain = radius_join(l, r, 0.5).select("i", "j")
     same(radius_join(l, r, 0.5, rows_per_split=40).select("i", "j"), plain)
     assert plain.count() > 1000
+
+
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    from fieldbook.operators import graph
+    cut, plain = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: (cut.append(1), plain(df))[1])
+    nodes = spark.range(12).withColumn("id", F.col("id").cast("int"))
+    stars = spark.createDataFrame([(3, 0), (0, 4), (5, 0), (0, 5), (9, 7), (8, 8)], "a int, b int")
+    got = {r["id"]: r["component"] for r in graph.connected_components(nodes, stars).collect()}
+    assert got == {i: {3: 0, 4: 0, 5: 0, 9: 7}.get(i, i) for i in range(12)} and len(cut) == 1
+    path = spark.createDataFrame([(i, i + 1) for i in range(10)] + [(None, 11), (11, None)], "a int, b int")
+    got = {r["id"]: r["component"] for r in graph.connected_components(nodes, path).collect()}
+    assert got == {i: 0 for i in range(11)} | {11: 11}
