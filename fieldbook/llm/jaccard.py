@@ -201,10 +201,29 @@ def _star(members: DataFrame, comps: DataFrame, turn: int, percent: int) -> Data
 
 
 def _pairs_left(members: DataFrame, comps: DataFrame) -> float:
-    """Pairs of members of different components that meet in lists, a pair counted in each of its lists."""
+    """Pairs of members of different components that meet in lists, a pair counted in each of its lists; 0 only if none do."""
     own = members.join(comps, "id").groupBy("key", "kind", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    lists = own.groupBy("key", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    return (lists.agg(F.sum(F.col("n") * F.col("n") - F.col("same"))).first()[0] or 0.0) / 2
+    lists = own.groupBy("key", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("parts"))
+    pairs, parts = lists.agg(F.sum(F.col("n") * F.col("n") - F.col("same")), F.max("parts")).first()
+    return max(pairs / 2, 1.0) if (parts or 0) > 1 else 0.0
+
+
+def _met(ws: Workspace, members: DataFrame, comps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of different components that meet in enough lists, and whose sketches allow the overlap."""
+    at = members.join(comps, "id")
+    open_keys = (at.groupBy("key", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+                 .where("lo < hi").select("key", "kind"))
+    look = classes.select("id", "shared", "sketch")
+    at = ws.keep(at.join(open_keys, ["key", "kind"]).select("key", "kind", "id", "n", "component").join(look, "id"))
+    other = at.select("key", "kind", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "shared", "sketch")])
+    need = lambda c: F.ceil(F.col(c) * percent / 100)
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
+    pairs = (salted_join(at, other, ["key", "kind"], ["id"])
+             .where((F.col("component") < F.col("component2")) & _alike("n", "n2", percent) & _near(percent))
+             .groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
+             .agg(count(0).alias("c0"), count(1).alias("c1"), F.max("n").alias("n"), F.max("n2").alias("n2")))
+    enough = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(need("n"), need("n2")) + 1)
+    return pairs.where((F.col("c0") >= enough) | (F.col("c1") >= enough * (enough + 1) / 2)).select("a", "b")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
@@ -240,23 +259,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if left > (1 - STAR_GAIN) * before or not left:
             break
 
-    at = members.join(comps, "id")
-    open_keys = (at.groupBy("key", "kind").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                 .where("lo < hi").select("key", "kind"))
-    look = classes.select("id", "shared", "sketch")
-    at = ws.keep(at.join(open_keys, ["key", "kind"]).select("key", "kind", "id", "n", "component").join(look, "id"))
-    other = at.select("key", "kind", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "shared", "sketch")])
-    need = lambda c: F.ceil(F.col(c) * percent / 100)
-    count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
-    pairs = (salted_join(at, other, ["key", "kind"], ["id"])
-             .where((F.col("component") < F.col("component2")) & _alike("n", "n2", percent) & _near(percent))
-             .groupBy(F.col("id").alias("a"), F.col("id2").alias("b"))
-             .agg(count(0).alias("c0"), count(1).alias("c1"), F.max("n").alias("n"), F.max("n2").alias("n2")))
-    enough = F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent)) - F.greatest(need("n"), need("n2")) + 1)
-    pairs = pairs.where((F.col("c0") >= enough) | (F.col("c1") >= enough * (enough + 1) / 2)).select("a", "b")
-    more = ws.keep(verified(pairs, classes, percent))
-    if more.limit(1).count():
-        comps = _joined(ws, comps, more)
+    if left:
+        more = ws.keep(verified(_met(ws, members, comps, classes, percent), classes, percent))
+        if more.limit(1).count():
+            comps = _joined(ws, comps, more)
 
     named = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set1", "set2", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -2,8 +2,8 @@
 
 A document's features are its words and its byte 4-grams, hashed into two halves of one table. Each bucket has a learned
 vector; the document is their average, and a softmax layer over it gives the class. Vectors and layer are trained
-together by stochastic gradient descent in numpy, on a bounded sample of the labelled rows. Whole texts are used, in
-training and in scoring.
+together by stochastic gradient descent in numpy, on a bounded sample of the labelled rows, in one task. Whole texts are
+used, in training and in scoring.
 
 For scoring the layer is folded into the table: a softmax over averaged vectors is a softmax over averaged products of
 vector and layer, so a text costs one look-up and one sum for each feature.
@@ -125,10 +125,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
            .agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label"))
     chosen = lab.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = _packed(texts.join(F.broadcast(chosen), "id")).orderBy("id", "label", "buckets").limit(sample).toArrow()
-    samples = [(np.frombuffer(b.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4"), classes.index(y.as_py()))
-               for y, b, s in zip(*(rows.column(c) for c in ("label", "buckets", "shares")))]
-    return train(samples, list(classes))
+    rows = _packed(texts.join(F.broadcast(chosen), "id")).orderBy("id", "label", "buckets").limit(sample)
+    got = _learned(rows, list(classes)).toArrow()
+    if not got.num_rows:
+        return train([], list(classes))
+    table, prior = (got.column(c)[0].as_buffer() for c in ("table", "prior"))
+    return Model(list(classes), np.frombuffer(table, "<f4").reshape(-1, len(classes)), np.frombuffer(prior, "<f8"))
+
+
+def _learned(rows: DataFrame, classes: list[int]) -> DataFrame:
+    """(table, prior) of the model of the packed rows, which are trained on in one task: only the model reaches the driver.
+    No row without any. ``rows`` must be a sorted and limited table, so that it is one partition in a fixed order."""
+
+    def run(batches):
+        samples = []
+        for b in batches:
+            samples += [(np.frombuffer(x.as_buffer(), "<i4"), np.frombuffer(s.as_buffer(), "<f4"), classes.index(y.as_py()))
+                        for y, x, s in zip(b.column(0), b.column(1), b.column(2))]
+        if samples:
+            model = train(samples, classes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.tobytes()], pa.binary()) for x in (model.table.astype("<f4"), model.prior.astype("<f8"))],
+                names=["table", "prior"])
+
+    return rows.select("label", "buckets", "shares").mapInArrow(run, "table binary, prior binary")
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score", positive: int = 1) -> DataFrame:

@@ -69,3 +69,15 @@ def test_star_rounds_end_when_they_gain_little(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_star", lambda m, c, turn, p: (turns.append(turn), star(m, c, turn, p).orderBy("a", "b").limit(1))[1])
     assert _run(spark, rows) == brute.jaccard_components(rows)
     assert turns == [0]
+
+
+def test_nothing_is_paired_when_the_stars_leave_no_pair(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("paired")
+
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(300)}" for _ in range(150)]
+    rows = [(i, " ".join(base[:9 * i] + [f"own{i}"] + base[9 * i + 1:])) for i in range(12)]
+    rows += [(50 + i, " ".join(f"v{i}_{k}" for k in range(30))) for i in range(5)]
+    monkeypatch.setattr(jaccard, "salted_join", refuse)
+    assert _run(spark, rows) == brute.jaccard_components(rows)

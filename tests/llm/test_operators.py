@@ -234,6 +234,19 @@ def test_quality_on_held_out_rows_and_empty_tables(spark):
     assert quality.scored(_docs(spark, []), none).collect() == []
 
 
+def test_quality_is_trained_in_a_task_on_the_same_rows(spark, monkeypatch):
+    docs = _docs(spark, [(i, f"{'good fine' if i % 2 else 'bad poor'} text {i} {i * 7}", "a") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = quality._packed(docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), "text"))
+    want = quality.train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shares"], "<f4"), r["label"])
+                          for r in rows.orderBy("id", "label", "buckets").collect()], [0, 1])
+    here, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda *a: (here.append(1), train(*a))[1])
+    got = quality.fit(docs, labels)
+    assert not here
+    assert np.allclose(got.table, want.table, atol=1e-5) and got.prior.tolist() == want.prior.tolist()
+
+
 def test_exchange_tells_tokens_apart_in_all_their_bits(spark):
     from fieldbook.llm import exchange
 
