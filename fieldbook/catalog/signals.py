@@ -269,8 +269,9 @@ def x3_lag(spark, d):
     r = runs.read_stream(spark, d, "events").where("event_type = 'view'").select(
         site, F.col("event_id").alias("reading_id"), F.col("ts").alias("read_at"), "value")
     e = runs.read_stream(spark, d, "events").where("event_type = 'error'").select(site, "event_id", "ts")
-    j = runs.event_lag(r, e, ["site"], "read_at", "ts", "90 minutes").select("event_id", "reading_id", "lag_s", "value")
-    return spark.read.parquet(runs.drain(j, "append", "lag")).drop("batch")
+    j = runs.event_lag(r, e, ["site"], "read_at", "ts", "90 minutes", packed=True)
+    lists = spark.read.parquet(runs.drain(j, "append", "lag")).drop("batch")
+    return runs.lag_pairs(lists, "read_at", "ts", "90 minutes").select("event_id", "reading_id", "lag_s", "value")
 
 
 @query("x4_state_transitions", """

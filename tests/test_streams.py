@@ -103,6 +103,68 @@ def test_event_lag_over_five_batches_with_late_rows(spark):
     assert {g[0] for g in got if g[1] is None} <= {5, 6}
 
 
+def test_packed_event_lag_gives_the_pairs_of_the_plain_one(spark, monkeypatch):
+    import datetime as dt
+    import random
+
+    import pytest
+    rnd = random.Random(8)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    site = lambda: rnd.choice(["a", "a", "a", "b", None])
+    events = [[(site(), i * 100 + j, at(i * 200 + rnd.randrange(260)) if j else None) for j in range(60)] for i in range(5)]
+    readings = [[(site(), i * 100 + j, at(i * 200 + rnd.randrange(260)) if j else None, None if j % 7 == 0 else j / 8) for j in range(60)]
+                for i in range(5)]
+    events[4] += [("a", 900, at(10)), ("b", 901, at(1090)), ("b", 901, at(1090))]  # one long after its watermark, one twice
+    readings[4] += [("b", 902, at(1090), 1.0), ("b", 903, at(1180), 2.0), ("b", 904, at(1181), 3.0), ("a", 905, at(20), 4.0)]
+    monkeypatch.setattr(runs, "LIST_ROWS", 7)
+    monkeypatch.setattr(runs, "HELD_ROWS", 20)
+
+    def sides():
+        return (_streamed(spark, readings, "site string, reading_id long, read_at timestamp, value double", "r", 5),
+                _streamed(spark, events, "site string, event_id long, ts timestamp", "e", 5))
+    args = (["site"], "read_at", "ts", "90 minutes", "100 minutes", "100 minutes")
+    plain = spark.read.parquet(runs.drain(runs.event_lag(*sides(), *args), "append", "lag")).drop("batch")
+    lists = spark.read.parquet(runs.drain(runs.event_lag(*sides(), *args, packed=True), "append", "lag")).drop("batch")
+    pairs = runs.lag_pairs(lists, "read_at", "ts", "90 minutes")
+    assert pairs.columns == plain.columns and pairs.dtypes == plain.dtypes
+    want = sorted(map(tuple, plain.collect()), key=str)
+    assert sorted(map(tuple, pairs.collect()), key=str) == want and len(want) > 500
+    assert lists.where(F.size("__events") > 7).isEmpty() and lists.where(F.size("__readings") > 7).isEmpty()
+    with pytest.raises(ValueError):
+        runs.event_lag(*sides(), *args, how="left_outer", packed=True)
+
+
+def test_lag_query_stores_no_pairs(spark, sf, monkeypatch):
+    from urllib.parse import urlparse
+
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from fieldbook.catalog import load_all
+    queries, oracles = load_all()
+    drained = []
+    drain = runs.drain
+    monkeypatch.setattr(runs, "drain", lambda *a, **k: drained.append(drain(*a, **k)) or drained[-1])
+    con, stored, pairs = duckdb.connect(), [], []
+    for copies in (8, 32):
+        folder = tempfile.mkdtemp(prefix="fieldbook-lag-")
+        con.execute(f"""copy (select event_id + 1000000 * k as event_id, ts + to_microseconds(k * 7919 + event_id % 1009) as ts,
+            user_id + 5000 * k as user_id, event_type, value + k as value, props
+            from '{sf}/events.parquet', range({copies}) t(k)) to '{folder}/events.parquet' (format parquet)""")
+        con.execute(f"create or replace view events as select * from '{folder}/events.parquet'")
+        got = queries["x3_event_lag_stream"](spark, folder)
+        key = F.sum(F.col("event_id") * 31 + F.col("reading_id")), F.sum(F.round(F.col("lag_s") * 1_000_000).cast("long"))
+        n, ids, lag = got.agg(F.count(F.lit(1)), *key).first()
+        assert (n, ids, lag) == con.execute(f"""select count(*), sum(event_id * 31 + reading_id)::bigint, sum(round(lag_s * 1e6)::bigint)::bigint
+            from ({oracles["x3_event_lag_stream"]})""").fetchone()
+        pairs.append(n)
+        files = [pq.ParquetFile(urlparse(f).path).metadata for f in spark.read.parquet(drained[-1]).inputFiles()]
+        groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+        stored.append(sum(g.column(c).num_values for g in groups for c in range(g.num_columns)))
+    assert pairs[1] > 12 * pairs[0]
+    assert stored[1] < 5 * stored[0]
+
+
 def test_units_in_bounded_pieces_give_the_batch_answer(spark):
     import datetime as dt
     import random
