@@ -47,6 +47,20 @@ def test_cases_of_a_common_company_meet_without_travelling(spark):
         assert {(x["i"], x["c"]): x["keys"] for x in again.collect()} == want
 
 
+def test_marks_tell_cases_that_share_one_key(spark):
+    import random
+    r = random.Random(4)
+    own = {c: {f"{2000 + r.randrange(30)}-{r.randrange(4)}-CUP" for _ in range(r.choice([1, 2, 3, 90]))} for c in range(40)}
+    held = {i: {f"{2000 + r.randrange(30)}-{r.randrange(4)}-CUP" for _ in range(r.choice([0, 1, 2, 80]))} for i in range(40)}
+    rows = lambda d: [(k, " and ".join(sorted(v))) for k, v in d.items()]
+    got = documents.track_cases(spark.createDataFrame(rows(held), "i int, t string"), "i", "t", spark.createDataFrame(rows(own), "c int, title string"),
+                                "c", "title")
+    assert {(x["i"], x["c"], x["keys"]) for x in got.collect()} == {
+        (i, c, len(h & o)) for i, h in held.items() for c, o in own.items() if h & o} and got.count() == len(got.distinct().collect())
+    join = next(x for x in plan_of(got).split("\n") if "SortMergeJoin" in x and "__held" in x)
+    assert join.index("__h1") < join.index("array_intersect") and join.count("array_intersect") == 1  # marks first, lists for the rest
+
+
 def test_distance_bands_fold_before_they_travel(spark, monkeypatch):
     monkeypatch.setattr(spatial, "_FOLD_ROWS", 3)
     d = spark.createDataFrame([("a", float(i) / 2) for i in range(9)] + [("a", 0.0), ("b", None), (None, 7.25)], "k string, d double")
