@@ -32,6 +32,52 @@ def test_votes_skip_runs_whose_letters_cannot_agree(monkeypatch):
     assert len(met) == 1  # the exact line asks for no run, the line of other letters meets none
 
 
+def _unpruned_vote(lines, units, most=12):
+    import difflib
+    import re
+    want, runs, left = ["absent"] * len(lines), [[] for _ in lines], list(enumerate(units))
+    for i in sorted((k for k in range(len(lines)) if lines[k]), key=lambda k: -len(lines[k])):
+        best, span = -1, None
+        for a in range(len(left)):
+            for b in range(a + 1, min(a + most, len(left)) + 1):
+                joined = " ".join(u for _, u in left[a:b])
+                score = 100.0 * difflib.SequenceMatcher(None, lines[i], joined).ratio()
+                x, y = re.sub(r"\D", "", lines[i]), re.sub(r"\D", "", joined)
+                score = min(score, 89.0 if x and y and x != y else 100.0)
+                if score > best:
+                    best, span = score, (a, b)
+        if best >= 75:
+            want[i], runs[i] = "agree" if best >= 90 else "dissent", [k for k, _ in left[span[0]:span[1]]]
+            del left[span[0]:span[1]]
+    return want, runs
+
+
+def test_votes_on_long_lines_equal_the_unpruned_search(monkeypatch):
+    import difflib
+    import random
+    r = random.Random(9)
+    words = ["".join(r.choices("eeeettaaoinshrdlucmfwypvbgkqjxz", k=r.randint(1, 9))) for _ in range(90)] + ["12", "-", "ﬁ", "ü", "日本"]
+    pages = []
+    for _ in range(30):
+        lines = [" ".join(r.choices(words, k=r.choice([0, 3, 25, 60, 90]))) for _ in range(7)]
+        units = []
+        for t in lines[r.randrange(3):]:
+            edit = r.choice([0.0, 0.01, 0.05, 0.15])
+            t = "".join(r.choice(["", "c", ch + "."]) if r.random() < edit else ch for ch in t)
+            cut = r.randrange(len(t) + 1)
+            units += r.choice([[t], [t[:cut].strip(), t[cut:].strip()], [t, "", t.replace("e", "c")], []])
+        pages.append((lines, units))
+    want = [_unpruned_vote(*p) for p in pages]
+    assert {v for w, _ in want for v in w} == {"agree", "dissent", "absent"}
+    real = difflib.SequenceMatcher
+
+    def short_only(junk, a, b):
+        assert len(b) < 200
+        return real(junk, a, b)
+    monkeypatch.setattr(difflib, "SequenceMatcher", short_only)
+    assert [documents._vote(*p) for p in pages] == want
+
+
 def test_cases_of_a_common_company_meet_without_travelling(spark):
     items = spark.createDataFrame([(i, f"Case 2024-{i}-CUP by Delta Works") for i in range(6)] + [(3, "delta works again"), (None, "case 2024-2-cup")],
                                   "i int, t string")
