@@ -419,7 +419,7 @@ SELECT s_suppkey, count(*) AS total, count(*) FILTER (dist = 0) AS inside, count
 def a18(spark, d):
     sup = with_coordinates(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", "rlat", "rlon")
     cus = customers(spark, d).select("c_custkey", "lat", "lon")
-    j = spatial.radius_join(cus, sup, 20.0, salt_by=["c_custkey"])
+    j = spatial.radius_join(cus, sup, 20.0, salt_by=["c_custkey"], bands=[5.0, 10.0, 20.0])
     return spatial.distance_bands(j, ["s_suppkey"], "distance", [5.0, 10.0, 20.0])
 
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldbook.functions import geo
 from fieldbook.plans.durable import durable
 from fieldbook.plans.ordered import running
-from fieldbook.plans.skew import salted_join
+from fieldbook.plans.skew import MOST_TASKS, dealt, row_blocks, salted_join
 
 _CELL = ["__band", "__col"]
 
@@ -29,13 +30,20 @@ def _degree_cells(radius: float, earth: float):
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, left_xy=("lat", "lon"), right_xy=("rlat", "rlon"),
                 earth: float = geo.RADIUS_MI, out: str = "distance", salt_by: Sequence[str] | None = None,
-                rows_per_split: int = 100_000, also_on: Sequence[str] = ()) -> DataFrame:
+                rows_per_split: int = 100_000, also_on: Sequence[str] = (), bands: Sequence[float] | None = None,
+                nearest: int = 5) -> DataFrame:
     """All (left, right) pairs within ``radius`` inclusive, with the distance.
 
     The larger side should be ``left``: it keeps one row per point, the right side is repeated over the cells its
     radius touches (at most about nine). Hot cells are split by count. ``also_on``
     names columns both sides share that must be equal too. Works across the date line.
+
+    With ``bands`` the pairs are counted where they meet, for ``distance_bands``: one row for a right row and block of left
+    rows, with ``out`` a struct of the counts and the ``nearest`` few distances. What that costs grows with the right rows and
+    the left rows near a circle's line, not with the pairs.
     """
+    if bands is not None and also_on:
+        raise ValueError("bands are counted by place alone")
     delta, width = _degree_cells(radius, earth)
     la, lo = F.col(left_xy[0]), F.col(left_xy[1])
     ra, ro = F.col(right_xy[0]), F.col(right_xy[1])
@@ -54,13 +62,82 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_xy=("lat"
          .withColumn("__col", F.explode(F.sequence(
              F.floor((ro + F.col("__shift") - F.col("__reach")) / F.col("__w")),
              F.floor((ro + F.col("__shift") + F.col("__reach")) / F.col("__w")))))
-         .drop("__reach", "__shift", "__w"))
+         .drop("__reach", "__w"))
+    if bands is not None:
+        return _counted(l, r, left_xy, right_xy, radius, earth, out, salt_by or list(left_xy), rows_per_split, bands, nearest)
+    r = r.drop("__shift")
     j = salted_join(l, r, [*_CELL, *also_on], salt_by or list(left_xy), rows_per_split=rows_per_split)
     d = geo.haversine(left_xy[0], left_xy[1], right_xy[0], right_xy[1], earth)
     near = F.abs(la - ra) <= delta * (1 + 1e-6) + 1e-9  # spares most of the far pairs the sines
     return j.where(near).withColumn(out, d).where(F.col(out) <= radius).drop(*_CELL)
 
 
+_COUNTED_ROWS, _DEALT_ROWS = 5_000, 20_000  # right rows of a cell counted in one go, and right rows of a task
+
+
+def _band_names(edges: Sequence[float]) -> list[str]:
+    return ["within_" + f"{e:g}".replace(".", "_") for e in edges]
+
+
+def _counted(l: DataFrame, r: DataFrame, left_xy, right_xy, radius: float, earth: float, out: str, salt_by: Sequence[str],
+             rows_per_split: int, bands: Sequence[float], nearest: int) -> DataFrame:
+    """Right rows with the counts and nearest distances of the left rows of each cell they reach. A block's left rows are held
+    by a task as numbers; right rows pass by in batches."""
+    keep = [c for c in r.columns if c not in (*_CELL, "__shift")]
+    kinds = {f.name: f.dataType for f in r.schema.fields}
+    r = r.withColumn("__row", F.struct(*keep))
+    ra, ro = (F.col(c).cast("double") for c in right_xy)
+    r = r.select(*_CELL, "__row", ra.alias("__y"), ro.alias("__x"), "__shift")
+    l, r = dealt(l.withColumns({"__y": F.col(left_xy[0]).cast("double"), "__x": F.col(left_xy[1]).cast("double")}), r, _CELL, salt_by,
+                 row_blocks(l, r, _CELL, rows_per_split, _COUNTED_ROWS))
+    on = [*_CELL, "__lb", "__rb"]
+    row = T.StructType([T.StructField(c, kinds[c]) for c in keep])
+    none = F.lit(None).cast(row)
+    both = l.select(*on, F.lit(0).alias("__side"), "__y", "__x", F.lit(0.0).alias("__shift"), none.alias("__row")).unionByName(
+        r.select(*on, F.lit(1).alias("__side"), "__y", "__x", "__shift", "__row"))
+    tasks = min(MOST_TASKS, max(int(l.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(r.count() / _DEALT_ROWS)))
+    names, few = ["total", "inside", *_band_names(bands)], f"nearest_{nearest}"
+    radius, bands = float(radius), [float(e) for e in bands]
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from fieldbook.operators import rings
+        block, held, places = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            *key, side, y, x, shift = (b.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+            key = np.stack(key)
+            new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0) | (side[1:] != side[:-1])]
+            cut = [*np.flatnonzero(new).tolist(), len(side)]
+            for begin, end in zip(cut[:-1], cut[1:]):
+                if tuple(key[:, begin]) != block:
+                    block, held, places = tuple(key[:, begin]), [], None
+                if side[begin] == 0:
+                    held.append((y[begin:end], x[begin:end]))
+                    continue
+                if not held:
+                    continue
+                places = places or rings.Places(*(np.concatenate(c) for c in zip(*held)), earth)
+                rows = begin + np.flatnonzero(np.isfinite(y[begin:end]) & np.isfinite(x[begin:end]))
+                if not len(rows):
+                    continue
+                sums, near = rings.tally(y[rows], x[rows], shift[rows], places, radius, bands, nearest)
+                met = np.flatnonzero(sums[0] > 0)
+                ends = np.r_[0, np.cumsum([len(near[k]) for k in met.tolist()])].astype(np.int32)
+                flat = np.concatenate([near[k] for k in met.tolist()] or [np.empty(0)])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(8).take(pa.array(rows[met])), *(pa.array(s[met]) for s in sums), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["__row", *names, few])
+
+    schema = T.StructType([T.StructField("__row", row), *(T.StructField(c, T.LongType()) for c in names),
+                           T.StructField(few, T.ArrayType(T.DoubleType()))])
+    got = both.repartition(tasks, *on).sortWithinPartitions(*on, "__side").mapInArrow(count, schema)
+    return got.select("__row.*", F.struct(*names, few).alias(out))
+
+
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_cols: Sequence[str], cap: float,
                  left_xy=("lat", "lon"), right_xy=("rlat", "rlon"), earth: float = geo.RADIUS_MI,
                  tie: str | None = None, steps: Sequence[float] | None = None) -> DataFrame:
@@ -278,9 +355,10 @@ def distance_bands(df: DataFrame, keys: Sequence[str], distance: str, edges: Seq
     """Counts within each band (cumulative), counts inside, and the nearest few distances as text.
 
     The rows are read once: each task folds them to one row a key with its counts and nearest distances, and only those
-    travel. A null distance counts in the total alone.
+    travel. A null distance counts in the total alone. Rows that ``radius_join`` has counted already (its ``bands``) are only
+    summed; bands it has not counted raise.
     """
-    names = ["within_" + f"{e:g}".replace(".", "_") for e in edges]
+    names = _band_names(edges)
     types = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
     counted = ["total", "inside", *names]
     out = (f"{types}, " if keys else "") + ", ".join(f"`{c}` long" for c in counted) + ", __near array<double>"
@@ -324,7 +402,10 @@ def distance_bands(df: DataFrame, keys: Sequence[str], distance: str, edges: Seq
         if held:
             yield folded(held)
 
-    part = df.select(*keys, F.col(distance).cast("double").alias(distance)).mapInArrow(fold, out)
+    if isinstance(df.schema[distance].dataType, T.StructType):
+        part = df.select(*keys, *[F.col(distance)[c].alias(c) for c in counted], F.col(distance)[f"nearest_{nearest}"].alias("__near"))
+    else:
+        part = df.select(*keys, F.col(distance).cast("double").alias(distance)).mapInArrow(fold, out)
     g = part.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in counted],
                                 F.flatten(F.collect_list("__near")).alias("__near"))
     few = F.transform(F.slice(F.array_sort("__near"), 1, nearest), lambda v: F.format_number(F.round(v, 3), 3))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -42,6 +43,23 @@ def block_counts(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: i
     return n.select(*keys, ls.cast("int").alias("__ls"), rs.cast("int").alias("__rs"))
 
 
+def row_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], left_rows: int, right_rows: int) -> DataFrame:
+    """Keys with more rows of a side than a task should hold, with the number of blocks of each side (__ls, __rs)."""
+    nl, nr = F.col("__nl"), F.col("__nr")
+    n = _sides(left, right, keys).where((nl > 0) & (nr > 0) & ((nl > left_rows) | (nr > right_rows)))
+    return n.select(*keys, F.ceil(nl / F.lit(left_rows)).cast("int").alias("__ls"), F.ceil(nr / F.lit(right_rows)).cast("int").alias("__rs"))
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the block they fall into (__lb, __rb): rows of a ``hot`` key meet every block of the other side once."""
+    part = lambda n, *c: F.when(F.col(n).isNotNull(), F.pmod(F.xxhash64(*c), F.col(n).cast("long"))).otherwise(F.lit(0).cast("long"))
+    fill = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)).cast("long") - 1))
+    plain = [f.name for f in right.schema.fields if not {"map", "variant"} & set(re.findall(r"\w+", f.dataType.simpleString()))]
+    l = left.join(hot, list(keys), "left").withColumn("__lb", part("__ls", *salt_by)).withColumn("__rb", fill("__rs")).drop("__ls", "__rs")
+    r = right.join(hot, list(keys), "left").withColumn("__rb", part("__rs", *plain)).withColumn("__lb", fill("__ls")).drop("__ls", "__rs")
+    return l, r
+
+
 PAIRS_PER_TASK = 5_000_000
 
 
@@ -61,11 +79,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salt_by:
     if how != "inner":
         raise ValueError("salted_join supports inner and left joins")
     hot = block_counts(left, right, keys, rows_per_split, pairs_per_split)
-    part = lambda n, *c: F.when(F.col(n).isNotNull(), F.pmod(F.xxhash64(*c), F.col(n).cast("long"))).otherwise(F.lit(0).cast("long"))
-    fill = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)).cast("long") - 1))
-    plain = [f.name for f in right.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    l = left.join(hot, list(keys), "left").withColumn("__lb", part("__ls", *salt_by)).withColumn("__rb", fill("__rs")).drop("__ls", "__rs")
-    r = right.join(hot, list(keys), "left").withColumn("__rb", part("__rs", *plain)).withColumn("__lb", fill("__ls")).drop("__ls", "__rs")
+    l, r = dealt(left, right, keys, salt_by, hot)
     on = [*keys, "__lb", "__rb"]
     tasks = math.ceil(pair_count(left, right, keys) / pairs_per_split)
     if tasks > 1:

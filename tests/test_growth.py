@@ -116,6 +116,41 @@ def test_distance_bands_fold_before_they_travel(spark, monkeypatch):
     assert tuple(spatial.distance_bands(d, [], "d", [1.0], 2).first()) == (12, 2, 4, "0.000, 0.000")
 
 
+def test_bands_counted_where_they_meet_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    from fieldbook.functions import geo
+    r = random.Random(11)
+    spots = [(r.uniform(-89.5, 89.5), r.uniform(-180, 180)) for _ in range(60)] + [(30 + r.gauss(0, 0.1), -91 + r.gauss(0, 0.1)) for _ in range(200)]
+    spots += [(10 + r.uniform(-1, 1), r.choice([179.6, -179.9]) + r.uniform(0, 0.3)) for _ in range(40)] + [(30.0, -91.0)] * 40
+    spots += [(10.0, 180.0), (10.0, -180.0), (89.9, 0.0), (89.9, 180.0), (-89.9, -170.0), (None, 3.0), (3.0, None), (float("nan"), 5.0), (5.0, float("nan"))]
+    l = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "a int, lat double, lon double")
+    q = spark.createDataFrame([(i % 150 or None, *p, {i: i}) for i, p in enumerate(spots[::-1] + spots[:20])], "b int, rlat double, rlon double, m map<int,int>")
+    monkeypatch.setattr(spatial, "_COUNTED_ROWS", 7)
+    monkeypatch.setattr("fieldbook.operators.rings._AT_ONCE", 50)
+    for radius, edges in ((30.0, [0.0, 5.0, 30.0]), (400.0, [100.0, 250.5, 500.0])):
+        every = l.crossJoin(q.drop("m")).withColumn("d", geo.haversine("lat", "lon", "rlat", "rlon")).where(f"d <= {radius} and not isnan(d)")
+        want = sorted(map(str, spatial.distance_bands(every, ["b"], "d", edges, 3).collect()))
+        met = spatial.radius_join(l, q, radius, salt_by=["a"], rows_per_split=50, bands=edges, nearest=3, out="d")
+        assert met.columns == ["b", "rlat", "rlon", "m", "d"] and "lon" not in met.columns
+        assert sorted(map(str, spatial.distance_bands(met, ["b"], "d", edges, 3).collect())) == want
+    import pytest
+    with pytest.raises(Exception, match="within_7|FIELD_NOT_FOUND"):
+        spatial.distance_bands(met, ["b"], "d", [7.0], 3)
+
+
+def test_band_counts_measure_few_places(monkeypatch):
+    import numpy as np
+
+    from fieldbook.operators import rings
+    g = np.random.default_rng(2)
+    lat, lon, y, x = 30 + g.uniform(0, 0.3, 20_000), -91 + g.uniform(0, 0.3, 20_000), 30 + g.uniform(0, 0.3, 50), -91 + g.uniform(0, 0.3, 50)
+    measured, real = [], rings.Places.distance
+    monkeypatch.setattr(rings.Places, "distance", lambda self, at, *a: (measured.append(len(at)), real(self, at, *a))[1])
+    sums, _ = rings.tally(y, x, np.zeros(50), rings.Places(lat, lon, 3958.8), 20.0, [5.0, 10.0], 5)
+    assert sums[0].sum() > 500_000 > 6 * sum(measured)
+
+
 def test_a_common_surname_is_met_in_several_tasks(spark, monkeypatch):
     f = spark.createDataFrame([(i, "Smith", "Ann" if i % 2 else "") for i in range(60)], "i int, last string, first string")
     p = spark.createDataFrame([(j, "Anna Smith") for j in range(50)], "j int, person string")
