@@ -78,6 +78,31 @@ def test_votes_on_long_lines_equal_the_unpruned_search(monkeypatch):
     assert [documents._vote(*p) for p in pages] == want
 
 
+def test_texts_of_a_page_are_normal_as_one_by_one(spark):
+    import random
+
+    from fieldbook.functions import text
+    r = random.Random(3)
+    bits = ["-", "--", "- -", "\n", "\r", "\r\n", "\t", " ", "  ", "\x1c", "\x1f", "\x85", "\xa0", "\u2028", "\u3000", "\u180e", "\u200b", "|", "┃", "│", "<TD>", "</th>",
+            "<tr", "</Table>", "<table>", "ﬁ", "Straße", "12", "a", "İ", "｜", "＜td＞", ""]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 9))) for _ in range(3000)] + [f"a{chr(c)}{chr(c)}b" for c in range(1, 0x3100)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    one = [x["n"] for x in d.select("i", text.normal_text("t").alias("n")).orderBy("i").collect()]
+    assert spark.createDataFrame([(texts + [None],)], "t array<string>").select(text.normal_texts("t").alias("n")).first()["n"] == one + [None]
+
+
+def test_lines_and_units_meet_by_page_in_one_grouping(spark):
+    lines = spark.createDataFrame([(1, 1, "Alpha beta gamma"), (1, 1, "alpha delta"), (2, 1, None), (None, 1, "x"), (3, 1, "alone"), (1, None, "Alpha beta gamma")],
+                                  "p int, line_no int, line string").repartition(5, "p")
+    units = spark.createDataFrame([(1, None, 1, "alpha BETA gamma"), (1, "r", 2, None), (1, "r", 1, "alpha delta"), (2, "r", 1, "z"), (None, "r", 1, "x"), (4, "r", 1, "y")],
+                                  "p int, r string, unit_no long, unit string").repartition(5, "p")
+    got = documents.reader_votes(lines, units, ["p"], "r")
+    assert plan_of(got).count("Exchange") == 2  # those of the callers
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, [
+        (1, None, None, "agree", 0, "alpha BETA gamma"), (1, None, 1, "absent", None, None), (1, None, 1, "absent", None, None),
+        (1, "r", None, "absent", None, None), (1, "r", 1, "absent", None, None), (1, "r", 1, "agree", 0, "alpha delta"), (2, "r", 1, "absent", None, None)]))
+
+
 def test_cases_of_a_common_company_meet_without_travelling(spark):
     items = spark.createDataFrame([(i, f"Case 2024-{i}-CUP by Delta Works") for i in range(6)] + [(3, "delta works again"), (None, "case 2024-2-cup")],
                                   "i int, t string")
