@@ -359,6 +359,7 @@ def _exact(target: str, left: list, most: int):
 
 
 _GRAM, _BINS = 4, 1024
+_COMMON = 4096  # letters below this are told apart by a table
 
 
 def _codes(t: str) -> np.ndarray:
@@ -378,7 +379,13 @@ class _Counts:
 
     def __init__(self, units: list[str]):
         codes = _codes("".join([" ", *units]))
-        found, at = np.unique(codes, return_inverse=True)
+        if codes.max() < _COMMON:
+            found = np.flatnonzero(np.bincount(codes))
+            place = np.zeros(found[-1] + 1, dtype=np.int64)
+            place[found] = np.arange(len(found))
+            at = place[codes]
+        else:
+            found, at = np.unique(codes, return_inverse=True)
         unit = np.repeat(np.arange(len(units)), [len(u) for u in units])
         self.column = {chr(c): k for k, c in enumerate(found.tolist())}
         self.letters = np.bincount(unit * len(found) + at[1:], minlength=len(units) * len(found)).reshape(len(units), len(found))
@@ -392,11 +399,18 @@ class _Counts:
         self.left = np.array(left, dtype=np.int64)
         self.letters_before = _before(self.letters[self.left])
         self.lengths_before = _before(self.lengths[self.left])
+        self._pieces_before = None
+
+    @property
+    def pieces_before(self):
+        if self._pieces_before is None:
+            self._pieces_before = _before(self.pieces[self.left])
+        return self._pieces_before
 
 
 def _before(x: np.ndarray) -> np.ndarray:
     """Sums over the rows before each row, and over all."""
-    out = np.zeros((len(x) + 1, *x.shape[1:]), dtype=np.int64)
+    out = np.zeros((len(x) + 1, *x.shape[1:]), dtype=x.dtype)
     np.cumsum(x, axis=0, out=out[1:])
     return out
 
@@ -436,10 +450,9 @@ def _windows(target: str, left: list, most: int, counts: _Counts):
     long = np.flatnonzero((size >= LONG_RUN) & (_percent(matched, n + size) >= 75.0))
     if len(long):
         blocks = (both[long] * (has[long] <= (size[long] // 100 + 1)[:, None])).sum(axis=1) + 1
-        bins, own = np.unique(_grams(_codes(target)), return_counts=True)
-        pieces = _before(counts.pieces[np.ix_(counts.left, bins)])
+        own = np.bincount(_grams(_codes(target)), minlength=_BINS)
         joints = ends[long] - starts[long] - 1
-        pieces = np.minimum(pieces[ends[long]] - pieces[starts[long]], own).sum(axis=1) + _GRAM * joints
+        pieces = np.minimum(counts.pieces_before[ends[long]] - counts.pieces_before[starts[long]], own).sum(axis=1) + _GRAM * joints
         matched[long] = np.minimum(matched[long], pieces + (_GRAM - 1) * blocks)
     bounds = _percent(matched, n + size)
     short: dict[int, dict[int, int]] = {}
