@@ -78,6 +78,15 @@ def test_votes_on_long_lines_equal_the_unpruned_search(monkeypatch):
     assert [documents._vote(*p) for p in pages] == want
 
 
+def test_a_very_long_line_is_matched_as_published():
+    import difflib
+    import random
+    r = random.Random(6)
+    a = " ".join("".join(r.choices("eeettaoinshrdlucmfwyp", k=r.randint(1, 9))) for _ in range(700))
+    for b in (a.replace("e", "c"), "".join(ch if r.random() > 0.03 else r.choice("xyz,") for ch in a), a[500:] + a[:300]):
+        assert documents._similarity(a, b, 0.0) == 100.0 * difflib.SequenceMatcher(None, a, b).ratio()
+
+
 def test_texts_of_a_page_are_normal_as_one_by_one(spark):
     import random
 
